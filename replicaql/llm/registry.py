@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("host_rules",)
+MODULES = ("mixing", "host_rules")
 
 
 def _all(name: str) -> dict:
