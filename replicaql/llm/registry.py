@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "host_rules")
+MODULES = ("mixing", "neighbours", "licenses", "host_rules", "pieces", "toxicity")
 
 
 def _all(name: str) -> dict:
