@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +51,7 @@ class DoubleArray:
                 at = nxt
             ends[at] = value
         size = 2 * len(tree) + 1024
-        base, check, value, free, crowded = [0] * size, [-1] * size, [-1] * size, 1, 1
+        base, check, value, free, crowded, top = [0] * size, [-1] * size, [-1] * size, 1, 1, 1
         check[0] = 0
         todo = [(0, 0)]
         for node, slot in todo:
@@ -60,23 +61,34 @@ class DoubleArray:
             labels = sorted(tree[node])
             while check[free] >= 0:
                 free += 1
-            # slots before crowded are nearly all taken: only single children are tried there
-            at, tries = max((free if len(labels) == 1 else max(free, crowded)) - labels[0] - 1, 0), 0
-            while True:
+            # single children fill holes; others get a few tries behind the last crowded place, then the end
+            at = max((free if len(labels) == 1 else max(free, crowded)) - labels[0] - 1, 0)
+            for tries in range(40):
                 if at + 258 > len(check):
                     base += [0] * size
                     check += [-1] * size
                     value += [-1] * size
                 if all(check[at + b + 1] < 0 for b in labels):
                     break
-                at, tries = at + 1, tries + 1
-            if tries > 200:
-                crowded = max(crowded, at + labels[0] - 100)
+                at += 1
+            else:
+                at, crowded = max(top - labels[0], 0), crowded + 20
+            if at + 258 > len(check):
+                base += [0] * size
+                check += [-1] * size
+                value += [-1] * size
+            top = max(top, at + labels[-1] + 1)
             base[slot] = at
             for b in labels:
                 check[at + b + 1] = slot
                 todo.append((tree[node][b], at + b + 1))
-        self.base, self.check, self.value = base + [0] * 258, check + [-1] * 258, value + [-1] * 258
+        self.base, self.check, self.value = base[: top + 258], check[: top + 258], value[: top + 258]
+
+    def __getstate__(self):
+        return [array("i", x) for x in (self.base, self.check, self.value)]
+
+    def __setstate__(self, state):
+        self.base, self.check, self.value = map(list, state)
 
 
 class Pieces:
