@@ -2,10 +2,436 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars
+from ..operators import changes, entity, integrity, metrics, migrate, paging, reconcile, relations
+from ..operators.relations import BelongsTo, HasMany, HasOne, ManyToMany
+from ..streaming import live
+from .compiler import apply, count, first
+from .model import Filter, Logic, Op, Query, QueryBuilder
+from .sqlgen import duckdb_sql
+
+Run = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Run] = {}
+_SQL: dict[str, str] = {}
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _register(name: str, sql: str | None = None) -> Callable[[Run], Run]:
+    def add(f: Run) -> Run:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _model(name: str, source: str, query: Query, columns: str, key: tuple[str, ...] = ()) -> None:
+    """A query of the model; source is SQL that both engines read."""
+    _SQL[name] = duckdb_sql(query, f"({source})", columns, key)
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = _view(spark, d, source)
+        return apply(df, query, key).select(*[c.strip() for c in columns.split(",")])
+
+    _QUERIES[name] = run
+
+
+def _view(spark: SparkSession, d: str, sql: str) -> DataFrame:
+    """SQL over the tables it names, without views that outlive it."""
+    names = [t for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels") if f" {t}" in f" {sql} "]
+    named = re.sub(r"(?<=from )\w+", lambda m: "{" + m[0] + "}" if m[0] in names else m[0], sql)
+    return spark.sql(named, **{t: _t(spark, d, t) for t in names})
+
+
+def _q(**options) -> QueryBuilder:
+    return QueryBuilder(**options)
+
+
+_ORDERS, _PART, _CUST = "select * from orders", "select * from part", "select * from customer"
+_O, _P, _C = "o_orderkey, o_orderstatus, o_totalprice", "p_partkey, p_name", "c_custkey, c_name"
+_SEGMENTS = "select c_custkey, c_name, c_acctbal, nullif(c_mktsegment, 'BUILDING') as segment from customer"
+_WORDS = "select p_partkey, p_name, split(p_name, ' ') as words from part"
+
+_model("q_flagship", _ORDERS, _q().where("o_orderstatus", eq="O").any_of([Filter("o_orderpriority", Op.IN, ("1-URGENT", "2-HIGH")), Filter("o_totalprice", Op.GT, 200000.0)]).order_by("o_totalprice", True).limit(10).offset(20).build(), "o_orderkey, o_totalprice, o_orderpriority", ("o_orderkey",))
+_model("f_equals", _ORDERS, _q().where("o_orderstatus", eq="O").build(), _O)
+_model("f_not_equals", _ORDERS, _q().where("o_orderstatus", ne="O").build(), _O)
+_model("f_gt", _ORDERS, _q().where("o_totalprice", gt=150000.0).build(), _O)
+_model("f_gte", _ORDERS, _q().where("o_totalprice", ge=150000.0).build(), _O)
+_model("f_lt", _ORDERS, _q().where("o_totalprice", lt=20000.0).build(), _O)
+_model("f_lte", _ORDERS, _q().where("o_totalprice", le=20000.0).build(), _O)
+_model("f_between", _ORDERS, _q().where("o_totalprice", between=[50000.0, 60000.0]).build(), _O)
+_model("f_contains", _PART, _q().where("p_name", contains="e").build(), _P)
+_model("f_contains_ci", _PART, _q().where("p_name", contains_ci="A").build(), _P)
+_model("f_starts", _PART, _q().where("p_name", starts="p").build(), _P)
+_model("f_ends", _CUST, _q().where("c_name", ends="7").build(), _C)
+_model("f_matches", _CUST, _q().where("c_name", matches="[0-9]*[13]5$").build(), _C)
+_model("f_in", _CUST, _q().where("c_mktsegment", is_in=["BUILDING", "MACHINERY"]).build(), "c_custkey, c_mktsegment")
+_model("f_not_in", _SEGMENTS, _q().where_raw(Filter("segment", Op.NOT_IN, ("MACHINERY", None))).build(), "c_custkey, segment")
+_model("f_in_empty", _CUST, _q().where_raw(Filter("c_mktsegment", Op.IN, ())).build(), _C)
+_model("f_not_in_empty", _SEGMENTS, _q().where_raw(Filter("segment", Op.NOT_IN, ())).build(), "c_custkey, segment")
+_model("f_is_null", _SEGMENTS, _q().where_null("segment").build(), "c_custkey, c_name")
+_model("f_is_not_null", _SEGMENTS, _q().where_not_null("segment").build(), "c_custkey, segment")
+_model("f_equals_null", _SEGMENTS, _q().where_raw(Filter("segment", Op.EQ, None)).build(), "c_custkey, segment")
+_model("f_not_equals_null", _SEGMENTS, _q().where_raw(Filter("segment", Op.NE, None)).build(), "c_custkey, segment")
+_model("f_or_root", _ORDERS, _q(logic=Logic.OR).where("o_orderstatus", eq="F").where("o_totalprice", gt=300000.0).build(), _O)
+_model("f_composite_or", _ORDERS, _q().where("o_orderstatus", eq="O").any_of([Filter("o_totalprice", Op.LT, 10000.0), Filter("o_totalprice", Op.GT, 250000.0)]).build(), _O)
+_model("f_composite_and_in_or", _ORDERS, _q(logic=Logic.OR).where("o_totalprice", gt=300000.0).all_of([Filter("o_orderstatus", Op.EQ, "P"), Filter("o_totalprice", Op.LT, 50000.0)]).build(), _O)
+_model("q_sort_multi", _ORDERS, _q().order_by("o_orderpriority", True).order_by("o_totalprice").limit(25).build(), "o_orderkey, o_orderpriority, o_totalprice", ("o_orderkey",))
+_model("q_nulls_first", _SEGMENTS, _q().order_by("segment", nulls_first=True).limit(40).build(), "c_custkey, segment", ("c_custkey",))
+_model("q_nulls_last_desc", _SEGMENTS, _q().order_by("segment", True).limit(40).build(), "c_custkey, segment", ("c_custkey",))
+_model("q_topk", _ORDERS, _q().order_by("o_totalprice", True).limit(15).build(), _O, ("o_orderkey",))
+_model("q_offset_limit", _ORDERS, _q().order_by("o_totalprice", True).offset(30).limit(15).build(), _O, ("o_orderkey",))
+
+
+@_register("f_array_contains", "SELECT p_partkey, p_name FROM part WHERE list_contains(string_split(p_name, ' '), 'plate')")
+def _(spark, d):
+    return apply(_view(spark, d, _WORDS), _q().where("words", array_contains="plate").build()).select("p_partkey", "p_name")
+
+
+@_register("f_array_contains_any", "SELECT p_partkey, p_name FROM part WHERE list_has_any(string_split(p_name, ' '), ['plate', 'ring'])")
+def _(spark, d):
+    return apply(_view(spark, d, _WORDS), _q().where("words", array_any=["plate", "ring"]).build()).select("p_partkey", "p_name")
+
+
+@_register(
+    "f_within_distance",
+    "WITH g AS (SELECT c_custkey, radians(c_custkey % 180 - 90) la, radians(c_custkey % 360 - 180) lo FROM customer), h AS (SELECT c_custkey, power(sin((radians(1.0) - la) / 2), 2) + cos(la) * cos(radians(1.0)) * power(sin((radians(-91.0) - lo) / 2), 2) a FROM g) "
+    "SELECT c_custkey FROM h WHERE 6371000.0 * 2 * atan2(sqrt(a), sqrt(1 - a)) <= 3000000.5",
+)
+def _(spark, d):
+    df = _t(spark, d, "customer").select("c_custkey", F.struct((F.col("c_custkey") % 180 - 90).alias("latitude"), (F.col("c_custkey") % 360 - 180).alias("longitude")).alias("place"))
+    return apply(df, _q().where_within("place", 1.0, -91.0, 3_000_000.5).build()).select("c_custkey")
+
+
+@_register("f_nested_path", "SELECT event_id FROM events WHERE CAST(json_extract(props, '$.k') AS INTEGER) >= 50")
+def _(spark, d):
+    df = _t(spark, d, "events").select("event_id", F.from_json("props", "k int").alias("props"))
+    return apply(df, _q().where("props.k", ge=50).build()).select("event_id")
+
+
+@_register("f_custom", "SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 3 AND o_orderstatus = 'O'")
+def _(spark, d):
+    hook = lambda f: F.col(f.field) % 7 == f.value if f.op is Op.MATCHES else None
+    return apply(_t(spark, d, "orders"), _q().where("o_orderkey", matches=3).where("o_orderstatus", eq="O").build(), custom=hook).select("o_orderkey")
+
+
+@_register("q_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
+def _(spark, d):
+    return paging.page_rows(_t(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], 3)
+
+
+@_register("q_page_summary", "SELECT count(*) total_count, CAST(ceil(count(*) / 50.0) AS BIGINT) total_pages, 3 < ceil(count(*) / 50.0) has_more FROM orders")
+def _(spark, d):
+    return paging.summary(_t(spark, d, "orders"), 3)
+
+
+@_register("q_keyset_page", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 50")
+def _(spark, d):
+    return paging.after(_t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 500)
+
+
+@_register("q_scan_user", "SELECT event_id, user_id, event_type, value FROM events WHERE user_id = 7")
+def _(spark, d):
+    return _t(spark, d, "events").select("event_id", "user_id", "event_type", "value").where("user_id = 7")
+
+
+@_register("q_lookup", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 77")
+def _(spark, d):
+    return entity.lookup(_t(spark, d, "orders"), 77, "o_orderkey").select("o_orderkey", "o_custkey")
+
+
+@_register("q_lookup_many", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 49)")
+def _(spark, d):
+    ids = _t(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    return entity.lookup_many(_t(spark, d, "orders"), ids, "o_orderkey").select("o_orderkey", "o_custkey")
+
+
+@_register("q_scope_incremental", "SELECT event_id, user_id FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00'")
+def _(spark, d):
+    return _t(spark, d, "events").where("ts > timestamp_ntz'2024-01-15 00:00:00'").select("event_id", "user_id")
+
+
+@_register("r_belongs_to", "SELECT o_orderkey AS parent_key, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'")
+def _(spark, d):
+    parents = _t(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
+    related = _t(spark, d, "customer").select("c_custkey", "c_name")
+    return relations.pairs(parents, BelongsTo("o_custkey", "c_custkey"), related, parent_id="o_orderkey")
+
+
+@_register("r_belongs_to_fetch", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
+def _(spark, d):
+    return relations.fetch(_t(spark, d, "orders").where("o_totalprice > 250000"), BelongsTo("o_custkey", "c_custkey"), _t(spark, d, "customer")).select("c_custkey", "c_name")
+
+
+@_register("r_has_many", "SELECT c_custkey AS parent_key, o_orderkey, o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_acctbal < 0")
+def _(spark, d):
+    parents = _t(spark, d, "customer").where("c_acctbal < 0")
+    return relations.pairs(parents, HasMany("o_custkey", "c_custkey"), _t(spark, d, "orders")).select("parent_key", "o_orderkey", "o_totalprice")
+
+
+@_register("r_has_one", "SELECT d.doc_id AS parent_key, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+def _(spark, d):
+    return relations.pairs(_t(spark, d, "documents").select("doc_id"), HasOne("doc_id", "doc_id"), _t(spark, d, "labels"), order=("quality", "toxic")).select("parent_key", "quality", "toxic")
+
+
+@_register("r_many_to_many", "SELECT o_orderkey AS parent_key, p_partkey, p_name FROM orders JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_orderstatus = 'P'")
+def _(spark, d):
+    parents = _t(spark, d, "orders").where("o_orderstatus = 'P'")
+    return relations.pairs(parents, ManyToMany("l_orderkey", "l_partkey", "o_orderkey", "p_partkey"), _t(spark, d, "part"), _t(spark, d, "lineitem")).select("parent_key", "p_partkey", "p_name")
+
+
+@_register("r_many_to_many_fetch", "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey = 5)")
+def _(spark, d):
+    parent = _t(spark, d, "orders").where("o_orderkey = 5")
+    return relations.fetch(parent, ManyToMany("l_orderkey", "l_partkey", "o_orderkey", "p_partkey"), _t(spark, d, "part"), _t(spark, d, "lineitem")).select("p_partkey", "p_name")
+
+
+@_register("r_batch_counts", "SELECT o_custkey AS user_id, count(*) AS n FROM orders GROUP BY o_custkey")
+def _(spark, d):
+    return _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count("*").alias("n"))
+
+
+@_register("a_count", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'O'")
+def _(spark, d):
+    return count(_t(spark, d, "orders"), _q().where("o_orderstatus", eq="O").build())
+
+
+@_register("a_first", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")
+def _(spark, d):
+    return first(_t(spark, d, "orders").select("o_orderkey", "o_totalprice"), _q().order_by("o_totalprice", True).build(), ("o_orderkey",))
+
+
+@_register("a_distinct_users", "SELECT DISTINCT user_id FROM events")
+def _(spark, d):
+    return entity.users(_t(spark, d, "events"))
+
+
+@_register("a_pending_count", "SELECT user_id, count(*) AS pending FROM events WHERE event_type <> 'view' GROUP BY user_id")
+def _(spark, d):
+    return _t(spark, d, "events").where("event_type <> 'view'").groupBy("user_id").agg(F.count("*").alias("pending"))
+
+
+@_register("a_entity_counts", "SELECT user_id, sum(o) AS orders, sum(e) AS events FROM (SELECT o_custkey AS user_id, 1 AS o, 0 AS e FROM orders UNION ALL SELECT user_id, 0, 1 FROM events) GROUP BY user_id")
+def _(spark, d):
+    meta = integrity.metadata({"orders": _t(spark, d, "orders").withColumnRenamed("o_custkey", "user_id"), "events": _t(spark, d, "events")}, F.lit(0))
+    n = lambda k: F.coalesce(F.try_element_at("entity_counts", F.lit(k)), F.lit(0))
+    return meta.select("user_id", n("orders").cast("decimal(38,0)").alias("orders"), n("events").cast("decimal(38,0)").alias("events"))
+
+
+_SYNC = "select user_id, case event_id % 5 when 0 then 'started' when 1 then 'completed' when 2 then 'error' when 3 then 'conflictResolved' else 'userSwitched' end as event_type, event_id % 3 as failed_count, event_id % 4 as conflicts_resolved, event_id % 1000 as bytes_pushed, event_id % 700 as bytes_pulled, event_id % 90 as duration_ms, event_id from events"
+_FOLD = "SELECT {by}count(*) FILTER (event_type = 'started') total_syncs, count(*) FILTER (event_type = 'completed' AND failed_count = 0) successful_syncs, count(*) FILTER (event_type = 'completed' AND failed_count > 0) + count(*) FILTER (event_type = 'error') failed_syncs, CAST(coalesce(sum(conflicts_resolved) FILTER (event_type = 'completed'), 0) AS BIGINT) conflicts_detected, count(*) FILTER (event_type = 'conflictResolved') conflicts_resolved, count(*) FILTER (event_type = 'userSwitched') user_switches, CAST(coalesce(sum(bytes_pushed) FILTER (event_type = 'completed'), 0) AS BIGINT) bytes_pushed, CAST(coalesce(sum(bytes_pulled) FILTER (event_type = 'completed'), 0) AS BIGINT) bytes_pulled, count(DISTINCT user_id) FILTER (event_type = 'started') active_users FROM (" + _SYNC + ")"
+
+
+@_register("a_metrics_fold", _FOLD.format(by=""))
+def _(spark, d):
+    return metrics.fold_events(_view(spark, d, _SYNC))
+
+
+@_register("a_statistics", f"SELECT user_id, count(*) total_syncs, count(*) FILTER (failed_count = 0) successful, count(*) FILTER (failed_count <> 0) failed, CAST(sum(conflicts_resolved) AS BIGINT) conflicts, avg(duration_ms) average_ms, CAST(sum(duration_ms) AS BIGINT) total_ms FROM ({_SYNC}) GROUP BY user_id")
+def _(spark, d):
+    return metrics.statistics(_view(spark, d, _SYNC), ["user_id"])
+
+
+@_register("a_success_rate", f"SELECT user_id, CASE WHEN s + f = 0 THEN 100.0 ELSE s * 100.0 / (s + f) END::DOUBLE AS rate FROM (SELECT user_id, count(*) FILTER (event_type = 'completed' AND failed_count = 0) s, count(*) FILTER (event_type = 'error') f FROM ({_SYNC}) GROUP BY user_id)")
+def _(spark, d):
+    s, f = F.count_if((F.col("event_type") == "completed") & (F.col("failed_count") == 0)), F.count_if(F.col("event_type") == "error")
+    return _view(spark, d, _SYNC).groupBy("user_id").agg(s.alias("s"), f.alias("f")).select("user_id", metrics.success_rate(F.col("s").cast("double"), F.col("f").cast("double")).alias("rate"))
+
+
+@_register("a_storage_size", "SELECT CAST(sum(length('{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}')) + count(*) - 1 + 2 AS BIGINT) AS size FROM customer")
+def _(spark, d):
+    return entity.storage_size(_t(spark, d, "customer").select("c_custkey", "c_name"))
+
+
+@_register("a_rollup_totals", "SELECT user_id, event_type, count(*) items, CAST(sum(event_id % 100) AS BIGINT) bytes FROM events GROUP BY ROLLUP (user_id, event_type)")
+def _(spark, d):
+    return metrics.totals(_t(spark, d, "events").withColumn("size", F.col("event_id") % 100), "user_id", "event_type", "size")
+
+
+@_register("a_running_bytes", "SELECT event_id, user_id, CAST(sum(event_id % 100) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) total_bytes FROM events")
+def _(spark, d):
+    rows = _t(spark, d, "events").select("event_id", "user_id", (F.col("event_id") % 100).alias("size"))
+    return metrics.running_bytes(rows, "user_id", "event_id", "size").select("event_id", "user_id", "total_bytes")
+
+
+@_register("a_durations", "SELECT event_id, CASE WHEN m >= 60000 THEN (m // 60000) || 'm ' || (m // 1000 % 60) || 's' WHEN m >= 1000 THEN (m // 1000) || 's ' || (m % 1000) || 'ms' ELSE m || 'ms' END AS took FROM (SELECT event_id, 1 + event_id * 37 % 200000 AS m FROM events)")
+def _(spark, d):
+    return _t(spark, d, "events").select("event_id", scalars.duration_text((1 + F.col("event_id") * 37 % 200000) * 1000).alias("took"))
+
+
+@_register("a_backoff", "SELECT event_id, CAST(least(300000.0, 1000 * power(2.0, n - 1)) AS BIGINT) exponential, n * 1000 AS linear FROM (SELECT event_id, 1 + event_id % 12 AS n FROM events)")
+def _(spark, d):
+    n = 1 + F.col("event_id") % 12
+    return _t(spark, d, "events").select("event_id", scalars.exponential_delay(n).alias("exponential"), scalars.linear_delay(n).alias("linear"))
+
+
+_LOCAL = "select o_orderkey as id, o_custkey as user_id, o_totalprice as amt, 1 + (o_orderkey % 3) as version, (o_orderkey % 11 = 0) as is_deleted, o_orderkey % 50 as modified_at from orders where o_orderkey % 10 <> 0"
+_REMOTE = "select o_orderkey as id, case when o_orderkey % 97 = 0 then -1 else o_custkey end as user_id, o_totalprice + 1 as amt, 1 + (o_orderkey % 2) as version, (o_orderkey % 13 = 0) as is_deleted, o_orderkey % 40 as modified_at from orders where o_orderkey % 7 <> 0"
+_KIND = "CASE WHEN l.id IS NOT NULL AND r.user_id <> l.user_id THEN 'userMismatch' WHEN l.id IS NULL THEN 'none' WHEN l.is_deleted <> r.is_deleted THEN 'deletionConflict' WHEN l.version <> r.version THEN 'bothModified' ELSE 'none' END"
+_BOTH = f"SELECT r.*, l.id AS lid, l.version AS lv, l.modified_at AS lm, l.amt AS lamt, {_KIND} AS kind FROM ({_REMOTE}) r LEFT JOIN ({_LOCAL}) l ON r.id = l.id"
+
+
+def _replicas(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return _view(spark, d, _LOCAL), _view(spark, d, _REMOTE)
+
+
+@_register("s_detect", f"SELECT id, kind, CASE WHEN kind = 'none' THEN CASE WHEN lid IS NULL THEN 'create' ELSE 'update' END WHEN version > lv OR (version = lv AND modified_at > lm) THEN 'takeRemote' ELSE 'takeLocal' END AS action FROM ({_BOTH})")
+def _(spark, d):
+    local, remote = _replicas(spark, d)
+    return reconcile.classify(local, remote, each=True).select("id", "kind", "action")
+
+
+def _pull_sql(takes: str, amount: str = "amt") -> str:
+    columns = f"id, user_id, {amount} AS amt, version, is_deleted"
+    return f"WITH b AS ({_BOTH}), w AS (SELECT {columns} FROM b WHERE kind = 'none' OR {takes}) SELECT * FROM w UNION ALL SELECT id, user_id, amt, version, is_deleted FROM ({_LOCAL}) WHERE id NOT IN (SELECT id FROM w)"
+
+
+def _pulled(spark: SparkSession, d: str, resolver, merge=None) -> DataFrame:
+    local, remote = _replicas(spark, d)
+    return reconcile.pull(reconcile.classify(local, remote, resolver=resolver, each=True), local, merge).select("id", "user_id", "amt", "version", "is_deleted")
+
+
+@_register("s_pull_lww", _pull_sql("version > lv OR (version = lv AND modified_at > lm)"))
+def _(spark, d):
+    return _pulled(spark, d, reconcile.last_write_wins)
+
+
+@_register("s_pull_local", _pull_sql("FALSE"))
+def _(spark, d):
+    return _pulled(spark, d, reconcile.local_priority)
+
+
+@_register("s_pull_remote", _pull_sql("TRUE"))
+def _(spark, d):
+    return _pulled(spark, d, reconcile.remote_priority)
+
+
+@_register("s_pull_merge", _pull_sql("TRUE", "CASE WHEN kind = 'none' THEN amt ELSE greatest(amt, lamt) END"))
+def _(spark, d):
+    return _pulled(spark, d, reconcile.merging, lambda l, r: [r["id"], r["user_id"], F.greatest(l["amt"], r["amt"]), r["version"], r["is_deleted"], r["modified_at"]])
+
+
+@_register("s_pull_prompt", _pull_sql("id % 3 = 0"))
+def _(spark, d):
+    choice = F.when(F.col("id") % 3 == 0, reconcile.TAKE_REMOTE).when(F.col("id") % 3 == 1, reconcile.TAKE_LOCAL)
+    return _pulled(spark, d, reconcile.decided(choice))
+
+
+@_register("s_pull_counts", f"SELECT count(*) FILTER (kind <> 'none') AS conflicts_resolved, count(*) FILTER (kind = 'none' OR version > lv OR (version = lv AND modified_at > lm)) AS written FROM ({_BOTH})")
+def _(spark, d):
+    local, remote = _replicas(spark, d)
+    return reconcile.pull_counts(reconcile.classify(local, remote, each=True)).select("conflicts_resolved", "written")
+
+
+@_register("s_diff", f"SELECT coalesce(l.id, r.id) AS id, CASE WHEN l.id IS NULL THEN 'create' WHEN r.id IS NULL THEN 'delete' WHEN l.user_id <> r.user_id OR l.version <> r.version OR l.is_deleted <> r.is_deleted THEN 'update' ELSE 'same' END AS change, CASE WHEN l.id IS NOT NULL AND r.id IS NOT NULL AND l.version <> r.version THEN CAST(r.version AS VARCHAR) END AS new_version FROM ({_LOCAL}) l FULL JOIN ({_REMOTE}) r ON l.id = r.id")
+def _(spark, d):
+    local, remote = _replicas(spark, d)
+    found = changes.diff(local, remote, ["id"], ["user_id", "version", "is_deleted"])
+    return found.select("id", "change", F.try_element_at("delta", F.lit("version")).alias("new_version"))
+
+
+@_register("s_push_replay")
+def _(spark, d):
+    e = _t(spark, d, "events")
+    kind = F.element_at(F.array(*map(F.lit, ("create", "update", "patch", "delete", "patch"))), (F.col("event_id") % 5 + 1).cast("int"))
+    ops = e.select((F.col("user_id") * 10 + F.col("event_id") % 10).alias("id"), F.col("event_id").alias("seq"), kind.alias("type"), F.struct((F.col("event_id") % 97).alias("a"), (F.col("event_id") % 89).alias("b")).alias("full"), F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("a"), (F.col("event_id") % 97).cast("string"))).when(F.col("event_id") % 3 == 0, F.create_map(F.lit("b"), (F.col("event_id") % 89).cast("string"))).alias("delta"))
+    base = spark.range(0, 1500, 3).select("id", F.lit(-1).cast("long").alias("a"), F.lit(-2).cast("long").alias("b"))
+    return changes.replay(base, ops, ["a", "b"])
+
+
+@_register("s_retry_outcomes", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'synced' WHEN event_id % 3 > 0 AND event_id % 5 < 3 THEN 'retry' ELSE 'dead' END AS outcome, CAST(event_id % 5 + CASE WHEN event_id % 4 <> 0 AND event_id % 3 > 0 AND event_id % 5 < 3 THEN 1 ELSE 0 END AS BIGINT) AS retry_count FROM events")
+def _(spark, d):
+    n = F.col("event_id")
+    tries = _t(spark, d, "events").select(n, F.when(n % 4 != 0, "timeout").alias("error"), (n % 3 > 0).alias("retryable"), (n % 5).alias("retry_count"))
+    return changes.outcomes(tries).select("event_id", "outcome", F.col("retry_count").cast("long").alias("retry_count"))
+
+
+@_register("s_upsert", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 1.0 ELSE o_totalprice END AS amt FROM orders")
+def _(spark, d):
+    base = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amt"))
+    return changes.upsert(base, base.where("id % 3 = 0").withColumn("amt", F.lit(1.0)), ["id"])
+
+
+@_register("s_patch", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS status, o_custkey AS cust FROM orders")
+def _(spark, d):
+    base = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("cust"))
+    deltas = base.where("id % 3 = 0").select("id", F.create_map(F.lit("status"), F.lit(None).cast("string")).alias("delta"))
+    return changes.patch(base, deltas, ["id"], ["status", "cust"])
+
+
+@_register("s_delete", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 <> 0")
+def _(spark, d):
+    base = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    return changes.delete(base, base.where("id % 3 = 0"), ["id"])
+
+
+@_register("s_metadata", "SELECT o_custkey AS user_id, count(*) AS n FROM orders GROUP BY o_custkey")
+def _(spark, d):
+    meta = integrity.metadata({"orders": _t(spark, d, "orders").withColumnRenamed("o_custkey", "user_id")}, F.lit(0))
+    return meta.select("user_id", F.element_at("entity_counts", F.lit("orders")).alias("n"))
+
+
+@_register("s_hash", "SELECT c_mktsegment, count(*) AS n, sha256('[' || string_agg('{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}', ',' ORDER BY c_custkey) || ']') AS hash FROM customer GROUP BY c_mktsegment")
+def _(spark, d):
+    return integrity.content_hash(_t(spark, d, "customer"), ["c_custkey", "c_name"], "c_custkey", ["c_mktsegment"])
+
+
+@_register("m_migrate_chain", "SELECT p_partkey, p_name AS title, CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS priority FROM part")
+def _(spark, d):
+    steps = [
+        migrate.Migration(1, 2, lambda df: df.select("p_partkey", F.col("p_name").alias("title"), F.element_at(F.array(*map(F.lit, ("high", "medium", "low"))), F.col("p_size") % 3 + 1).alias("priority"))),
+        migrate.Migration(2, 3, lambda df: df.withColumn("priority", F.when(F.col("priority") == "high", 1).when(F.col("priority") == "medium", 2).otherwise(3))),
+    ]
+    return migrate.migrate(_t(spark, d, "part"), steps, 1, 3)
+
+
+@_register("m_target_projection", "SELECT p_partkey, p_name, p_brand FROM part")
+def _(spark, d):
+    part = entity.Entity("part", local_only=("p_size", "p_type", "p_retailprice"))
+    return entity.project(_t(spark, d, "part"), part, "remote")
+
+
+@_register("m_camel_columns", 'SELECT c_custkey AS "cCustkey", c_name AS "cName" FROM customer')
+def _(spark, d):
+    return scalars.camel_columns(_t(spark, d, "customer").select("c_custkey", "c_name"))
+
+
+@_register("t_dedup_ttl")
+def _(spark, d):
+    return live.suppress(_t(spark, d, "events"), "user_id", "ts", ["event_id"], 3600.0)
+
+
+@_register("t_live_count", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def _(spark, d):
+    return live.live_count(_t(spark, d, "events"), "event_type")
+
+
+@_register("t_latest_by_key", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def _(spark, d):
+    return live.latest(_t(spark, d, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@_register("t_change_apply", "WITH c AS (SELECT user_id AS id, event_id AS v, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT id, v FROM c WHERE event_type <> 'view' UNION ALL SELECT c_custkey, -1 FROM customer WHERE c_custkey NOT IN (SELECT id FROM c)")
+def _(spark, d):
+    base = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(-1).cast("long").alias("v"))
+    kind = F.when(F.col("event_type") == "view", "delete").otherwise("update")
+    log = _t(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("v"), kind.alias("type"), "ts")
+    return live.apply_changes(base, log, "id", ["ts", "v"])
+
+
+def queries() -> dict[str, Run]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
