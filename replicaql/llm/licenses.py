@@ -44,7 +44,8 @@ TEMPLATES = (
     ("all-rights-reserved", "all rights reserved", "all rights reserved"),
 )
 VOCABULARY = sorted({w for _, t, _ in TEMPLATES for w in t.split()} | {w for _, p in BASE for w in p.split()})
-_EMPTY = F.array().cast("array<int>")
+def _empty() -> Column:
+    return F.array().cast("array<int>")
 
 
 def postings(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -93,7 +94,7 @@ def scan(indexed: DataFrame, idf: dict[str, float]) -> DataFrame:
     some = F.size(F.coalesce("occ", F.array().cast("array<struct<w:string,p:int>>"))) > 0
     base = {}
     for label, phrase in BASE:
-        base[phrase] = (label, F.when(some, _phrase(phrase)).otherwise(_EMPTY))
+        base[phrase] = (label, F.when(some, _phrase(phrase)).otherwise(_empty()))
     out = indexed.withColumns({f"_b{i}": c for i, (_, c) in enumerate(base.values())})
     every = F.concat(*[F.col(f"_b{i}") for i in range(len(base))])
     hits, scores = [], []
@@ -106,7 +107,7 @@ def scan(indexed: DataFrame, idf: dict[str, float]) -> DataFrame:
         rest = rare[2:]
         if rest:  # the mandatory phrase
             starts = reduce(F.array_intersect, [starts, *[_starts(words[j], j) for j in rest]])
-        out = out.withColumn(f"_t{i}", F.when(some & F.array_contains("present", words[rare[0]]), starts).otherwise(_EMPTY))
+        out = out.withColumn(f"_t{i}", F.when(some & F.array_contains("present", words[rare[0]]), starts).otherwise(_empty()))
         best = _share(words, key_at, idf)
         hit = F.size(f"_t{i}") > 0
         hits.append(F.when(hit, F.lit(label)))
