@@ -6,8 +6,11 @@ shingle domain is dealt by hash to (k+1)/2 groups, of which one holds at most on
 three parts, of which two then agree, and every two of three are a signature. So similar sets share a signature.
 
 Sets (classes of equal texts after normalisation) that share signatures are verified by exact set sizes of
-intersection and union: first each with a leader of its bucket, in two rounds with different leaders, then all pairs in
-a bucket that the found links have not connected. Links that connect what is connected already change no component.
+intersection and union. No bucket is turned into all its pairs: every member is compared with its bucket's leader L (the
+set that shares most buckets), which gives its added (not in L) and removed (of L) shingles. Two similar sets a, b of a
+bucket either share an added shingle, and then one among the k + 1 of smallest hash of each, or their difference is at
+least added(a) + added(b) + |removed(a) - removed(b)|. Only pairs that share such a shingle or whose counts allow that
+sum are compared, and of these none that links with L have connected.
 
 Sets are told apart by 64-bit hashes of shingles (48 bits of each kept for intersections).
 Defined results: null, empty and all-space texts have no set and stand alone; repeated rows are copies; a null id stays
@@ -185,6 +188,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of each pair (lead, k): added and removed counts, size, linked, and the added shingles of smallest hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                lead, own = _unpack(x.as_py()), _unpack(y.as_py())
+                added = np.setdiff1d(own, lead, assume_unique=True)
+                both = len(own) - len(added)
+                most = (100 - percent) * (len(own) + len(own) * 100 // percent + 1) // (100 + percent)
+                out.append((len(added), len(lead) - both, len(own), 100 * both >= percent * (len(lead) + len(added)), added[: most + 1].view(np.int64)))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())), strict=True))], names=["lead", "k", "added", "removed", "n", "linked", "first"])
+
+    near = pairs.join(sets.select(F.col("k").alias("lead"), F.col("s").alias("sl")), "lead").join(sets, "k").select("lead", "k", "sl", "s")
+    return near.mapInArrow(run, "lead long, k long, added long, removed long, n long, linked boolean, first array<long>")
+
+
+def _candidates(compared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one leader that may be similar and are not both linked with it."""
+    one = compared.select("lead", "k", "linked", F.explode("first").alias("e"))
+    two = one.select("lead", "e", F.col("k").alias("k2"), F.col("linked").alias("linked2"))
+    share = one.join(two, ["lead", "e"]).where("k < k2 and not (linked and linked2)").select(F.col("k").alias("a"), F.col("k2").alias("b"))
+    # pairs of counts first, then their members
+    may = compared.where(F.col("added") * (100 + percent) <= (100 - percent) * (F.col("n") + F.floor(F.col("n") * 100 / percent) + 1))
+    kinds = may.select("lead", "added", "removed", "linked", "n").distinct()
+    other = kinds.withColumnsRenamed({"added": "added2", "removed": "removed2", "linked": "linked2", "n": "n2"})
+    least = F.col("added") + F.col("added2") + F.abs(F.col("removed") - F.col("removed2"))
+    fit = kinds.join(other, "lead").where((least * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n2"))) & ~(F.col("linked") & F.col("linked2")))
+    left = may.select("lead", "added", "removed", "linked", "k")
+    right = left.withColumnsRenamed({"added": "added2", "removed": "removed2", "linked": "linked2", "k": "k2"})
+    count = fit.drop("n", "n2").join(left, ["lead", "added", "removed", "linked"]).join(right, ["lead", "added2", "removed2", "linked2"]).where("k < k2").select(F.col("k").alias("a"), F.col("k2").alias("b"))
+    return share.union(count).distinct()
+
+
 def join_components(docs: DataFrame, id_col: str = "doc_id", width: int = 3, percent: int = 90) -> DataFrame:
     """id, k (class), n (set size) and component_id: the smallest id reachable by links of similar sets."""
     spark = docs.sparkSession
@@ -195,37 +234,25 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", width: int = 3, per
     shared = signed(slim, width, percent).withColumn("lo", F.min("k").over(bucket)).withColumn("hi", F.max("k").over(bucket))
     shared = written(shared.where("lo < hi").select("sig", "k"), "shared")
     members = written(shared.select("k").distinct().join(classes, "k"), "members")
-    shared = shared.dropDuplicates(["sig", "k"]).join(members.select("k", "n"), "k")
-    shared = written(shared, "buckets")
-    count = members.count()
     wanted = members.select(F.col("rep").alias("id")).distinct()
-    wanted = F.broadcast(wanted) if count <= BROADCAST_IDS else wanted
+    wanted = F.broadcast(wanted) if members.count() <= BROADCAST_IDS else wanted
     sets = written(_sets(slim.join(wanted, "id", "left_semi").select("id", "text"), width).dropDuplicates(["k"]), "sets")
-    similar = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    links, tried = None, None
-    comp = members.select(F.col("k").alias("node"), F.col("k").alias("comp"))
-    for step in range(3):
-        held = shared.join(comp.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
-        if step < 2:
-            lead = held.groupBy("sig").agg(F.min(F.struct(F.xxhash64("k", F.lit(step)).alias("h"), "k", "n", "comp")).alias("l"))
-            pairs = held.join(lead, "sig").where("comp <> l.comp").select(F.least("k", "l.k").alias("a"), F.greatest("k", "l.k").alias("b"), F.col("n").alias("na"), F.col("l.n").alias("nb"))
-        else:
-            # only buckets that still hold two components
-            split = held.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-            held = held.join(split, "sig")
-            other = held.select("sig", F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            pairs = held.join(other, "sig").where("k < k2 and comp <> comp2").select(F.col("k").alias("a"), F.col("k2").alias("b"), F.col("n").alias("na"), F.col("n2").alias("nb"))
-        pairs = pairs.where(similar).select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        new = written(_verified(pairs, sets, percent), "similar")
-        if new.isEmpty():
-            continue
-        links = new if links is None else links.union(new)
+    many = shared.groupBy("sig").agg(F.count("*").alias("size"))
+    scores = shared.join(many, "sig").groupBy("k").agg(F.sum("size").alias("score"))
+    leads = shared.join(scores, "k").groupBy("sig").agg(F.max(F.struct("score", "k"))["k"].alias("lead"))
+    pairs = shared.join(leads, "sig").where("k <> lead").select("lead", "k").distinct()
+    compared = written(_compared(pairs, sets, percent), "compared")
+    links = compared.where("linked").select(F.col("lead").alias("a"), F.col("k").alias("b"))
+    comp = None if links.isEmpty() else components(links)
+    more = _candidates(compared, percent)
+    if comp is not None:
+        of = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))
+        more = more.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b")
+    more = written(_verified(more, sets, percent), "similar")
+    if not more.isEmpty():
+        links = links.union(more)
         comp = components(links)
-    if links is None:
+    if comp is None:
         comp = spark.createDataFrame([], "node long, comp long")
     named = comp.join(members.select(F.col("k").alias("node"), "rep"), "node")
     least = named.groupBy("comp").agg(F.min("rep").alias("least"))
