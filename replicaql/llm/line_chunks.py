@@ -12,7 +12,7 @@ pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, table, written
@@ -23,17 +23,21 @@ LONG_LINE = 50
 BROADCAST_DOCS = 300_000
 
 
-def chunks(lines: Column, divisor: int = DIVISOR, long_line: int = LONG_LINE) -> Column:
-    """Array of (first, size) of the chunks of an array of lines that may be removed."""
-    hashes = F.transform(lines, lambda x: F.xxhash64(x))
-    # rolling: the previous line's hash shifted by one bit, with the line's own
-    rolled = F.transform(hashes, lambda h, i: F.when(i > 0, F.pmod(F.xxhash64(F.shiftleft(F.get(hashes, i - 1), 1).bitwiseXOR(h)), F.lit(divisor)) == 0).otherwise(False))
-    cuts = F.filter(F.transform(rolled, lambda cut, i: F.when(cut, i)), lambda x: x.isNotNull())
-    last = F.size(lines) - 1
-    ends = F.array_distinct(F.concat(cuts, F.array(last)))
-    found = F.transform(ends, lambda e, i: F.struct(F.when(i > 0, F.get(ends, i - 1) + 1).otherwise(0).alias("first"), (e - F.when(i > 0, F.get(ends, i - 1)).otherwise(-1)).alias("size")))
-    long = lambda c: F.regexp_count(F.get(lines, c["first"]), F.lit(WORD)) >= long_line
-    return F.filter(found, lambda c: (c["size"] > 1) | long(c))
+def with_chunks(docs: DataFrame, divisor: int = DIVISOR, long_line: int = LONG_LINE) -> DataFrame:
+    """Adds cs: the chunks (first, size, text) of the column lines that may be removed.
+
+    Neighbours are met by shifting arrays, not by looking an index up in a lambda: each array is then made once a row.
+    """
+    body = lambda a: F.slice(a, F.lit(1), F.size(a) - 1)
+    hashed = docs.withColumn("_h", F.transform("lines", lambda x: F.xxhash64(x)))
+    # rolling: the previous line's hash shifted by one bit, with the line's own; no cut after the first line
+    roll = lambda before, h: before.isNotNull() & (F.pmod(F.xxhash64(F.shiftleft(before, 1).bitwiseXOR(h)), F.lit(divisor)) == 0)
+    cut = F.zip_with(F.concat(F.array(F.lit(None).cast("long")), body(F.col("_h"))), F.col("_h"), roll)
+    ends = F.array_distinct(F.concat(F.filter(F.transform(cut, lambda c, i: F.when(c, i)), lambda x: x.isNotNull()), F.array(F.size("lines") - 1)))
+    ended = hashed.withColumn("_e", ends)
+    starts = F.concat(F.array(F.lit(0)), F.transform(body(F.col("_e")), lambda e: e + 1))
+    texts = F.zip_with(starts, F.col("_e"), lambda s, e: F.struct(s.alias("first"), (e - s + 1).alias("size"), F.array_join(F.slice("lines", s + 1, e - s + 1), "\n").alias("chunk")))
+    return ended.withColumn("cs", F.filter(texts, lambda c: (c["size"] > 1) | (F.regexp_count(c["chunk"], F.lit(WORD)) >= long_line))).drop("_h", "_e")
 
 
 def _text(lines: Column, chunk: Column) -> Column:
@@ -44,8 +48,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """_id, _key and gone: the (first, size) chunks to remove of each touched document."""
     lines = F.split("text", "\n", -1)
     base = docs.where("text is not null").select(F.col(id_col).alias("_id"), F.xxhash64("text").alias("_key"), lines.alias("lines"))
-    cut = base.select("_id", "_key", F.transform(chunks(F.col("lines")), lambda c: F.struct(c["first"].alias("first"), c["size"].alias("size"), F.xxhash64(_text(F.col("lines"), c)).alias("h"))).alias("cs"))
-    rows = written(cut.select("_id", "_key", F.inline("cs")), "chunks")
+    cut = with_chunks(base).select("_id", "_key", F.inline("cs"))
+    rows = written(cut.select("_id", "_key", "first", "size", F.xxhash64("chunk").alias("h")), "chunks")
     often = rows.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
     some = written(rows.join(often, "h"), "candidates")
     touched = some.select("_id", "_key").distinct()
