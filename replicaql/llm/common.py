@@ -34,6 +34,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df as a table of the warehouse (shared like the checkpoint folder), bucketed by key: joins on key don't move it."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    full = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, key).saveAsTable(full, format="parquet")
+    return spark.table(full)
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the decimal text of an id modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % n

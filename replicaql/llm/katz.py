@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table, written
+from .common import bucketed, crc_mod, table, written
 
 BLOCK = 2_500_000
 BUCKET = 2_500_000  # tokens for each bucket
@@ -85,10 +85,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         nonlocal ids, held, lengths, places, parts, n, number
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in places), np.uint64, len(places))
-        order = np.argsort(hashes, kind="stable")
+        tokens = np.concatenate(parts)
+        order = np.argsort(-np.bincount(tokens, minlength=len(hashes)), kind="stable")  # common words get small numbers
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        tokens = rank[np.concatenate(parts)]
+        tokens = rank[tokens]
         trains = np.repeat(~np.array(held), lengths)
         counts = np.bincount(tokens[trains], minlength=len(order)).astype(np.uint32)
         data = _pack(np.array(lengths, np.uint32), hashes[order], counts, tokens)
@@ -114,6 +115,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _opened(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's lengths, and hashes, counts and tokens with words in the order of their hashes."""
+    lengths, hashes, counts, tokens = _unpack(data)
+    order = np.argsort(hashes, kind="stable")
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    return lengths, hashes[order], counts[order], place[tokens]
+
+
 def _ranges(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Ends of the buckets' ranges in sorted hashes."""
     step = (1 << 64) // buckets
@@ -171,7 +181,7 @@ class _Bigrams:
     """The distinct bigrams of a block in the order in which they are sent."""
 
     def __init__(self, data: bytes, held: list[bool], words: np.ndarray, uni: Unigrams, buckets: int):
-        lengths, hashes, _, tokens = _unpack(data)
+        lengths, hashes, _, tokens = _opened(data)
         self.lengths, n = lengths.astype(np.int64), len(hashes)
         self.starts = np.r_[0, np.cumsum(self.lengths)[:-1]]
         tokens = tokens.astype(np.int64)
@@ -240,14 +250,14 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
     spark = docs.sparkSession
     sc = spark.sparkContext
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(held_col), F.lit(False)).alias("held"), F.col("text"))
-    blocks = written(slim.mapInArrow(_blocks, "block long, n long, ids array<long>, held array<boolean>, data binary"), "blocks")
+    blocks = bucketed(slim.mapInArrow(_blocks, "block long, n long, ids array<long>, held array<boolean>, data binary"), "blocks", "block")
     total = blocks.agg(F.sum("n")).first()[0] or 0
     buckets = max(12, total // BUCKET)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                _, hashes, counts, _ = _unpack(data)
+                _, hashes, counts, _ = _opened(data)
                 ends = _ranges(hashes, buckets)
                 rows = [_pack(h, c) for h, c in zip(np.split(hashes, ends[:-1]), np.split(counts, ends[:-1]), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([block] * buckets, pa.int64()), pa.array(range(buckets), pa.int32()), pa.array(rows, pa.binary())], names=["block", "bucket", "data"])
