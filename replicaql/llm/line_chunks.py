@@ -1,43 +1,50 @@
 """Line dedup (5), native: content-defined chunks of lines, removed where the corpus repeats them.
 
-A rolling hash over the hashes of two neighbouring lines cuts a text after a line where it is 0 modulo DIVISOR, so cuts
-depend on content alone and an insertion moves none but its own. Chunks of at least two lines, or of one line of at
-least LONG_LINE words, are counted by hash over the corpus; texts of chunks whose hash repeats are compared byte by
-byte, and all but the first occurrence (smallest id, text hash, line) of equal chunks go.
+A chunk is two neighbouring lines that are not blank, with the blank ones between them, or one line of at least
+LONG_LINE words. Every such chunk of a text is taken, so a chunk's ends depend on its own lines alone and never on what
+stands before or after a passage, and neighbouring chunks that repeat join up: of a passage that stands elsewhere too,
+every line is met if it has two lines or LONG_LINE words. Chunks are counted by hash over the corpus; texts of chunks
+whose hash repeats are compared byte by byte, and all but the first occurrence (smallest id, text hash, line) of equal
+chunks go. The first occurrence of a line is in no chunk that goes, so every line stays somewhere.
 
 Defined results: a null text stays null; an empty text has one empty line; rows repeated with the same id and text
-share their fate; a text all of whose chunks go becomes empty; an empty table gives an empty result; other columns
-pass through.
+share their fate; equal chunks may overlap; blank lines before and after what goes stay; a text of which all lines go
+becomes empty; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, table, written
 
-DIVISOR = 2
 LONG_LINE = 50
 #: Up to so many touched documents their list is broadcast; beyond, texts are shuffled to it.
 BROADCAST_DOCS = 300_000
 
 
-def with_chunks(docs: DataFrame, divisor: int = DIVISOR, long_line: int = LONG_LINE) -> DataFrame:
-    """Adds cs: the chunks (first, size, text) of the column lines that may be removed.
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value made once a row even if f uses it in lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def with_chunks(docs: DataFrame, long_line: int = LONG_LINE) -> DataFrame:
+    """Adds cs: the chunks (first, size, h) of the column lines that may be removed."""
+    # a line of so many words has that many letters and the spaces between them
+    long = lambda x: (F.length(x) >= 2 * long_line - 1) & (F.regexp_count(x, F.lit(WORD)) >= long_line)
+    held = F.transform("lines", lambda x, i: F.when(x.rlike(WORD), F.struct(i.alias("at"), long(x).alias("long"))))
+
+    def chunks(v: Column) -> Column:
+        rest = F.greatest(F.size(v["held"]) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(v["held"], F.lit(1), rest), F.slice(v["held"], F.lit(2), rest), lambda s, e: F.struct(s["at"].alias("first"), (e["at"] - s["at"] + 1).alias("size")))
+        single = F.transform(F.filter(v["held"], lambda x: x["long"]), lambda x: F.struct(x["at"].alias("first"), F.lit(1).alias("size")))
+        return F.transform(F.concat(single, pairs), lambda c: F.struct(c["first"].alias("first"), c["size"].alias("size"), F.xxhash64(F.slice(v["hashes"], c["first"] + 1, c["size"])).alias("h")))
 
-    Neighbours are met by shifting arrays, not by looking an index up in a lambda: each array is then made once a row.
-    """
-    body = lambda a: F.slice(a, F.lit(1), F.size(a) - 1)
-    hashed = docs.withColumn("_h", F.transform("lines", lambda x: F.xxhash64(x)))
-    # rolling: the previous line's hash shifted by one bit, with the line's own; no cut after the first line
-    roll = lambda before, h: before.isNotNull() & (F.pmod(F.xxhash64(F.shiftleft(before, 1).bitwiseXOR(h)), F.lit(divisor)) == 0)
-    cut = F.zip_with(F.concat(F.array(F.lit(None).cast("long")), body(F.col("_h"))), F.col("_h"), roll)
-    ends = F.array_distinct(F.concat(F.filter(F.transform(cut, lambda c, i: F.when(c, i)), lambda x: x.isNotNull()), F.array(F.size("lines") - 1)))
-    ended = hashed.withColumn("_e", ends)
-    starts = F.concat(F.array(F.lit(0)), F.transform(body(F.col("_e")), lambda e: e + 1))
-    texts = F.zip_with(starts, F.col("_e"), lambda s, e: F.struct(s.alias("first"), (e - s + 1).alias("size"), F.array_join(F.slice("lines", s + 1, e - s + 1), "\n").alias("chunk")))
-    return ended.withColumn("cs", F.filter(texts, lambda c: (c["size"] > 1) | (F.regexp_count(c["chunk"], F.lit(WORD)) >= long_line))).drop("_h", "_e")
+    once = F.struct(F.filter(held, lambda x: x.isNotNull()).alias("held"), F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
+    return docs.withColumn("cs", _once(once, chunks))
 
 
 def _text(lines: Column, chunk: Column) -> Column:
@@ -48,8 +55,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """_id, _key and gone: the (first, size) chunks to remove of each touched document."""
     lines = F.split("text", "\n", -1)
     base = docs.where("text is not null").select(F.col(id_col).alias("_id"), F.xxhash64("text").alias("_key"), lines.alias("lines"))
-    cut = with_chunks(base).select("_id", "_key", F.inline("cs"))
-    rows = written(cut.select("_id", "_key", "first", "size", F.xxhash64("chunk").alias("h")), "chunks")
+    rows = written(with_chunks(base).select("_id", "_key", F.inline("cs")), "chunks")
     often = rows.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
     some = written(rows.join(often, "h"), "candidates")
     touched = some.select("_id", "_key").distinct()
@@ -74,11 +80,12 @@ def remove(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     docs = docs.drop("n_lines", "n_removed").withColumn("_text_key", F.xxhash64("text"))
     joined = docs.join(found, docs[id_col].eqNullSafe(found["_id"]) & (docs["_text_key"] == found["_key"]) & docs["text"].isNotNull(), "left")
     lines = F.split("text", "\n", -1)
-    left = F.filter(lines, lambda x, i: ~F.exists("gone", lambda c: (i >= c["first"]) & (i < c["first"] + c["size"])))
-    removed = F.aggregate("gone", F.lit(0), lambda acc, c: acc + c["size"])
+    # chunks overlap: their lines as numbers, each once
+    out = F.array_distinct(F.flatten(F.transform("gone", lambda c: F.sequence(c["first"], c["first"] + c["size"] - 1))))
+    left = lambda v: F.transform(F.array_except(F.sequence(F.lit(0), F.size(v["lines"]) - 1), v["out"]), lambda i: F.get(v["lines"], i))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    joined = joined.withColumn("n_lines", n_lines).withColumn("n_removed", F.coalesce(removed, F.lit(0)).cast("long"))
-    joined = joined.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    joined = joined.withColumn("n_lines", n_lines).withColumn("n_removed", F.when(F.col("gone").isNull(), 0).otherwise(F.size(out)).cast("long"))
+    joined = joined.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(_once(F.struct(lines.alias("lines"), out.alias("out")), left), "\n")))
     return joined.drop("_id", "_key", "_text_key", "gone")
 
 

@@ -87,6 +87,24 @@ def test_lines(spark):
     assert set(df.columns) < set(line_chunks.remove(df).columns) and line_chunks.remove(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n,words", [(1, 60), (2, 30), (6, 10), (8, 8), (12, 10)])
+def test_passages_go_whole(spark, n, words):
+    """Planted passages of over 50 words, at the start, in the middle and at the end of texts that differ."""
+    rng = random.Random(n)
+    line = lambda k: " ".join(f"v{rng.randrange(10**6)}" for _ in range(k))
+    passage = [line(words) for _ in range(n)]
+    texts, at = [], {}
+    for i in range(60):
+        before, after = ([line(rng.randrange(1, 70)) for _ in range(k)] for k in rng.choice([(0, 3), (3, 0), (2, 4), (0, 1)]))
+        before += [""] * (i % 2 if before else 0)
+        texts.append((i, "\n".join(before + passage + after)))
+        at[i] = set(range(len(before), len(before) + n))
+    got = {r.doc_id: r for r in line_chunks.remove(_frame(spark, texts)).collect()}
+    assert got[0].text == texts[0][1] and got[0].n_removed == 0
+    for i, t in texts[1:]:
+        assert got[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in at[i]) and got[i].n_removed == n
+
+
 def test_apportionment():
     rng = random.Random(1)
     for _ in range(50):
