@@ -87,6 +87,21 @@ def test_lines(spark):
     assert set(df.columns) < set(line_chunks.remove(df).columns) and line_chunks.remove(df.limit(0)).count() == 0
 
 
+def _repeats(texts, long_line=50):
+    """Numbers of lines in runs that stand earlier too: two lines that are not blank, or one of long_line words."""
+    first, out = set(), {}
+    for i, t in texts:
+        lines = t.split("\n")
+        at = [k for k, x in enumerate(lines) if x.split()]
+        chunks = sorted([(k, k) for k in at if len(lines[k].split()) >= long_line] + list(zip(at, at[1:])))
+        out[i] = set()
+        for s, e in chunks:
+            if (key := "\n".join(lines[s : e + 1])) in first:
+                out[i].update(range(s, e + 1))
+            first.add(key)
+    return out
+
+
 @pytest.mark.parametrize("n,words", [(1, 60), (2, 30), (6, 10), (8, 8), (12, 10)])
 def test_passages_go_whole(spark, n, words):
     """Planted passages of over 50 words, at the start, in the middle and at the end of texts that differ."""
@@ -105,6 +120,17 @@ def test_passages_go_whole(spark, n, words):
         assert got[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in at[i]) and got[i].n_removed == n
 
 
+def test_lines_against_brute_force(spark):
+    rng = random.Random(5)
+    pool = ["", " ", *(" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 3, 49, 50, 80]))) for _ in range(40))]
+    texts = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 12)))) for i in range(200)]
+    want = _repeats(texts)
+    got = {r.doc_id: r for r in line_chunks.remove(_frame(spark, texts)).collect()}
+    for i, t in texts:
+        assert got[i].n_removed == len(want[i]) and got[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i])
+    assert {x for r in got.values() for x in r.text.split("\n")} >= {x for _, t in texts for x in t.split("\n") if x.strip()}
+
+
 def test_apportionment():
     rng = random.Random(1)
     for _ in range(50):
