@@ -4,8 +4,10 @@ Codebooks of 16 words for each pair of dimensions are fitted on at most SAMPLE v
 the part of the residual parallel to the vector eta times: that part moves the largest inner products. A squared distance is
 |q|^2 - 2 q.x + |x|^2, so inner products give Euclidean order with the exact |x|^2 stored. Every vector is coded (two
 codes a byte) and written in blocks. Queries go over all blocks in chunks of at most CHUNK (the broadcast's bound): table
-lookups give approximate distances, the best rerank of each block are computed exactly in double precision, and each
-task keeps the k best it has seen.
+lookups give approximate distances, the best rerank of each block are computed exactly in double precision, and then every
+vector whose distance may still be among the k best: a query is at least as far from a vector as from its code, less the
+code's own error. Where these are many (copies of a query), a matrix product with a bound on its rounding drops most
+first. Each task keeps the k best it has seen, so results equal brute force.
 
 Defined results: vectors that are null, zero, of another length than the most frequent one, or hold null or non-finite
 components take no part, nor do null ids; a query never finds its own id; ties go to the smaller id; fewer candidates
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 SAMPLE, CHUNK, RERANK, ETA = 8_000, 8_000, 48, 4.0
+#: Above this share of a block's pairs a matrix product comes before exact distances, of which so many components are made at once.
+MANY, PAIRS = 0.02, 4_000_000
 
 
 class Quantiser:
@@ -85,6 +89,11 @@ class Quantiser:
         q = np.pad(q.astype(np.float32), ((0, 0), (0, self.pad))).reshape(len(q), self.m, 2)
         return np.ascontiguousarray(np.einsum("qmd,mcd->mcq", q, self.books))
 
+    def decode(self, packed: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        codes = np.stack([packed >> 4, packed & 15], 2).reshape(len(packed), -1)[:, : self.m]
+        return self.books[np.arange(self.m), codes].reshape(len(packed), -1)[:, : self.dim].astype(float)
+
     def products(self, tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
         """Approximate inner products (vectors, queries)."""
         out = np.zeros((len(packed), tables.shape[2]), np.float32)
@@ -120,6 +129,38 @@ def build(rows: DataFrame, dim: int, sample: int = SAMPLE) -> tuple[Quantiser, D
     return quant, written(rows.mapInArrow(run, "id long, v array<double>, code binary"), "index")
 
 
+def _merge(d: np.ndarray, w: np.ndarray, more_d: np.ndarray, more_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best of both of each row, by distance and then id, as many as d has."""
+    k = d.shape[1]
+    d, w = np.concatenate([d, more_d], 1), np.concatenate([w, more_w], 1)
+    order = np.lexsort((w, d), axis=1)[:, :k]
+    return np.take_along_axis(d, order, 1), np.take_along_axis(w, order, 1)
+
+
+def _rest(may: np.ndarray, v: np.ndarray, vec_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, best: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """best and names with the exact distances of the (query, vector) pairs that may name."""
+    if may.mean() > MANY:
+        size = (q * q).sum(1)[:, None] + (v * v).sum(1)
+        may &= size - 2 * q @ v.T - 1e-12 * len(v.T) * size <= best[:, -1:] ** 2
+    who, which = np.nonzero(may)
+    step = max(1, PAIRS // v.shape[1])
+    for lo in range(0, len(who), step):
+        row, at = who[lo : lo + step], which[lo : lo + step]
+        d, w = np.sqrt(((v[at] - q[row]) ** 2).sum(1)), vec_ids[at]
+        fine = (w != ids[row]) & (d <= best[row, -1])
+        row, d, w = row[fine], d[fine], w[fine]
+        order = np.lexsort((w, d, row))
+        row, d, w = row[order], d[order], w[order]
+        hit, first = np.unique(row, return_index=True)
+        place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+        kept = place < best.shape[1]
+        more_d, more_w = np.full((len(hit), best.shape[1]), np.inf), np.full((len(hit), best.shape[1]), np.iinfo(np.int64).max)
+        line = np.searchsorted(hit, row[kept])
+        more_d[line, place[kept]], more_w[line, place[kept]] = d[kept], w[kept]
+        best[hit], names[hit] = _merge(best[hit], names[hit], more_d, more_w)
+    return best, names
+
+
 def search(quant: Quantiser, index: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, rerank: int) -> DataFrame:
     """query_id, vec_id, score: the k nearest that each task found for one chunk of queries."""
     held = index.sparkSession.sparkContext.broadcast((quant, ids, q))
@@ -134,19 +175,27 @@ def search(quant: Quantiser, index: DataFrame, ids: np.ndarray, q: np.ndarray, k
                 b = whole.slice(at, 2048)
                 vec_ids, v = np.asarray(b.column(0)), _matrix(b.column(1), q.shape[1])
                 packed = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(v), -1)
-                squares = (v * v).sum(1).astype(np.float32)
+                coded = quant.decode(packed)
+                error = np.sqrt(((v - coded) ** 2).sum(1))
+                squares, own = (v * v).sum(1).astype(np.float32), (coded * coded).sum(1)
                 for lo in range(0, n, 512):
                     hi = min(lo + 512, n)
-                    far = squares[:, None] - 2 * quant.products(tables[:, :, lo:hi], packed)
+                    both = quant.products(tables[:, :, lo:hi], packed)
+                    far = squares[:, None] - 2 * both
                     far[vec_ids[:, None] == ids[None, lo:hi]] = np.inf
                     top = min(rerank, len(v))
                     at_rows = np.argpartition(far, top - 1, axis=0)[:top].T if top < len(v) else np.tile(np.arange(len(v)), (hi - lo, 1))
                     exact = np.sqrt(((v[at_rows] - q[lo:hi, None]) ** 2).sum(2))
                     found = vec_ids[at_rows]
                     exact[found == ids[lo:hi, None]] = np.inf
-                    d, w = np.concatenate([best[lo:hi], exact], 1), np.concatenate([names[lo:hi], found], 1)
-                    order = np.lexsort((w, d), axis=1)[:, :k]
-                    best[lo:hi], names[lo:hi] = np.take_along_axis(d, order, 1), np.take_along_axis(w, order, 1)
+                    best[lo:hi], names[lo:hi] = _merge(best[lo:hi], names[lo:hi], exact, found)
+                    if top < len(v):
+                        # sums of m lookups in single precision: their rounding is allowed for
+                        size = own + (q[lo:hi] ** 2).sum(1)[:, None]
+                        least = np.sqrt(np.maximum(size - 2 * both.T - 1e-6 * quant.m * size, 0)) - error
+                        may = ~(least > best[lo:hi, -1:] * (1 + 1e-9))
+                        np.put_along_axis(may, at_rows, False, 1)
+                        best[lo:hi], names[lo:hi] = _rest(may, v, vec_ids, q[lo:hi], ids[lo:hi], best[lo:hi], names[lo:hi])
         keep = np.isfinite(best)
         who = np.repeat(ids, k).reshape(n, k)[keep]
         yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(names[keep]), pa.array(best[keep])], names=["query_id", "vec_id", "score"])

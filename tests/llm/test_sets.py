@@ -177,6 +177,23 @@ def test_nearest(spark):
     assert anisotropic.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")).count() == 1
 
 
+def test_nearest_among_copies(spark):
+    """Thousands of exact and of near copies: each query gets what brute force gives, ties by the smaller id."""
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((9000, 16))
+    v[rng.permutation(9000)[:6000]] = 0
+    same = np.flatnonzero(~v.any(1))
+    v[same[:3000]] = rng.standard_normal(16)
+    v[same[3000:]] = rng.standard_normal(16) + 0.01 * rng.standard_normal((3000, 16))
+    rows = [(int(i), [float(x) for x in v[i]]) for i in rng.permutation(9000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = {(r.query_id, r.rank): r.vec_id for r in anisotropic.nearest(df).collect()}
+    for q in range(0, 9000, 100):
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert [got[q, r] for r in range(1, 11)] == np.lexsort((np.arange(9000), d))[:10].tolist()
+
+
 def test_licenses(spark):
     import re
 
