@@ -119,15 +119,15 @@ def _starts(n: int, cache: dict, percent: int) -> list[int]:
 
 
 def sizes(docs: DataFrame, width: int) -> DataFrame:
-    """id, n (set size) and k (the set's hash) of each row of docs (id, text)."""
+    """id, t, n (set size) and k (the set's hash) of each row of docs (id, text, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh = Shingles(width)
         for b in batches:
             sets = [sh.of(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.int64())], names=["id", "n", "k"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.int64())], names=["id", "t", "n", "k"])
 
-    return docs.mapInArrow(run, "id long, n long, k long")
+    return docs.mapInArrow(run, "id long, t long, n long, k long")
 
 
 def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -228,15 +228,17 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", width: int = 3, per
     """id, k (class), n (set size) and component_id: the smallest id reachable by links of similar sets."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), "text")
-    sized = written(sizes(slim, width), "sizes")
-    classes = sized.where("n > 0").groupBy("k").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
+    sized = written(sizes(slim.withColumn("t", F.xxhash64("text")), width), "sizes")
+    # a class all of whose ids are null is met by its text's hash
+    classes = sized.where("n > 0").groupBy("k").agg(F.min("id").alias("rep"), F.when(F.min("id").isNull(), F.min("t")).alias("rep_t"), F.max("n").alias("n"), F.max(F.col("id").isNull()).alias("nameless"))
     bucket = W.partitionBy("sig")
     shared = signed(slim, width, percent).withColumn("lo", F.min("k").over(bucket)).withColumn("hi", F.max("k").over(bucket))
     shared = written(shared.where("lo < hi").select("sig", "k"), "shared")
     members = written(shared.select("k").distinct().join(classes, "k"), "members")
-    wanted = members.select(F.col("rep").alias("id")).distinct()
+    wanted = members.select("rep", "rep_t").distinct()
     wanted = F.broadcast(wanted) if members.count() <= BROADCAST_IDS else wanted
-    sets = written(_sets(slim.join(wanted, "id", "left_semi").select("id", "text"), width).dropDuplicates(["k"]), "sets")
+    own = F.col("id").eqNullSafe(F.col("rep")) & F.when(F.col("id").isNull(), F.xxhash64("text")).eqNullSafe(F.col("rep_t"))
+    sets = written(_sets(slim.join(wanted, own, "left_semi").select("id", "text"), width).dropDuplicates(["k"]), "sets")
     many = shared.groupBy("sig").agg(F.count("*").alias("size"))
     scores = shared.join(many, "sig").groupBy("k").agg(F.sum("size").alias("score"))
     leads = shared.join(scores, "k").groupBy("sig").agg(F.max(F.struct("score", "k"))["k"].alias("lead"))
@@ -257,9 +259,9 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", width: int = 3, per
     named = comp.join(members.select(F.col("k").alias("node"), "rep"), "node")
     least = named.groupBy("comp").agg(F.min("rep").alias("least"))
     named = named.join(least, "comp").select(F.col("node").alias("k"), "least")
-    classes = classes.join(named, "k", "left").select(F.col("k").alias("k_"), F.coalesce("least", "rep").alias("least"))
+    classes = classes.join(named, "k", "left").select(F.col("k").alias("k_"), F.coalesce("least", "rep").alias("least"), "nameless")
     # only classes that move an id: most rows are alone
-    moved = classes.join(sized.where("n > 0").groupBy(F.col("k").alias("k_")).agg(F.max("id").alias("most")), "k_").where("most <> least").select("k_", "least")
+    moved = classes.join(sized.where("n > 0").groupBy(F.col("k").alias("k_")).agg(F.max("id").alias("most")), "k_").where("most <> least or nameless and least is not null").select("k_", "least")
     out = sized.join(moved, sized["k"] == moved["k_"], "left")
     return out.select("id", "k", "n", F.coalesce("least", "id").alias("component_id"))
 

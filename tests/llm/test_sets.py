@@ -59,6 +59,24 @@ def test_join(spark, width, percent):
     assert kept == {i for i, (n, c) in got.items() if n == 0 or c == i}
 
 
+def test_join_by_way_of_a_null_id(spark):
+    """Mutated copies, similar to their base only, whose own row has no id; and a copy of a named text without one."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    texts = [(None, " ".join(base))]
+    for i in range(6):
+        t = list(base)
+        for _ in range(2):
+            t[20 + 30 * i + rng.randrange(10)] = f"own{i}"
+        texts.append((i, " ".join(t)))
+    texts += [(20, "alone here"), (None, "alone here"), (None, "nobody else"), (None, ""), (None, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = [(r.id, r.component_id) for r in partenum.join_components(df, width=3, percent=90).collect()]
+    named = _components([(100 if i is None and k == 0 else i, t) for k, (i, t) in enumerate(texts) if i is not None or k == 0], 3, 90)
+    assert {named[i][1] for i in range(6)} == {0} and named[100][1] == 0
+    assert sorted(got, key=str) == sorted([(None, 0), *((i, 0) for i in range(6)), (20, 20), (None, 20), *[(None, None)] * 3], key=str)
+
+
 def test_signatures_are_shared():
     rng = np.random.default_rng(4)
     for n in (1, 5, 19, 20, 100, 700):
