@@ -14,7 +14,7 @@ sum are compared, and of these none that links with L have connected.
 
 Sets are told apart by 64-bit hashes of shingles (48 bits of each kept for intersections).
 Defined results: null, empty and all-space texts have no set and stand alone; repeated rows are copies; a null id stays
-null and stands alone unless copies have an id; an empty table gives an empty result.
+null, and has no component_id unless a row of its component has an id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -224,13 +224,14 @@ def _candidates(compared: DataFrame, percent: int) -> DataFrame:
     return share.union(count).distinct()
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", width: int = 3, percent: int = 90) -> DataFrame:
-    """id, k (class), n (set size) and component_id: the smallest id reachable by links of similar sets."""
+def _classes(docs: DataFrame, id_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, t: hash of the text, n, k), and of each class k_: nameless, the component's least id and its first row, and the class's last row."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), "text")
     sized = written(sizes(slim.withColumn("t", F.xxhash64("text")), width), "sizes")
+    row = F.struct(F.col("id").isNull().alias("no_id"), "id", "t")  # rows without an id come last
     # a class all of whose ids are null is met by its text's hash
-    classes = sized.where("n > 0").groupBy("k").agg(F.min("id").alias("rep"), F.when(F.min("id").isNull(), F.min("t")).alias("rep_t"), F.max("n").alias("n"), F.max(F.col("id").isNull()).alias("nameless"))
+    classes = sized.where("n > 0").groupBy("k").agg(F.min("id").alias("rep"), F.when(F.min("id").isNull(), F.min("t")).alias("rep_t"), F.max("n").alias("n"), F.max(F.col("id").isNull()).alias("nameless"), F.min(row).alias("first"), F.max(row).alias("last"))
     bucket = W.partitionBy("sig")
     shared = signed(slim, width, percent).withColumn("lo", F.min("k").over(bucket)).withColumn("hi", F.max("k").over(bucket))
     shared = written(shared.where("lo < hi").select("sig", "k"), "shared")
@@ -256,10 +257,15 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", width: int = 3, per
         comp = components(links)
     if comp is None:
         comp = spark.createDataFrame([], "node long, comp long")
-    named = comp.join(members.select(F.col("k").alias("node"), "rep"), "node")
-    least = named.groupBy("comp").agg(F.min("rep").alias("least"))
-    named = named.join(least, "comp").select(F.col("node").alias("k"), "least")
-    classes = classes.join(named, "k", "left").select(F.col("k").alias("k_"), F.coalesce("least", "rep").alias("least"), "nameless")
+    named = comp.join(members.select(F.col("k").alias("node"), "rep", "first"), "node")
+    least = named.groupBy("comp").agg(F.min("rep").alias("least"), F.min("first").alias("whole"))
+    named = named.join(least, "comp").select(F.col("node").alias("k"), "least", "whole")
+    return sized, classes.join(named, "k", "left").select(F.col("k").alias("k_"), F.coalesce("least", "rep").alias("least"), "nameless", F.coalesce("whole", "first").alias("first"), "last")
+
+
+def join_components(docs: DataFrame, id_col: str = "doc_id", width: int = 3, percent: int = 90) -> DataFrame:
+    """id, k (class), n (set size) and component_id: the smallest id reachable by links of similar sets."""
+    sized, classes = _classes(docs, id_col, width, percent)
     # only classes that move an id: most rows are alone
     moved = classes.join(sized.where("n > 0").groupBy(F.col("k").alias("k_")).agg(F.max("id").alias("most")), "k_").where("most <> least or nameless and least is not null").select("k_", "least")
     out = sized.join(moved, sized["k"] == moved["k_"], "left")
@@ -267,10 +273,13 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", width: int = 3, per
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component: that of the smallest id (of repeated rows with that id, one)."""
-    found = join_components(docs, id_col, width, percent)
-    drop = written(found.where("n > 0 and id <> component_id").select(F.col("id").alias("_id")).distinct(), "dropped")
-    kept = docs.join(drop, docs[id_col] == drop["_id"], "left_anti")
+    """One document of each component: that of the smallest id, and of texts with that id the one of smallest hash (of repeated rows, one)."""
+    sized, classes = _classes(docs, id_col, width, percent)
+    several = classes.where(F.col("first") != F.col("last")).select("k_", "first")
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t") == F.col("first.t"))
+    drop = sized.where("n > 0").join(several, F.col("k") == F.col("k_")).where(~stays)
+    drop = written(drop.select(F.col("id").alias("_id"), F.col("t").alias("_t")).distinct(), "dropped")
+    kept = docs.join(drop, docs[id_col].eqNullSafe(drop["_id"]) & (F.xxhash64(docs["text"]) == drop["_t"]), "left_anti")
     return kept.dropDuplicates([id_col, "text"])
 
 

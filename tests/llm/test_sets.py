@@ -77,6 +77,15 @@ def test_join_by_way_of_a_null_id(spark):
     assert sorted(got, key=str) == sorted([(None, 0), *((i, 0) for i in range(6)), (20, 20), (None, 20), *[(None, None)] * 3], key=str)
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Ids shared by different texts, and rows without ids."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    texts = [(1, a), (2, a + " z"), (2, "clean text of its own"), (3, b), (3, b + " z"), (4, b), (None, a), (None, c), (None, c + " z"), (None, "apart"), (None, None), (5, ""), (1, a)]
+    kept = [(r.doc_id, r.text) for r in partenum.keep_one(spark.createDataFrame(texts, "doc_id long, text string")).collect()]
+    assert len(kept) == 7 and {(1, a), (2, "clean text of its own"), (None, "apart"), (None, None), (5, "")} <= set(kept)
+    assert len({(3, b), (3, b + " z")} & set(kept)) == 1 and len({(None, c), (None, c + " z")} & set(kept)) == 1
+
+
 def test_signatures_are_shared():
     rng = np.random.default_rng(4)
     for n in (1, 5, 19, 20, 100, 700):
