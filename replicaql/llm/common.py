@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Words are maximal runs without ASCII white space; bytes.split() without arguments cuts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: What a broadcast may take at most, measured before it is made.
+BROADCAST_BYTES = 32 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,6 +46,12 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(full)
 
 
+def small(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """df, marked for broadcast if its rows, row_bytes each, are proven to take at most BROADCAST_BYTES; else the planner chooses."""
+    taken = df.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if taken <= BROADCAST_BYTES else df
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the decimal text of an id modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % n

@@ -5,37 +5,51 @@ signs for both pairs of bands it is in. Within a pair of bands two similar sets
 shingle domain is dealt by hash to (k+1)/2 groups, of which one holds at most one difference; each group is dealt to
 three parts, of which two then agree, and every two of three are a signature. So similar sets share a signature.
 
-Sets (classes of equal texts after normalisation) that share signatures are verified by exact set sizes of
-intersection and union. No bucket is turned into all its pairs: every member is compared with its bucket's leader L (the
-set that shares most buckets), which gives its added (not in L) and removed (of L) shingles. Two similar sets a, b of a
-bucket either share an added shingle, and then one among the k + 1 of smallest hash of each, or their difference is at
-least added(a) + added(b) + |removed(a) - removed(b)|. Only pairs that share such a shingle or whose counts allow that
-sum are compared, and of these none that links with L have connected.
-
-Sets are told apart by 64-bit hashes of shingles (48 bits of each kept for intersections).
+Sets (classes of equal sets) that share signatures are compared by exact sizes of intersection and union. No bucket is
+turned into all its pairs:
+
+1. a bucket's leader is its class that has most others in its buckets. Every class is compared with one leader, that of
+   most of its buckets, and what is similar joins up;
+2. buckets whose classes have all joined up are done, and of buckets with the same classes one is kept. Counts of
+   shingles by cells (the sum of differences is a lower bound of how far two sets differ) tell which classes outside a
+   bucket's largest component can be similar to which others, and those are compared. This is for buckets of at most
+   WIDE classes in which it takes at most TESTS tests;
+3. in larger ones every class is compared with the leader, if their cells allow it. What is then still open is split by its classes' prefixes (the n - ceil(t n) + 1 smallest hashes, of which similar sets share
+   one), and if it is still large every class is compared with the bucket's leader L. Two similar classes differ in
+   at most D shingles, so they share one of the D + 1 smallest hashes of what they add to L, or both add at most D;
+   then they share one that they lack of L as well, or are both similar to L. Classes that share such a hash are the
+   buckets of the next round, without L, until every bucket has joined up.
+
+A pair meets at its leader: the leader's set goes there once for each GROUP members and each member's set once.
+Sets are told apart by sums of 64-bit hashes of their shingles (48 bits of each kept for intersections).
 Defined results: null, empty and all-space texts have no set and stand alone; repeated rows are copies; a null id stays
 null, and has no component_id unless a row of its component has an id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small, table, written
 from .components import components
 
 MEMO = 300_000
-BROADCAST_IDS = 500_000
+GROUP = 2_000  # members that one copy of their leader's set serves
+WIDE, TESTS = 20_000, 4_000_000  # classes of a bucket that meet in one task, and tests of their cells there
 PARTS = 3
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
+_ALL = (1 << 64) - 1
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -81,6 +95,11 @@ def bands(most: int, percent: int) -> list[int]:
     return out
 
 
+def _prefix(s: np.ndarray, percent: int) -> np.ndarray:
+    """Smallest hashes of a sorted set, of which any similar set shares one."""
+    return s[: len(s) - -(-percent * len(s) // 100) + 1]
+
+
 def signatures(s: np.ndarray, percent: int, starts: list[int]) -> np.ndarray:
     """64-bit signatures of a non-empty set, for the pair of bands it starts and the pair it ends."""
     own = int(np.searchsorted(starts, len(s), "right")) - 1
@@ -118,16 +137,38 @@ def _starts(n: int, cache: dict, percent: int) -> list[int]:
     return cache["b"]
 
 
+def cells(s: np.ndarray) -> bytes:
+    """Counts of shingles by cell, one or two to a cell, each at most 255."""
+    m = 1 << (len(s) // 2).bit_length()
+    return np.minimum(np.bincount((s >> np.uint64(8)).astype(np.int64) & (m - 1), minlength=m), 255).astype(np.uint8).tobytes()
+
+
+def _folded(rows: list[bytes]) -> np.ndarray:
+    """Cells of several sets, folded to the fewest (they are dealt by the last bits); -1 where a full one says nothing."""
+    m = min(map(len, rows))
+    out = np.empty((len(rows), m), np.int32)
+    for i, raw in enumerate(rows):
+        a = np.frombuffer(raw, np.uint8).reshape(-1, m)
+        out[i] = np.where((a == 255).any(0), -1, a.sum(0, dtype=np.int32))
+    return out
+
+
+def may_be_similar(one: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the others (folded cells, sizes) may be similar to one."""
+    least = np.where((others < 0) | (one < 0), 0, np.abs(others - one)).sum(1)
+    return (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & ((100 + percent) * least <= (100 - percent) * (sizes + n))
+
+
 def sizes(docs: DataFrame, width: int) -> DataFrame:
-    """id, t, n (set size) and k (the set's hash) of each row of docs (id, text, t)."""
+    """id, t, n (set size), k (the set's hash) and cells of each row of docs (id, text, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh = Shingles(width)
         for b in batches:
             sets = [sh.of(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.int64())], names=["id", "t", "n", "k"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.int64()), pa.array([cells(s) for s in sets], pa.binary())], names=["id", "t", "n", "k", "cells"])
 
-    return docs.mapInArrow(run, "id long, t long, n long, k long")
+    return docs.mapInArrow(run, "id long, t long, n long, k long, cells binary")
 
 
 def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -152,17 +193,8 @@ def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "sig long, k long")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """k and the set, six bytes a shingle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh = Shingles(width)
-        for b in batches:
-            sets = [sh.of(t) for t in b.column(1).to_pylist()]
-            packed = [s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), pa.array(packed, pa.binary())], names=["k", "s"])
-
-    return docs.mapInArrow(run, "k long, s binary")
+def _packed(s: np.ndarray) -> bytes:
+    return s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
@@ -171,95 +203,217 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def _sent(rows: DataFrame, width: int) -> DataFrame:
+    """The sets of rows (own, to, text), each to its places (lead, salt, kind)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sh = Shingles(width)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_packed(sh.of(t)) for t in b.column(2).to_pylist()], pa.binary())], names=["own", "to", "s"])
+
+    kinds = "own long, to array<struct<lead:long,salt:long,kind:int>>, s binary"
+    return rows.mapInArrow(run, kinds).select("own", "s", F.explode("to").alias("x")).select("x.lead", "x.salt", "x.kind", "own", "s")
+
+
+def _split(slim: DataFrame, first: DataFrame, buckets: DataFrame, width: int, percent: int) -> DataFrame:
+    """The buckets (g, k) split by the shingles of their classes' prefixes."""
+    to = buckets.groupBy("k").agg(F.collect_set("g").alias("to"))  # a class's own signatures
+    wanted = written(to.withColumnRenamed("k", "own").join(first, F.col("own") == F.col("k")).select("own", "to", F.col("id").alias("id_"), F.col("t").alias("t_")), "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sh, seen = Shingles(width), set()
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = _unpack(x.as_py()), _unpack(y.as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for i, own in enumerate(b.column(0).to_pylist()):
+                if own not in seen:
+                    seen.add(own)
+                    to = np.asarray(b.column(1)[i].values).astype(np.int64).view(np.uint64)
+                    with np.errstate(over="ignore"):
+                        keys = _mix(to[:, None] * _M2 + _prefix(sh.of(b.column(2)[i].as_py()), percent)[None]).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), own))], names=["g", "k"])
 
-    # a pair meets its smaller set first and its other set next; sizes are compared before any set moves
-    near = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-    return near.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return _fetched(slim, wanted, F.lit(40) + 8 * F.size("to")).mapInArrow(run, "g long, k long").distinct()
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of each pair (lead, k): added and removed counts, size, linked, and the added shingles of smallest hash."""
+def _fetched(slim: DataFrame, wanted: DataFrame, row_bytes: Column) -> DataFrame:
+    """own, to and text of the wanted rows (own, to, id_, t_)."""
+    near = small(wanted, row_bytes)
+    return slim.join(near, F.col("id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_"))).select("own", "to", "text")
+
+
+def _compared(slim: DataFrame, first: DataFrame, pairs: DataFrame, width: int, percent: int, all_of: bool) -> DataFrame:
+    """Of each pair (lead, k): linked, and where all_of is set the keys by which similar classes meet in the next round.
+
+    slim: id, text, t of all rows; first: k and the id and t of a row that has its set."""
+    leads = pairs.groupBy("lead").agg(F.ceil(F.count("*") / GROUP).alias("salts"))
+    members = pairs.join(leads, "lead").select(F.col("k").alias("own"), F.struct("lead", F.pmod(F.xxhash64("k"), F.col("salts")).alias("salt"), F.lit(1).alias("kind")).alias("x"))
+    heads = leads.select(F.col("lead").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).select("own", F.struct(F.col("own").alias("lead"), "salt", F.lit(0).alias("kind")).alias("x"))
+    to = members.union(heads).groupBy("own").agg(F.collect_list("x").alias("to"))
+    wanted = written(to.join(first, F.col("own") == F.col("k")).select("own", "to", F.col("id").alias("id_"), F.col("t").alias("t_")), "wanted")
+    rows = _fetched(slim, wanted, F.lit(40) + 24 * F.size("to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, lead, last = None, None, None
         for b in batches:
             out: list[tuple] = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                lead, own = _unpack(x.as_py()), _unpack(y.as_py())
-                added = np.setdiff1d(own, lead, assume_unique=True)
-                both = len(own) - len(added)
-                most = (100 - percent) * (len(own) + len(own) * 100 // percent + 1) // (100 + percent)
-                out.append((len(added), len(lead) - both, len(own), 100 * both >= percent * (len(lead) + len(added)), added[: most + 1].view(np.int64)))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())), strict=True))], names=["lead", "k", "added", "removed", "n", "linked", "first"])
-
-    near = pairs.join(sets.select(F.col("k").alias("lead"), F.col("s").alias("sl")), "lead").join(sets, "k").select("lead", "k", "sl", "s")
-    return near.mapInArrow(run, "lead long, k long, added long, removed long, n long, linked boolean, first array<long>")
-
-
-def _candidates(compared: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one leader that may be similar and are not both linked with it."""
-    one = compared.select("lead", "k", "linked", F.explode("first").alias("e"))
-    two = one.select("lead", "e", F.col("k").alias("k2"), F.col("linked").alias("linked2"))
-    share = one.join(two, ["lead", "e"]).where("k < k2 and not (linked and linked2)").select(F.col("k").alias("a"), F.col("k2").alias("b"))
-    # pairs of counts first, then their members
-    may = compared.where(F.col("added") * (100 + percent) <= (100 - percent) * (F.col("n") + F.floor(F.col("n") * 100 / percent) + 1))
-    kinds = may.select("lead", "added", "removed", "linked", "n").distinct()
-    other = kinds.withColumnsRenamed({"added": "added2", "removed": "removed2", "linked": "linked2", "n": "n2"})
-    least = F.col("added") + F.col("added2") + F.abs(F.col("removed") - F.col("removed2"))
-    fit = kinds.join(other, "lead").where((least * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n2"))) & ~(F.col("linked") & F.col("linked2")))
-    left = may.select("lead", "added", "removed", "linked", "k")
-    right = left.withColumnsRenamed({"added": "added2", "removed": "removed2", "linked": "linked2", "k": "k2"})
-    count = fit.drop("n", "n2").join(left, ["lead", "added", "removed", "linked"]).join(right, ["lead", "added2", "removed2", "linked2"]).where("k < k2").select(F.col("k").alias("a"), F.col("k2").alias("b"))
-    return share.union(count).distinct()
+            keys = zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)
+            for i, (name, salt, kind, own) in enumerate(keys):
+                if kind == 0:
+                    if (name, salt) != at:
+                        at, lead, last = (name, salt), _unpack(b.column(4)[i].as_py()), None
+                    continue
+                if own == last:  # a repeated row of the class
+                    continue
+                last, s = own, _unpack(b.column(4)[i].as_py())
+                added = np.setdiff1d(s, lead, assume_unique=True)
+                both = len(s) - len(added)
+                linked = 100 * both >= percent * (len(lead) + len(added))
+                apart = np.zeros(0, np.uint64)
+                if all_of:
+                    d = (100 - percent) * (len(s) + len(s) * 100 // percent + 1) // (100 + percent)
+                    apart = added[: d + 1]
+                    if len(added) <= d:
+                        apart = np.concatenate([apart, ~np.setdiff1d(lead, s, assume_unique=True)[: d + 1]])
+                    with np.errstate(over="ignore"):
+                        apart = _mix(apart * _M1 + np.uint64(name & _ALL))
+                out.append((name, own, linked, apart.view(np.int64)))
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())), strict=True)], names=["lead", "k", "linked", "apart"])
+
+    dealt = _sent(rows, width).repartition("lead", "salt").sortWithinPartitions("lead", "salt", "kind", "own")
+    return written(dealt.mapInArrow(run, "lead long, k long, linked boolean, apart array<long>"), "compared")
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (k, comp) after the links (lead, k)."""
+    of = lambda x, y: labels.select(F.col("k").alias(x), F.col("comp").alias(y))
+    apart = links.select("lead", "k").join(of("lead", "a"), "lead").join(of("k", "b"), "k").where("a <> b").select("a", "b")
+    apart = written(apart.distinct(), "apart")
+    if apart.isEmpty():
+        return labels
+    moved = components(apart)
+    return written(labels.join(moved.withColumnRenamed("comp", "to"), labels["comp"] == moved["node"], "left").select("k", F.coalesce("to", "comp").alias("comp")), "labels")
+
+
+def _led(buckets: DataFrame) -> DataFrame:
+    """g, k and the bucket's leader: the class that has most others in its buckets."""
+    many = buckets.groupBy("g").agg(F.count("*").alias("size"))
+    scores = buckets.join(many, "g").groupBy("k").agg(F.sum("size").alias("score"))
+    leads = buckets.join(scores, "k").groupBy("g").agg(F.max(F.struct("score", "k")).alias("x"))
+    return buckets.join(leads.select("g", F.col("x.score").alias("score"), F.col("x.k").alias("lead")), "g")
+
+
+def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The buckets (g, k, easy) that hold classes of several components; of those with the same classes one."""
+    held = buckets.select("g", "k").distinct()
+    parts = held.join(labels, "k").groupBy("g", "comp").agg(F.count("*").alias("n"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("all"))
+    found = parts.groupBy("g").agg(F.count("*").alias("comps"), F.max("n").alias("most"), F.sum("n").alias("size"), F.sum("all").alias("all")).where("comps > 1")
+    one = found.groupBy("size", "all").agg(F.min(F.struct("g", "most")).alias("x"))
+    easy = ((F.col("size") - F.col("x.most")) * F.col("size") <= TESTS) & (F.col("size") <= WIDE)
+    return written(held.join(one.select("x.g", easy.alias("easy")), "g").select("g", "k", "easy"), "open")
+
+
+def _possible(buckets: DataFrame, labels: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """Pairs (lead, k) of classes of different components that share a bucket and whose cells allow that they are similar."""
+
+    def pairs(held: list[tuple]) -> list[tuple[int, int]]:
+        if not held:
+            return []
+        most = Counter(x[1] for x in held).most_common(1)[0][0]
+        held.sort(key=lambda x: x[1] == most)
+        keys, comps, sizes = (np.array([x[i] for x in held]) for i in range(3))
+        m, out = _folded([x[3] for x in held]), []
+        for i in range(int((comps != most).sum())):
+            fine = may_be_similar(m[i], sizes[i], m[i + 1 :], sizes[i + 1 :], percent) & (comps[i + 1 :] != comps[i])
+            out += [(max(k, keys[i]), min(k, keys[i])) for k in keys[i + 1 :][fine]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        out: list[tuple] = []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["lead", "k"])
+        for b in batches:
+            for i, (g, k, comp, n) in enumerate(zip(*(b.column(j).to_pylist() for j in range(4)), strict=True)):
+                if g != at:
+                    out += pairs(held)
+                    at, held = g, []
+                held.append((k, comp, n, b.column(4)[i].as_py()))
+            out = list(set(out))
+            yield batch()
+            out = []
+        out += pairs(held)
+        yield batch()
+
+    rows = buckets.select("g", "k").join(labels, "k").join(first.select("k", "n", "cells"), "k").select("g", "k", "comp", "n", "cells")
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "lead long, k long").distinct()
+
+
+def _likely(pairs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """The pairs (lead, k) whose cells allow that they are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for n, x, n2, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                both = _folded([x, y])
+                keep.append(bool(may_be_similar(both[0], n, both[1:], np.array([n2]), percent)[0]))
+            yield b.select(["lead", "k"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda x: first.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"cells_{x}"))
+    both = pairs.join(of("lead"), "lead").join(of("k"), "k").select("lead", "k", "n_lead", "cells_lead", "n_k", "cells_k")
+    return both.mapInArrow(run, "lead long, k long")
+
+
+def _labels(slim: DataFrame, first: DataFrame, buckets: DataFrame, width: int, percent: int) -> DataFrame:
+    """k, comp of the classes in buckets (g, k): comp is the least class that links reach."""
+    labels = written(buckets.select("k").distinct().select("k", F.col("k").alias("comp")), "labels")
+    best = _led(buckets).where("k <> lead").groupBy("k", "lead").agg(F.count("*").alias("n")).groupBy("k").agg(F.max(F.struct("n", "lead"))["lead"].alias("lead"))
+    best = written(_likely(best.select("lead", "k"), first, percent), "best")
+    labels = _joined(labels, _compared(slim, first, best, width, percent, False).where("linked"))
+    rounds = 0
+    while True:
+        buckets = _open(buckets, labels)
+        pairs = written(_possible(buckets.where("easy"), labels, first, percent), "pairs")
+        if not pairs.isEmpty():
+            labels = _joined(labels, _compared(slim, first, pairs, width, percent, False).where("linked"))
+        large = buckets.where("not easy").select("g", "k")
+        if large.isEmpty():
+            return labels
+        led = written(_likely(_led(large).where("k <> lead").select("lead", "k").distinct(), first, percent), "led")
+        if not led.isEmpty():
+            labels = _joined(labels, _compared(slim, first, led, width, percent, False).where("linked"))
+            large = _open(large, labels)
+            # what the leaders have joined up may be easy now
+            pairs = written(_possible(large.where("easy"), labels, first, percent), "pairs")
+            if not pairs.isEmpty():
+                labels = _joined(labels, _compared(slim, first, pairs, width, percent, False).where("linked"))
+            large = large.where("not easy").select("g", "k")
+            if large.isEmpty():
+                return labels
+        if not rounds:
+            buckets = written(_split(slim, first, large, width, percent), "buckets")
+        else:
+            found = _compared(slim, first, _led(large).where("k <> lead").select("lead", "k").distinct(), width, percent, True)
+            labels = _joined(labels, found.where("linked"))
+            buckets = found.select(F.explode("apart").alias("g"), "k")
+        rounds += 1
 
 
 def _classes(docs: DataFrame, id_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows (id, t: hash of the text, n, k), and of each class k_: nameless, the component's least id and its first row, and the class's last row."""
-    spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), "text")
-    sized = written(sizes(slim.withColumn("t", F.xxhash64("text")), width), "sizes")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), "text", F.xxhash64("text").alias("t"))
+    sized = written(sizes(slim, width), "sizes")
     row = F.struct(F.col("id").isNull().alias("no_id"), "id", "t")  # rows without an id come last
-    # a class all of whose ids are null is met by its text's hash
-    classes = sized.where("n > 0").groupBy("k").agg(F.min("id").alias("rep"), F.when(F.min("id").isNull(), F.min("t")).alias("rep_t"), F.max("n").alias("n"), F.max(F.col("id").isNull()).alias("nameless"), F.min(row).alias("first"), F.max(row).alias("last"))
+    classes = sized.where("n > 0").groupBy("k").agg(F.min("id").alias("rep"), F.max(F.col("id").isNull()).alias("nameless"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.min(row).alias("first"), F.max(row).alias("last"))
     bucket = W.partitionBy("sig")
     shared = signed(slim, width, percent).withColumn("lo", F.min("k").over(bucket)).withColumn("hi", F.max("k").over(bucket))
-    shared = written(shared.where("lo < hi").select("sig", "k"), "shared")
-    members = written(shared.select("k").distinct().join(classes, "k"), "members")
-    wanted = members.select("rep", "rep_t").distinct()
-    wanted = F.broadcast(wanted) if members.count() <= BROADCAST_IDS else wanted
-    own = F.col("id").eqNullSafe(F.col("rep")) & F.when(F.col("id").isNull(), F.xxhash64("text")).eqNullSafe(F.col("rep_t"))
-    sets = written(_sets(slim.join(wanted, own, "left_semi").select("id", "text"), width).dropDuplicates(["k"]), "sets")
-    many = shared.groupBy("sig").agg(F.count("*").alias("size"))
-    scores = shared.join(many, "sig").groupBy("k").agg(F.sum("size").alias("score"))
-    leads = shared.join(scores, "k").groupBy("sig").agg(F.max(F.struct("score", "k"))["k"].alias("lead"))
-    pairs = shared.join(leads, "sig").where("k <> lead").select("lead", "k").distinct()
-    compared = written(_compared(pairs, sets, percent), "compared")
-    links = compared.where("linked").select(F.col("lead").alias("a"), F.col("k").alias("b"))
-    comp = None if links.isEmpty() else components(links)
-    more = _candidates(compared, percent)
-    if comp is not None:
-        of = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))
-        more = more.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b")
-    more = written(_verified(more, sets, percent), "similar")
-    if not more.isEmpty():
-        links = links.union(more)
-        comp = components(links)
-    if comp is None:
-        comp = spark.createDataFrame([], "node long, comp long")
-    named = comp.join(members.select(F.col("k").alias("node"), "rep", "first"), "node")
+    shared = written(shared.where("lo < hi").select(F.col("sig").alias("g"), "k").distinct(), "shared")
+    first = written(shared.select("k").distinct().join(classes, "k").select("k", "n", "cells", "rep", "first"), "members")
+    labels = _labels(slim, first.select("k", "n", "cells", "first.id", "first.t"), shared, width, percent)
+    named = first.join(labels, "k")
     least = named.groupBy("comp").agg(F.min("rep").alias("least"), F.min("first").alias("whole"))
-    named = named.join(least, "comp").select(F.col("node").alias("k"), "least", "whole")
+    named = named.join(least, "comp").select("k", "least", "whole")
     return sized, classes.join(named, "k", "left").select(F.col("k").alias("k_"), F.coalesce("least", "rep").alias("least"), "nameless", F.coalesce("whole", "first").alias("first"), "last")
 
 
