@@ -2,19 +2,23 @@
 
 1. Each source's target is its share of all words by weight, capped at max_repeats times its size; what a cap cuts
    off is shared again by weight until no target is above its cap (a water level over sources).
-2. Blocks of block_words words are seats: sources get seats by the highest Sainte-Lague quotients of their targets,
-   then the hash shards of a source (about shard_words words each, so a hot source is many shards) get the source's
-   seats the same way.
-3. A shard's documents in seeded order are one stream of words cut into blocks; a quota of q over n blocks takes
-   every block q div n times and a seeded selection of q mod n blocks once more.
-
-Defined results: a null text has size 0 and takes 0; null is a source of its own, last in order; rows repeated with the
-same id and text are separate rows; an empty table gives an empty result. Only one row a source reaches the driver.
+2. A target is a number of whole passes over its source and a rest. Blocks of block words are seats for the rests:
+   sources get seats by the highest Sainte-Lague quotients, then the hash shards of a source (about shard_words words
+   each, so a hot source is many shards) get the source's seats the same way. The divisors behind the quotients are
+   found by bisection over the tables of sources and of shards; ties go to the earlier source or shard.
+3. A shard's documents in seeded order are one stream of words cut into blocks; a quota of q takes a seeded selection
+   of q blocks, a last block that is not full only after all others.
+
+Rows with the same id, text and source are one document of that many copies, so a hot row is one row of the stream; its
+copies share what it takes, to the word.
+
+Defined results: a null text has size 0 and takes 0; null is a source of its own, last in order; repeated rows stay
+separate rows; an empty table gives an empty result; other columns, whatever their names, pass through
+mixed_documents(). Only sums and one row for each partition of sources reach the driver.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,105 +28,126 @@ from .common import WORD, table, written
 BLOCK_WORDS = 64
 SHARD_WORDS = 100_000
 SEED = 42
+WAYS, ROUNDS = 24, 16  # divisors tried at once, and how often
 _STEP = 2_147_483_647  # a prime above any number of blocks in a shard, so that multiples visit every block
 
 
-def targets(sizes: list[int], weights: list[float], max_repeats: float = 3.0) -> list[float]:
-    """Shares of sum(sizes) by weight, none above max_repeats times its size."""
-    out, free, left = [0.0] * len(sizes), list(range(len(sizes))), float(sum(sizes))
-    while free:
-        level = left / sum(weights[i] for i in free)
-        full = [i for i in free if weights[i] * level > max_repeats * sizes[i]]
-        if not full:
-            for i in free:
-                out[i] = weights[i] * level
+def numbered(sources: DataFrame) -> DataFrame:
+    """Adds no: the place of each source by code point, null last, from 0. One count for each partition is collected."""
+    spread = sources.withColumn("_last", F.col("source").isNull()).repartitionByRange("_last", "source").sortWithinPartitions("_last", "source")
+    held = written(spread.drop("_last").withColumn("_at", F.monotonically_increasing_id()), "sources")
+    part, place = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, offsets = 0, []
+    for r in held.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
+        offsets.append((r["p"], before))
+        before += r["n"]
+    starts = sources.sparkSession.createDataFrame(offsets, "_p long, _before long")
+    return held.join(F.broadcast(starts), part == F.col("_p")).withColumn("no", place + F.col("_before")).drop("_at", "_p", "_before")
+
+
+def targets(sources: DataFrame, max_repeats: float = 3.0) -> DataFrame:
+    """Adds target to rows of size and weight: shares of all sizes by weight, none above max_repeats times its size."""
+    cap, level, before = F.col("size") * float(max_repeats), 0.0, -1.0
+    while level > before:
+        full = F.col("weight") * level > cap
+        left, weights = sources.agg(F.sum("size") - F.coalesce(F.sum(F.when(full, cap)), F.lit(0.0)), F.sum(F.when(~full, F.col("weight")))).first()
+        if not weights:
+            break
+        before, level = level, max(level, float(left) / float(weights))
+    return sources.withColumn("target", F.least(F.col("weight") * level, cap))
+
+
+def sainte_lague(rows: DataFrame, by: list[str], votes: str, seats: str, order: str) -> DataFrame:
+    """Adds quota: of each group's seats the ones that a row of so many votes gets by the quotients votes / (2 q + 1).
+
+    A divisor d gives round(votes / d) seats. Several divisors are tried at once until one gives a group its seats;
+    if none does, rows tie at the divisor between, and the earlier get one more."""
+    q = lambda d: F.floor(F.col(votes) / d + 0.5)
+    rows = rows.withColumn(votes, F.col(votes).cast("double"))
+    s = F.col(seats)
+    range_ = rows.groupBy(*by).agg(F.sum(votes).alias("_v"), F.max(votes).alias("_most"), F.count("*").alias("_n"), F.max(seats).alias(seats))
+    # Webster's divisors: the sum of roundings is within half a seat a row
+    low = F.col("_v") / (s + F.col("_n") / 2 + 1)
+    high = F.when(s > F.col("_n") / 2 + 1, F.least(F.col("_v") / (s - F.col("_n") / 2 - 1), F.col("_most") * 2 + 1)).otherwise(F.col("_most") * 2 + 1)
+    range_ = written(range_.where(f"_v > 0 and {seats} > 0").select(*by, seats, low.alias("_lo"), high.alias("_hi"), F.lit(False).alias("_found")), "divisors")
+    same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in by]
+    for _ in range(ROUNDS):
+        if range_.where("not _found").isEmpty():
             break
-        for i in full:
-            out[i] = max_repeats * sizes[i]
-            left -= out[i]
-        free = [i for i in free if i not in set(full)]
-    return out
-
-
-def sainte_lague(votes: list[float], seats: int) -> list[int]:
-    """Seats by highest quotients votes / (2 q + 1), ties to the earlier. Starts from the rounded exact quotas, which
-    are the allocation of their own sum, and adds or takes back single seats."""
-    if seats <= 0 or sum(votes) <= 0:
-        return [0] * len(votes)
-    d = sum(votes) / seats
-    q = [int(v / d + 0.5) for v in votes]
-    while sum(q) < seats:
-        i = max(range(len(q)), key=lambda i: (votes[i] / (2 * q[i] + 1), -i))
-        q[i] += 1
-    while sum(q) > seats:
-        i = min((i for i in range(len(q)) if q[i]), key=lambda i: (votes[i] / (2 * q[i] - 1), -i))
-        q[i] -= 1
-    return q
-
-
-def _shard_quotas(shards: DataFrame) -> DataFrame:
-    """Seats of each shard from its source's seats. Quotas stay within three of the rounded share, so only those
-    quotients are ranked."""
-    share = F.when(F.col("source_size") > 0, F.col("seats") * F.col("shard_size") / F.col("source_size")).otherwise(0.0)
-    base = shards.withColumn("low", F.greatest(F.lit(0), F.floor(share + 0.5) - 3).cast("long"))
-    low = base.withColumn("extra", F.col("seats") - F.sum("low").over(W.partitionBy("source_no")))
-    bids = low.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn("quotient", F.col("shard_size") / (2 * (F.col("low") + F.col("k")) + 1))
-    order = W.partitionBy("source_no").orderBy(F.desc("quotient"), "shard", "k")
-    won = bids.withColumn("place", F.row_number().over(order)).withColumn("won", (F.col("place") <= F.col("extra")).cast("long"))
-    return won.groupBy("source_no", "shard").agg((F.first("low") + F.sum("won")).alias("quota"), F.first("shard_size").alias("shard_size"))
+        at = [F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (i / (WAYS - 1)) for i in range(WAYS)]
+        todo = range_.where("not _found")
+        tried = rows.drop(seats).join(todo, same(rows, todo)).groupBy(*[todo[c] for c in by]).agg(*[F.first(c).alias(c) for c in (seats, "_lo", "_hi")], *[F.sum(q(d)).alias(f"_{i}") for i, d in enumerate(at)])
+        exact = F.coalesce(*[F.when(F.col(f"_{i}") == s, d) for i, d in enumerate(at)])
+        lo = F.greatest(F.col("_lo"), *[F.when(F.col(f"_{i}") > s, d) for i, d in enumerate(at)])
+        hi = F.least(F.col("_hi"), *[F.when(F.col(f"_{i}") < s, d) for i, d in enumerate(at)])
+        tried = tried.select(*by, seats, F.coalesce(exact, lo).alias("_lo"), F.coalesce(exact, hi).alias("_hi"), exact.isNotNull().alias("_found"))
+        range_ = written(range_.where("_found").unionByName(tried), "divisors")
+    bounds = range_.drop(seats).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    placed = rows.join(bounds, [rows[c].eqNullSafe(bounds[f"_by_{c}"]) for c in by], "left").drop(*[f"_by_{c}" for c in by])
+    placed = placed.withColumn("_q", F.coalesce(q(F.col("_hi")), F.lit(0)))
+    given = placed.groupBy(*by).agg((F.max(seats) - F.sum("_q")).alias("_extra")).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    tied = placed.where(q(F.col("_lo")) > F.col("_q")).withColumn("_place", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(F.col(votes) / (2 * F.col("_q") + 1)), order)))
+    more = tied.join(given, [tied[c].eqNullSafe(given[f"_by_{c}"]) for c in by]).where("_place <= _extra").select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(order).alias("_order"))
+    won = placed.join(more, [placed[c].eqNullSafe(more[f"_by_{c}"]) for c in by] + [placed[order] == more["_order"]], "left")
+    return won.withColumn("quota", F.col("_q") + F.when(F.col("_order").isNotNull(), 1).otherwise(0)).drop("_lo", "_hi", "_found", "_q", "_order", *[f"_by_{c}" for c in by])
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED, max_repeats: int = 3) -> DataFrame:
-    """id, source, text_key, size, source_size, target and taken (words) of each row of docs."""
-    spark = docs.sparkSession
+    """id, source, text_key, size, source_size, target, rows (how many are equal) and taken (words of all of them)."""
     slim = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64("text").alias("text_key"),
         F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD))).cast("long").alias("size"),
     )
-    slim = written(slim, "sizes")
-    found = [(r["source"], int(r["n"] or 0)) for r in slim.groupBy("source").agg(F.sum("size").alias("n")).collect()]
-    found.sort(key=lambda x: (x[0] is None, x[0] or ""))  # Python orders str by code point
-    sizes = [n for _, n in found]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], max_repeats)
-    seats = sainte_lague(goal, round(sum(goal) / block))
-    kinds = "source string, source_no int, source_size long, target double, seats long, shards long"
-    rows = [(s, i, n, goal[i], seats[i], max(1, round(n / shard_words))) for i, (s, n) in enumerate(found)]
-    sources = spark.createDataFrame(rows, kinds).withColumnRenamed("source", "source_")
-    # one row a source: the catalogue of sources, broadcast by its own size or else joined by the planner
-    placed = slim.join(sources, slim["source"].eqNullSafe(sources["source_"]), "left").drop("source_")
+    slim = written(slim.groupBy("id", "source", "text_key", "size").agg(F.count("*").alias("rows")), "sizes")
+    sources = numbered(slim.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("size")))
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("no") % len(weights)).cast("int"))
+    sources = targets(sources.withColumn("weight", weight), max_repeats)
+    whole = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0)
+    sources = written(sources.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("size")), "targets")
+    total = sources.agg(F.sum("rest")).first()[0] or 0.0
+    held = sources.withColumn("_all", F.lit(0)).withColumn("seats", F.lit(round(total / block)).cast("long"))
+    held = sainte_lague(held, ["_all"], "rest", "seats", "no").select("source", F.col("no").alias("source_no"), F.col("size").alias("source_size"), "target", "whole", F.col("quota").alias("seats"), F.greatest(F.lit(1), F.round(F.col("size") / shard_words)).cast("long").alias("shards"))
+    held = written(held.withColumnRenamed("source", "source_"), "seats")
+    placed = slim.join(held, slim["source"].eqNullSafe(held["source_"])).drop("source_")
     placed = placed.withColumn("order", F.xxhash64(F.lit(seed), "id", "text_key")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "text_key"), F.col("shards")))
-    shards = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size")).join(sources.drop("source_"), "source_no")
-    quotas = _shard_quotas(shards.withColumn("seats", F.col("seats").cast("long")))
+    shards = written(placed.groupBy("source_no", "shard").agg(F.sum(F.col("size") * F.col("rows")).alias("shard_size"), F.max("seats").alias("seats")), "shards")
+    quotas = sainte_lague(shards.withColumn("votes", F.col("shard_size")), ["source_no"], "votes", "seats", "shard").select("source_no", "shard", "shard_size", "quota")
+    long = F.col("size") * F.col("rows")
     stream = W.partitionBy("source_no", "shard").orderBy("order", "id", "text_key", "size").rowsBetween(W.unboundedPreceding, 0)
-    placed = placed.withColumn("end", F.sum("size").over(stream)).withColumn("start", F.col("end") - F.col("size"))
+    placed = placed.withColumn("end", F.sum(long).over(stream)).withColumn("start", F.col("end") - long)
     placed = placed.join(quotas, ["source_no", "shard"], "left")
-    n = F.ceil(F.col("shard_size") / block)
-    quota = F.least(F.col("quota"), max_repeats * n)
-    placed = placed.withColumn("n", n).withColumn("whole", F.floor(quota / n)).withColumn("rest", quota - F.col("whole") * F.col("n")).withColumn("turn", F.pmod(F.xxhash64(F.lit(seed), "source_no", "shard"), F.col("n")))
+    full = F.floor(F.col("shard_size") / block)  # blocks that are full; one more may not be
+    placed = placed.withColumn("n", F.greatest(F.lit(1), full)).withColumn("full", full).withColumn("turn", F.pmod(F.xxhash64(F.lit(seed), "source_no", "shard"), F.col("n")))
+    chosen = lambda k: F.when(k < F.col("full"), (k * _STEP + F.col("turn")) % F.col("n") < F.col("quota")).otherwise(F.col("quota") > F.col("full"))
     part = F.aggregate(
         F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block)), F.lit(0).cast("long"),
-        lambda acc, k: acc + F.when((k * _STEP + F.col("turn")) % F.col("n") < F.col("rest"), F.least(F.col("end"), (k + 1) * block) - F.greatest(F.col("start"), k * block)).otherwise(0),
+        lambda acc, k: acc + F.when(chosen(k), F.least(F.col("end"), (k + 1) * block) - F.greatest(F.col("start"), k * block)).otherwise(0),
     )
-    taken = F.when(F.col("size") > 0, F.col("size") * F.col("whole") + part).otherwise(0).cast("long")
-    return placed.select("id", "source", "text_key", "size", "source_size", "target", taken.alias("taken"), "order")
+    taken = F.when(F.col("size") > 0, long * F.col("whole") + F.when(F.col("whole") < max_repeats, part).otherwise(0)).otherwise(0).cast("long")
+    return placed.select("id", "source", "text_key", "size", "source_size", "target", "rows", taken.alias("taken"))
+
+
+def mixed_rows(plan: DataFrame) -> DataFrame:
+    """One row for each row that was mixed: equal ones share the words that they take."""
+    each = plan.withColumn("no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return each.withColumn("taken", F.floor(F.col("taken") / F.col("rows")) + F.when(F.col("no") <= F.col("taken") % F.col("rows"), 1).otherwise(0)).drop("no", "rows")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
-    """The mix as whole documents: a row is repeated taken/size times, the fraction rounded by a seeded draw."""
-    plan = mix(docs, id_col, source_col, seed=seed, **options)
-    draw = F.pmod(F.xxhash64(F.lit(seed + 2), "id", "text_key"), F.lit(1_000_003)) / 1_000_003
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + draw)).otherwise(0)
-    plan = plan.select("id", "text_key", F.col("source").alias("source_"), copies.cast("int").alias("copies")).where("copies > 0")
-    # repeated rows: the sum of the copies of equal rows, dealt to one of them
-    plan = plan.groupBy("id", "text_key", "source_").agg(F.sum("copies").cast("int").alias("copies"))
-    base = docs.withColumn("_key", F.xxhash64("text"))
-    rows = base.dropDuplicates([id_col, "_key", source_col])
-    joined = rows.join(plan, rows[id_col].eqNullSafe(plan["id"]) & (rows["_key"] == plan["text_key"]) & rows[source_col].cast("string").eqNullSafe(plan["source_"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mix as whole documents: a row is repeated taken/size times, the fraction rounded by a draw that is seeded by
+    the whole row, so rows that are equal in all columns share it."""
+    plan = mix(docs, id_col, source_col, seed=seed, **options).where("taken > 0")
+    share = plan.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source"), (F.col("taken") / F.col("rows") / F.col("size")).alias("_share"))
+    rows = docs.select(F.struct("*").alias("_row"))
+    mine = F.col(f"_row.{id_col}").eqNullSafe(F.col("_id")) & (F.xxhash64("_row.text") == F.col("_key")) & F.col(f"_row.{source_col}").cast("string").eqNullSafe(F.col("_source"))
+    draw = F.pmod(F.xxhash64(F.lit(seed + 2), *[F.col("_row")[c] for c in docs.columns if not docs.schema[c].dataType.simpleString().startswith("map")]), F.lit(1_000_003)) / 1_000_003
+    copies = F.floor(F.col("_share") + draw).cast("int")
+    joined = rows.join(share, mine).withColumn("_copies", copies).where("_copies > 0")
+    return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")
 
 
 def op3_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mix(table(spark, sf_dir, "documents"))
+    plan = mixed_rows(mix(table(spark, sf_dir, "documents")))
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
