@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def duration_text(micros: Column) -> Column:
@@ -48,3 +50,42 @@ def snake_columns(df: DataFrame) -> DataFrame:
 
 def camel_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[camel(c) for c in df.columns])
+
+
+def normalised(kind: T.DataType, rename: Callable[[str], str]) -> T.DataType:
+    """A type with the fields of all structs in it renamed, through arrays and maps."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(rename(f.name), normalised(f.dataType, rename), f.nullable) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(normalised(kind.elementType, rename), kind.containsNull)
+    if isinstance(kind, T.MapType):
+        return T.MapType(normalised(kind.keyType, rename), normalised(kind.valueType, rename), kind.valueContainsNull)
+    return kind
+
+
+def deep_columns(df: DataFrame, rename: Callable[[str], str] = snake) -> DataFrame:
+    """Columns and nested fields by another case; casts of structs go by position, so no data is touched."""
+    return df.select(*[F.col(f"`{f.name}`").cast(normalised(f.dataType, rename)).alias(rename(f.name)) for f in df.schema.fields])
+
+
+def iso_text(ts: Column) -> Column:
+    """A timestamp as ISO-8601 text with milliseconds, as it reads in the session's time zone."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS")
+
+
+def from_iso(text: Column) -> Column:
+    """ISO-8601 text as a timestamp; null where it is none."""
+    return F.try_to_timestamp(text)
+
+
+def epoch_ms(ts: Column) -> Column:
+    return F.unix_millis(ts.cast("timestamp"))
+
+
+def from_epoch_ms(ms: Column) -> Column:
+    return F.timestamp_millis(ms)
+
+
+def new_id() -> Column:
+    """A random UUID for each row."""
+    return F.uuid()

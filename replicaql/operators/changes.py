@@ -10,25 +10,42 @@ from pyspark.sql import functions as F
 
 
 def diff(old: DataFrame, new: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """key, change (create, update, delete, same) and delta: changed columns as text by name, null if none changed."""
+    """key, change (create, update, delete, same), delta: changed columns as text by name, null if none changed, and full:
+    the new row's columns, null for a delete."""
     a, b = old.select(*key, F.struct(*columns).alias("o")), new.select(*key, F.struct(*columns).alias("n"))
     both = a.join(b, list(key), "full_outer")
     changed = [F.when(~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")), F.struct(F.lit(c).alias("key"), F.col(f"n.{c}").cast("string").alias("value"))) for c in columns]
     delta = F.map_from_entries(F.filter(F.array(*changed), lambda x: x.isNotNull()))
     kind = F.when(F.col("o").isNull(), "create").when(F.col("n").isNull(), "delete").when(F.size(delta) > 0, "update").otherwise("same")
-    return both.select(*key, kind.alias("change"), F.when(F.col("o").isNotNull() & F.col("n").isNotNull() & (F.size(delta) > 0), delta).alias("delta"))
+    return both.select(*key, kind.alias("change"), F.when(F.col("o").isNotNull() & F.col("n").isNotNull() & (F.size(delta) > 0), delta).alias("delta"), F.col("n").alias("full"))
+
+
+def single(rows: DataFrame, key: Sequence[str], what: str) -> DataFrame:
+    """rows, which fail the job if two have one key."""
+    columns = [c for c in rows.columns if c not in key]
+    one = F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit(f"{what} twice for "), F.concat_ws(", ", *[F.col(k).cast("string") for k in key]))).cast("boolean")).otherwise(F.lit(True))
+    found = rows.groupBy(*key).agg(F.first(F.struct(*columns)).alias("x_"), one.alias("one_")).where("one_")
+    return found.select(*[F.col(c) if c in key else F.col(f"x_.{c}").alias(c) for c in rows.columns])
 
 
 def upsert(base: DataFrame, rows: DataFrame, key: Sequence[str], order: Column | None = None) -> DataFrame:
-    """base with rows put in by key; of several rows with a key the last by order stays."""
-    if order is not None:
+    """base with rows put in by key; of several rows with a key the last by order stays, and without an order they fail."""
+    if order is None:
+        rows = single(rows, key, "a row")
+    else:
         rows = rows.withColumn("n_", F.row_number().over(W.partitionBy(*key).orderBy(order.desc()))).where("n_ = 1").drop("n_")
     return base.join(rows.select(*key), list(key), "left_anti").unionByName(rows)
 
 
-def patch(base: DataFrame, deltas: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Overlays deltas (key, delta map<string,string>): present keys replace, nulls included."""
-    joined = base.join(deltas.select(*key, "delta"), list(key), "left")
+def patch(base: DataFrame, deltas: DataFrame, key: Sequence[str], columns: Sequence[str], missing: str = "error") -> DataFrame:
+    """Overlays deltas (key, delta map<string,string>): present keys replace, nulls included. A key with two deltas fails
+    the job, and so does one without a row in base, unless missing is "ignore"."""
+    if missing not in ("error", "ignore"):
+        raise ValueError("missing is error or ignore")
+    deltas = single(deltas.select(*key, "delta"), key, "a delta")
+    joined = base.withColumn("there_", F.lit(True)).join(deltas, list(key), "left" if missing == "ignore" else "full_outer")
+    lost = F.raise_error(F.concat(F.lit("no row to patch: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in key]))).cast("boolean")
+    joined = joined.where(F.when(F.col("there_").isNull(), lost).otherwise(F.lit(True)))
     kinds = dict(base.dtypes)
     for c in columns:
         joined = joined.withColumn(c, F.when(F.coalesce(F.map_contains_key("delta", F.lit(c)), F.lit(False)), F.get(F.array(F.col("delta")[c]), F.lit(0)).cast(kinds[c])).otherwise(F.col(c)))
@@ -39,14 +56,27 @@ def delete(base: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:
     return base.join(keys.select(*key), list(key), "left_anti")
 
 
+def deleted(base: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:
+    """key and went: whether a delete of the keys takes a row out."""
+    there = base.select(*key).distinct().withColumn("went", F.lit(True))
+    return keys.select(*key).distinct().join(there, list(key), "left").select(*key, F.coalesce("went", F.lit(False)).alias("went"))
+
+
 def clear_user(base: DataFrame, user_id: object, column: str = "user_id") -> DataFrame:
     return base.where(~F.col(column).eqNullSafe(F.lit(user_id)))
 
 
 def operation_log(changes: DataFrame, user: Column, seq: Column, now: Column) -> DataFrame:
-    """Pending operations of a diff: op_id, type, delta, seq, retry_count and size (JSON characters)."""
-    size = F.when(F.col("change") == "delete", F.length(F.to_json(F.struct("id")))).otherwise(F.length(F.to_json("delta")))
-    return changes.where("change <> 'same'").select(F.concat_ws("-", F.lit("op"), seq.cast("string")).alias("op_id"), "id", user.alias("user_id"), F.col("change").alias("type"), "delta", seq.alias("seq"), now.alias("at"), F.lit(0).alias("retry_count"), F.coalesce(size, F.lit(0)).alias("size"))
+    """Pending operations of a diff: op_id, type, delta, full, seq, retry_count and size (JSON characters)."""
+    size = F.when(F.col("change") == "delete", F.length(F.to_json(F.struct("id")))).when(F.col("change") == "create", F.length(F.to_json("full"))).otherwise(F.length(F.to_json("delta")))
+    return changes.where("change <> 'same'").select(F.concat_ws("-", F.lit("op"), seq.cast("string")).alias("op_id"), "id", user.alias("user_id"), F.col("change").alias("type"), "delta", "full", seq.alias("seq"), now.alias("at"), F.lit(0).alias("retry_count"), F.coalesce(size, F.lit(0)).alias("size"))
+
+
+def push(base: DataFrame, rows: DataFrame, key: Sequence[str], columns: Sequence[str], user: Column, seq: Column, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Saving rows: the table with them put in, and the operations to queue (create or update; unchanged rows make none)."""
+    rows = single(rows, key, "a row")
+    found = diff(base.join(rows.select(*key), list(key), "left_semi"), rows, key, columns)
+    return base.join(rows.select(*key), list(key), "left_anti").unionByName(rows), operation_log(found, user, seq, now)
 
 
 def enqueue(queue: DataFrame, ops: DataFrame) -> DataFrame:

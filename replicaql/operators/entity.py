@@ -7,14 +7,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import ReplicaError
-
-ENVELOPE = T.StructType([
-    T.StructField("id", T.StringType()), T.StructField("user_id", T.StringType()), T.StructField("modified_at", T.TimestampType()),
-    T.StructField("created_at", T.TimestampType()), T.StructField("version", T.LongType()), T.StructField("is_deleted", T.BooleanType()),
-])
+from ..plans.compiler import apply
+from ..plans.model import Query
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -53,6 +49,32 @@ def pipe(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     return df
 
 
+def saved(df: DataFrame, entity: Entity) -> DataFrame:
+    """Rows as they are saved: the transforms before saving, in order."""
+    return pipe(df, entity.before_save)
+
+
+def fetched(df: DataFrame, entity: Entity) -> DataFrame:
+    """Rows as they are returned: the transforms after fetching, in order."""
+    return pipe(df, entity.after_fetch)
+
+
+def scan(df: DataFrame, user_id: object = None, column: str = "user_id") -> DataFrame:
+    """All rows, deleted ones included, or one user's."""
+    return df if user_id is None else df.where(F.col(column) == F.lit(user_id))
+
+
+def scoped(df: DataFrame, scope: Query | None = None, user_id: object = None, column: str = "user_id") -> DataFrame:
+    """A remote read of the rows that a scope's filters keep; its order and limits don't count."""
+    df = scan(df, user_id, column)
+    return df if scope is None else apply(df, Query(filters=scope.filters, logic=scope.logic))
+
+
+def counts(df: DataFrame, column: str = "user_id", name: str = "n") -> DataFrame:
+    """Rows of each user: pending operations of a queue, or entities of a table."""
+    return df.groupBy(F.col(column).alias("user_id")).agg(F.count("*").alias(name))
+
+
 def lookup(df: DataFrame, key: object, column: str = "id") -> DataFrame:
     return df.where(F.col(column) == F.lit(key)).limit(1)
 

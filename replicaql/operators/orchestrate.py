@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -24,6 +25,7 @@ class Config:
     max_retries: int = 3
     buffer_ms: int = 50
     dedup_ttl_s: float = 5.0
+    parallel: bool = False
     batch: int = 10
     fail_fast: bool = True
 
@@ -43,6 +45,25 @@ class Result:
         return self.skipped is None and self.failed == 0
 
 
+def in_batches(work: Sequence[Any], run: Callable[[Any], Any], batch: int = 1, fail_fast: bool = True) -> tuple[list, list[tuple[Any, Exception]]]:
+    """Runs run over work, batch items at once (1: one after another), and returns what came back and what failed.
+
+    With fail_fast nothing starts after the batch in which one failed, and its error is raised."""
+    done, failed = [], []
+    for at in range(0, len(work), max(1, batch)):
+        part = work[at : at + max(1, batch)]
+        with ThreadPoolExecutor(len(part)) as pool:
+            futures = [(x, pool.submit(run, x)) for x in part]
+        for x, f in futures:
+            if f.exception() is None:
+                done.append(f.result())
+            else:
+                failed.append((x, f.exception()))
+        if failed and fail_fast:
+            raise failed[0][1]
+    return done, failed
+
+
 @dataclass
 class Handler:
     """What an entity does for a user: push and pull return Results; pending counts queued operations."""
@@ -92,8 +113,11 @@ class Catalog:
         found: list[tuple[str, Result]] = []
         try:
             for phase in PHASES[direction]:
-                for h in self.handlers.values():
-                    found.append((phase, getattr(h, phase)(user)))
+                batch = self.config.batch if self.config.parallel else 1
+                done, broken = in_batches(list(self.handlers.values()), lambda h: getattr(h, phase)(user), batch, self.config.fail_fast)  # noqa: B023
+                found += [(phase, r) for r in done] + [(phase, Result(user, failed=1)) for _ in broken]
+                for _, error in broken:
+                    self._tell("error", error)
         except Exception as error:
             self.status[user] = "failed"
             self._tell("error", error)

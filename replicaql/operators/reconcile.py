@@ -72,16 +72,22 @@ def classify(local: DataFrame, remote: DataFrame, user: object = None, resolver:
 
 
 def pull(classified: DataFrame, local: DataFrame, merge: Callable[[Column, Column], Sequence[Column]] | None = None, key: str = "id") -> DataFrame:
-    """The local table after a pull: written keys are replaced, local-only rows stay, nothing is deleted."""
+    """The local table after a pull: rows are replaced by (user_id, key) of what is written, local-only rows stay, nothing
+    is deleted. A pair that is to be merged fails the job if there is no merge function."""
     columns = local.columns
     writes = classified.where(F.col("action").isin("create", "update", TAKE_REMOTE, MERGE))
-    taken = [F.col(f"r.{c}").alias(c) for c in columns]
     if merge is None:
-        rows = writes.where(F.col("action") != MERGE).select(*taken)
+        # struct by field, so that the check is not pruned with a column
+        fail = F.raise_error(F.concat(F.lit("no merge function for "), F.col(key).cast("string")))
+        row = F.when(F.col("action") == MERGE, fail.cast(writes.schema["r"].dataType)).otherwise(F.col("r"))
+        row = F.struct(*[row[c].alias(c) for c in columns])
     else:
         merged = merge(F.col("l"), F.col("r"))
-        rows = writes.select(*[F.when(F.col("action") == MERGE, m).otherwise(F.col(f"r.{c}")).alias(c) for c, m in zip(columns, merged, strict=True)])
-    return local.join(writes.select(key), key, "left_anti").select(*columns).unionByName(rows)
+        row = F.struct(*[F.when(F.col("action") == MERGE, m).otherwise(F.col(f"r.{c}")).alias(c) for c, m in zip(columns, merged, strict=True)])
+    written = writes.select(row.alias("w")).select("w", F.col("w.user_id").alias("user_"), F.col(f"w.{key}").alias("key_"))
+    held = local.select(F.struct(*columns).alias("h"), F.col("user_id").alias("user_"), F.col(key).alias("key_"))
+    both = held.join(written, held["user_"].eqNullSafe(written["user_"]) & held["key_"].eqNullSafe(written["key_"]), "full_outer")
+    return both.select(F.when(F.col("w").isNotNull(), F.col("w")).otherwise(F.col("h")).alias("x")).select("x.*")
 
 
 def pull_counts(classified: DataFrame) -> DataFrame:

@@ -66,6 +66,7 @@ def pairs(parents: DataFrame, relation, related: DataFrame, pivot: DataFrame | N
         one = related.withColumn("place_", place).where("place_ = 1").drop("place_")
         return keys.join(one, F.col("parent_key") == one[relation.foreign_key])
     keys = _keys(parents, relation.this_local)
-    # a pivot may repeat a link: once is enough
-    links = pivot.select(F.col(relation.this_key).alias("this_"), F.col(relation.other_key).alias("other_")).where("other_ is not null").distinct()
-    return keys.join(links, F.col("parent_key") == F.col("this_")).drop("this_").join(related, F.col("other_") == related[relation.other_local]).drop("other_")
+    # only links of the parents; a pivot may repeat one: once is enough
+    links = pivot.select(F.col(relation.this_key).alias("this_"), F.col(relation.other_key).alias("other_")).where("other_ is not null")
+    links = links.join(keys, F.col("this_") == F.col("parent_key"), "left_semi").distinct()
+    return links.withColumnRenamed("this_", "parent_key").join(related, F.col("other_") == related[relation.other_local]).drop("other_")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ _model("f_lte", _ORDERS, _q().where("o_totalprice", le=20000.0).build(), _O)
 _model("f_between", _ORDERS, _q().where("o_totalprice", between=[50000.0, 60000.0]).build(), _O)
 _model("f_contains", _PART, _q().where("p_name", contains="e").build(), _P)
 _model("f_contains_ci", _PART, _q().where("p_name", contains_ci="A").build(), _P)
-_model("f_starts", _PART, _q().where("p_name", starts="p").build(), _P)
+_model("f_starts", _PART, _q().where("p_name", starts="s").build(), _P)
 _model("f_ends", _CUST, _q().where("c_name", ends="7").build(), _C)
 _model("f_matches", _CUST, _q().where("c_name", matches="[0-9]*[13]5$").build(), _C)
 _model("f_in", _CUST, _q().where("c_mktsegment", is_in=["BUILDING", "MACHINERY"]).build(), "c_custkey, c_mktsegment")
@@ -142,7 +143,7 @@ def _(spark, d):
 
 @_register("q_scan_user", "SELECT event_id, user_id, event_type, value FROM events WHERE user_id = 7")
 def _(spark, d):
-    return _t(spark, d, "events").select("event_id", "user_id", "event_type", "value").where("user_id = 7")
+    return entity.scan(_t(spark, d, "events").select("event_id", "user_id", "event_type", "value"), 7)
 
 
 @_register("q_lookup", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 77")
@@ -158,7 +159,7 @@ def _(spark, d):
 
 @_register("q_scope_incremental", "SELECT event_id, user_id FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00'")
 def _(spark, d):
-    return _t(spark, d, "events").where("ts > timestamp_ntz'2024-01-15 00:00:00'").select("event_id", "user_id")
+    return entity.scoped(_t(spark, d, "events"), _q().where("ts", gt=datetime(2024, 1, 15)).limit(1).build()).select("event_id", "user_id")
 
 
 @_register("r_belongs_to", "SELECT o_orderkey AS parent_key, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'")
@@ -198,7 +199,7 @@ def _(spark, d):
 
 @_register("r_batch_counts", "SELECT o_custkey AS user_id, count(*) AS n FROM orders GROUP BY o_custkey")
 def _(spark, d):
-    return _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count("*").alias("n"))
+    return entity.counts(_t(spark, d, "orders"), "o_custkey")
 
 
 @_register("a_count", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'O'")
@@ -218,7 +219,7 @@ def _(spark, d):
 
 @_register("a_pending_count", "SELECT user_id, count(*) AS pending FROM events WHERE event_type <> 'view' GROUP BY user_id")
 def _(spark, d):
-    return _t(spark, d, "events").where("event_type <> 'view'").groupBy("user_id").agg(F.count("*").alias("pending"))
+    return _t(spark, d, "events").where("event_type <> 'view'").transform(entity.counts, name="pending")
 
 
 @_register("a_entity_counts", "SELECT user_id, sum(o) AS orders, sum(e) AS events FROM (SELECT o_custkey AS user_id, 1 AS o, 0 AS e FROM orders UNION ALL SELECT user_id, 0, 1 FROM events) GROUP BY user_id")
@@ -293,7 +294,7 @@ def _(spark, d):
 
 def _pull_sql(takes: str, amount: str = "amt") -> str:
     columns = f"id, user_id, {amount} AS amt, version, is_deleted"
-    return f"WITH b AS ({_BOTH}), w AS (SELECT {columns} FROM b WHERE kind = 'none' OR {takes}) SELECT * FROM w UNION ALL SELECT id, user_id, amt, version, is_deleted FROM ({_LOCAL}) WHERE id NOT IN (SELECT id FROM w)"
+    return f"WITH b AS ({_BOTH}), w AS (SELECT {columns} FROM b WHERE kind = 'none' OR {takes}) SELECT * FROM w UNION ALL SELECT id, user_id, amt, version, is_deleted FROM ({_LOCAL}) WHERE (user_id, id) NOT IN (SELECT (user_id, id) FROM w)"
 
 
 def _pulled(spark: SparkSession, d: str, resolver, merge=None) -> DataFrame:
@@ -340,7 +341,21 @@ def _(spark, d):
     return found.select("id", "change", F.try_element_at("delta", F.lit("version")).alias("new_version"))
 
 
-@_register("s_push_replay")
+_SLOTS = "SELECT user_id * 10 + event_id % 10 AS id, event_id AS seq, event_id % 5 AS kind, event_id % 97 AS a, event_id % 89 AS b, CASE WHEN event_id % 2 = 0 THEN 1 WHEN event_id % 3 = 0 THEN 2 ELSE 0 END AS sets FROM events"
+_REPLAY = f"""WITH RECURSIVE ops AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS n, kind IN (1, 2, 4) AND sets > 0 AS is_delta FROM ({_SLOTS})),
+base AS (SELECT i AS id, -1::BIGINT AS a, -2::BIGINT AS b FROM range(0, 1500, 3) t(i)),
+keys AS (SELECT id FROM base UNION SELECT id FROM ops),
+fold AS (
+  SELECT k.id, 0::BIGINT AS n, base.id IS NOT NULL AS there, base.a, base.b FROM keys k LEFT JOIN base ON k.id = base.id
+  UNION ALL
+  SELECT f.id, o.n, o.kind <> 3,
+    CASE WHEN o.kind = 3 THEN NULL WHEN f.there AND o.is_delta AND o.sets <> 1 THEN f.a ELSE o.a END,
+    CASE WHEN o.kind = 3 THEN NULL WHEN f.there AND o.is_delta AND o.sets <> 2 THEN f.b ELSE o.b END
+  FROM fold f JOIN ops o ON f.id = o.id AND o.n = f.n + 1)
+SELECT id, a, b FROM (SELECT *, max(n) OVER (PARTITION BY id) AS last FROM fold) WHERE there AND n = last"""
+
+
+@_register("s_push_replay", _REPLAY)
 def _(spark, d):
     e = _t(spark, d, "events")
     kind = F.element_at(F.array(*map(F.lit, ("create", "update", "patch", "delete", "patch"))), (F.col("event_id") % 5 + 1).cast("int"))
@@ -406,7 +421,15 @@ def _(spark, d):
     return scalars.camel_columns(_t(spark, d, "customer").select("c_custkey", "c_name"))
 
 
-@_register("t_dedup_ttl")
+_DEDUP = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+taken AS (
+  SELECT user_id, event_id, t, n FROM e WHERE n = 1
+  UNION ALL
+  SELECT user_id, event_id, t, n FROM (SELECT e.*, row_number() OVER (PARTITION BY e.user_id ORDER BY e.n) AS place FROM taken k JOIN e ON e.user_id = k.user_id AND e.n > k.n AND e.t - k.t > 3600000000) WHERE place = 1)
+SELECT user_id, event_id FROM taken"""
+
+
+@_register("t_dedup_ttl", _DEDUP)
 def _(spark, d):
     return live.suppress(_t(spark, d, "events"), "user_id", "ts", ["event_id"], 3600.0)
 
@@ -429,6 +452,51 @@ def _(spark, d):
     return live.apply_changes(base, log, "id", ["ts", "v"])
 
 
+@_register("s_push", f"SELECT id, amt FROM (SELECT id, amt FROM ({_REMOTE}) UNION ALL SELECT id, amt FROM ({_LOCAL}) WHERE id NOT IN (SELECT id FROM ({_REMOTE})))")
+def _(spark, d):
+    local, remote = _replicas(spark, d)
+    saved, _ = changes.push(local, remote, ["id"], ["user_id", "amt"], F.col("id") * 0, F.col("id"), F.lit(0))
+    return saved.select("id", "amt")
+
+
+@_register("s_push_log", f"SELECT r.id, CASE WHEN l.id IS NULL THEN 'create' ELSE 'update' END AS type, r.version AS version FROM ({_REMOTE}) r LEFT JOIN ({_LOCAL}) l ON r.id = l.id WHERE l.id IS NULL OR l.user_id <> r.user_id OR l.version <> r.version")
+def _(spark, d):
+    local, remote = _replicas(spark, d)
+    _, log = changes.push(local, remote, ["id"], ["user_id", "version"], F.col("id") * 0, F.col("id"), F.lit(0))
+    return log.select("id", "type", F.col("full.version").alias("version"))
+
+
+@_register("s_deleted", "SELECT l_orderkey AS id, l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') AS went FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def _(spark, d):
+    base = _t(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("id"))
+    return changes.deleted(base, _t(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("id")), ["id"])
+
+
+@_register("q_keyset_two", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus < 'O' OR (o_orderstatus = 'O' AND o_orderkey > 500) ORDER BY o_orderstatus DESC, o_orderkey LIMIT 50")
+def _(spark, d):
+    return paging.after(_t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), ["o_orderstatus", "o_orderkey"], ("O", 500), descending=[True])
+
+
+_EXTERNAL = "select event_id, user_id, case when event_type = 'view' then 'delete' else 'update' end as type, case when event_id % 3 = 0 then 'local' else 'remote' end as source_id from events"
+
+
+@_register("t_external_apply", f"SELECT event_id, type FROM ({_EXTERNAL}) WHERE source_id = 'local' AND type <> 'delete'")
+def _(spark, d):
+    return live.queued(live.applied(_view(spark, d, _EXTERNAL))).select("event_id", "type")
+
+
+@_register("t_watch_related", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def _(spark, d):
+    query = live.by_relation(lambda: _t(spark, d, "customer").where("c_acctbal < 0"), HasMany("o_custkey", "c_custkey"))
+    return query(_t(spark, d, "orders")).select("o_orderkey", "o_totalprice")
+
+
+@_register("m_timestamps", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') AS iso, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000 AS back FROM events")
+def _(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    return _t(spark, d, "events").select("event_id", scalars.iso_text(ts).alias("iso"), scalars.epoch_ms(ts).alias("ms"), scalars.epoch_ms(scalars.from_iso(scalars.iso_text(ts))).alias("back"))
+
+
 def queries() -> dict[str, Run]:
     return dict(_QUERIES)
 

@@ -106,6 +106,3 @@ def count(df: DataFrame, query: Query | None = None) -> DataFrame:
 def first(df: DataFrame, query: Query, key: Sequence[str] = ()) -> DataFrame:
     return apply(df, query.replace(limit=1), key)
 
-
-def by_user(df: DataFrame, user_id: object = None, column: str = "user_id") -> DataFrame:
-    return df if user_id is None else df.where(F.col(column) == F.lit(user_id))

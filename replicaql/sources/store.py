@@ -6,12 +6,16 @@ go through Hadoop's FileSystem, so any store that Spark reads will do.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import SourceError
 
+ATTEMPTS = 10
+
 
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str, partition_by: tuple[str, ...] = ()):
@@ -36,20 +40,58 @@ class SnapshotStore:
         version = self.current() if version is None else version
         if version is None:
             raise SourceError(f"{self.root} has no committed version")
-        return self.spark.read.parquet(f"{self.root}/v{version}")
+        return self.spark.read.parquet(f"{self.root}/{self._folder(version)}")
 
-    def write(self, df: DataFrame) -> int:
-        """A whole new version; it counts from the moment its marker exists."""
-        number = (self.current() or 0) + 1
-        w = df.write.mode("overwrite")
-        (w.partitionBy(*self.partition_by) if self.partition_by else w).parquet(f"{self.root}/v{number}")
+    def _claim(self, number: int, folder: str) -> bool:
+        """Makes a version's marker, which names its folder; False if another writer has made it."""
         fs, marker = self._fs(f"{self.root}/_commits/{number}")
-        fs.create(marker, True).close()
+        if fs.exists(marker):
+            return False
+        try:
+            out = fs.create(marker, False)
+        except Exception:
+            if fs.exists(marker):
+                return False
+            raise
+        out.write(bytearray(folder.encode()))
+        out.close()
+        return True
+
+    def _folder(self, version: int) -> str:
+        fs, marker = self._fs(f"{self.root}/_commits/{version}")
+        stream = fs.open(marker)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _put(self, df: DataFrame) -> str:
+        folder = f"data-{uuid.uuid4().hex}"
+        w = df.write
+        (w.partitionBy(*self.partition_by) if self.partition_by else w).parquet(f"{self.root}/{folder}")
+        return folder
+
+    def write(self, df: DataFrame) -> int:
+        """A whole new version in a folder of its own; it counts from the moment its marker exists, and no marker is
+        written twice: a writer that comes second takes the next number."""
+        folder, number = self._put(df), (self.current() or 0) + 1
+        while not self._claim(number, folder):
+            number += 1
         return number
 
+    def replace_user(self, rows: DataFrame, user_id: object, column: str = "user_id") -> int:
+        """Overwrites one user's rows."""
+        return self.transaction(lambda df: df.where(~F.col(column).eqNullSafe(F.lit(user_id))).unionByName(rows))
+
     def transaction(self, change: Callable[[DataFrame], DataFrame]) -> int:
-        """All or nothing: an error leaves the current version in place."""
-        return self.write(change(self.read()))
+        """All or nothing: an error leaves the current version in place. If another writer commits meanwhile, the
+        change is made again on that writer's version."""
+        for _ in range(ATTEMPTS):
+            base = self.current()
+            folder = self._put(change(self.read(base)))
+            if self.current() == base and self._claim((base or 0) + 1, folder):
+                return (base or 0) + 1
+        raise SourceError(f"{self.root}: other writers were first {ATTEMPTS} times")
 
     def rollback(self, version: int) -> None:
         """Drops the markers of later versions."""

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import entity, relations
+
 CHANGE = T.StructType([T.StructField("type", T.StringType()), T.StructField("entity_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("data", T.StringType()), T.StructField("source_id", T.StringType())])
 
 
@@ -26,19 +29,30 @@ def of_type(events: DataFrame, *types: str, column: str = "event_type") -> DataF
 def suppress(events: DataFrame, key: str, ts: str, order: Sequence[str], ttl_s: float = 5.0) -> DataFrame:
     """Batch twin of suppress_stream: an event is accepted iff it is more than the TTL after its key's last accepted one.
 
-    A fold over each key's events in order; a chain of duplicates does not extend the wait. Keys whose neighbours are
-    all further apart than the TTL need no fold, which leaves the fold to the runs in between.
+    One ordered pass over each key's events that carries the last accepted time; a chain of duplicates does not extend
+    the wait. A gap above the TTL starts a new run, and runs are dealt out separately.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     w = W.partitionBy(key).orderBy(ts, *order)
     rows = events.withColumn("t_", micros).withColumn("gap_", F.col("t_") - F.lag("t_").over(w))
     # a gap above the TTL always ends a run: its first event is accepted whatever came before
     rows = rows.withColumn("run_", F.count_if(F.col("gap_").isNull() | (F.col("gap_") > ttl_s * 1e6)).over(w))
-    packed = rows.groupBy(key, "run_").agg(F.array_sort(F.collect_list(F.struct("t_", *order))).alias("es"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(packed.schema["es"].dataType).alias("kept"))
-    step = lambda acc, e: F.when(acc["last"].isNull() | (e["t_"] - acc["last"] > ttl_s * 1e6), F.struct(e["t_"].alias("last"), F.concat(acc["kept"], F.array(e)).alias("kept"))).otherwise(acc)
-    kept = packed.select(key, F.explode(F.aggregate("es", start, step, lambda acc: acc["kept"])).alias("e"))
-    return kept.select(key, *[F.col(f"e.{c}").alias(c) for c in order])
+    # rows before their run's first accepted successor are told by jumps: each run is read once, in order
+    runs = rows.select(key, "run_", "t_", *order).repartition(key, "run_").sortWithinPartitions(key, "run_", "t_", *order)
+    names, kinds = [key, *order], T.StructType([events.schema[c] for c in (key, *order)])
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, last = None, 0
+        for b in batches:
+            keys, t, keep = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), b.column(2).to_pylist(), []
+            for k, at in zip(keys, t, strict=True):
+                fine = k != run or at - last > ttl_s * 1e6
+                if fine:
+                    run, last = k, at
+                keep.append(fine)
+            yield b.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return runs.mapInArrow(accept, kinds)
 
 
 def suppress_stream(events: DataFrame, key: str, ts: str, ttl_s: float = 5.0) -> DataFrame:
@@ -90,3 +104,33 @@ def watch(changes: DataFrame, snapshot: Callable[[], DataFrame], apply: Callable
 def live_count(changes: DataFrame, *by: str) -> DataFrame:
     """A running count (complete mode)."""
     return changes.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def applied(changes: DataFrame, user_id: object = None) -> DataFrame:
+    """External changes that a replica takes over: all of them, or those of one user."""
+    return changes if user_id is None else changes.where(F.col("user_id") == F.lit(user_id))
+
+
+def queued(changes: DataFrame, source: str = "source_id", kind: str = "type", local: str = "local") -> DataFrame:
+    """External changes that become pending operations: those of the local side, but never its deletes."""
+    return changes.where((F.col(source) == local) & (F.col(kind) != "delete"))
+
+
+def by_id(key: object, column: str = "id") -> Callable[[DataFrame], DataFrame]:
+    """For watch(): one row."""
+    return lambda df: df.where(F.col(column) == F.lit(key)).limit(1)
+
+
+def by_page(key: Sequence[str], page: int = 1, size: int = 50) -> Callable[[DataFrame], DataFrame]:
+    """For watch(): one page."""
+    return lambda df: df.orderBy(*key).offset((page - 1) * size).limit(size)
+
+
+def by_relation(parents: Callable[[], DataFrame], relation, pivot: Callable[[], DataFrame] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """For watch() over the related table: the rows that belong to the parents as they are then."""
+    return lambda df: relations.fetch(parents(), relation, df, pivot() if pivot else None)
+
+
+def by_size() -> Callable[[DataFrame], DataFrame]:
+    """For watch(): the table's storage size."""
+    return entity.storage_size
