@@ -2,7 +2,9 @@
 
 P(w | h) is d(r) r / c(h) for bigrams counted r times (d: Good-Turing discounts up to r = 5) and alpha(h) P(w) for others;
 alpha(h) = (1 - seen discounted mass) / (1 - P of the words seen after h), so each context sums to 1 exactly. P(w) is
-discounted in the same way and leaves its rest to the class of unseen words.
+discounted in the same way and leaves its rest to the class of unseen words. A context all of whose counts stand
+undiscounted (and likewise the words, if none is) has no mass left: its unseen words are counted once, so that it sums
+to 1 as well.
 
 Texts are held in blocks of about BLOCK tokens: word hashes, and tokens as places among them. Blocks send their distinct
 words and bigrams, with counts, to buckets whose number grows with the corpus; buckets merge counts and write the tables
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import bucketed, crc_mod, table, written
 
-BLOCK = 2_500_000
+BLOCK = 1_500_000
 BUCKET = 2_500_000  # tokens for each bucket
 HOT = 10_000
 TOP = 5  # counts up to TOP are discounted
@@ -164,17 +166,21 @@ def _merge_words(group: pa.Table) -> pa.Table:
 
 
 class Unigrams:
+    """P(w) of training words, and of the class of all others. Where the discounts leave that class nothing, it is
+    counted once."""
+
     def __init__(self, total: int, types: int, small: list[int]):
         self.total, self.types = total, types
         self.d = discounts(np.array(small, float))
         lost = sum(r * small[r - 1] * (1 - self.d[r]) for r in range(1, TOP + 1))
-        self.unseen = lost / total if total and lost > 0 else 1.0 if not total else 1 / (total + 1)
+        self.mass = total + (lost <= 0)
+        self.unseen = (lost if lost > 0 else 1.0) / self.mass
 
     def p(self, counts: np.ndarray) -> np.ndarray:
         counts = counts.astype(float)
         d = self.d[np.minimum(counts, TOP).astype(int)]
         d = np.where(counts > TOP, 1.0, d)
-        return np.where(counts > 0, d * counts / max(self.total, 1), self.unseen)
+        return np.where(counts > 0, d * counts / self.mass, self.unseen)
 
 
 class _Bigrams:
@@ -239,10 +245,16 @@ def _merge_pairs(group: pa.Table) -> pa.Table:
 
 
 def _sums(contexts, at, counts, p, d) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each context: its count, its discounted count, and P of the words seen after it."""
-    kept = np.where(counts > TOP, 1.0, d[np.minimum(counts, TOP)]) * counts
+    """Of each context: its count, what discounts take from it, and P of the words seen after it."""
+    lost = np.where(counts > TOP, 0.0, 1 - d[np.minimum(counts, TOP)]) * counts
     n = len(contexts)
-    return np.bincount(at, counts, n), np.bincount(at, kept, n), np.bincount(at, np.where(counts > 0, p, 0), n)
+    return np.bincount(at, counts, n), np.bincount(at, lost, n), np.bincount(at, np.where(counts > 0, p, 0), n)
+
+
+def _values(values: np.ndarray, place: np.ndarray) -> bytes:
+    """values[place], each of them once."""
+    own, at = np.unique(place, return_inverse=True)
+    return _pack(values[own], at.astype(np.uint16 if len(own) < 1 << 16 else np.uint32))
 
 
 def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id") -> DataFrame:
@@ -271,7 +283,8 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
 
     def joined(answers: list[dict], kind: int) -> np.ndarray:
         got = sorted((a["bucket"], a["data"]) for a in answers if a["kind"] == kind)
-        return np.concatenate([_unpack(x)[0] for _, x in got]) if got else np.zeros(0)
+        parts = [_unpack(x) for _, x in got]
+        return np.concatenate([x[0] if len(x) == 1 else x[0][x[1]] for x in parts]) if parts else np.zeros(0)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,16 +304,16 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
         for b in batches:
             for x in b.column(0):
                 contexts, at, counts, wc, flags = _unpack(x.as_py())
-                c, kept, p = (s[flags > 0] for s in _sums(contexts, at, counts, uni.p(wc), d))
+                c, lost, p = (s[flags > 0] for s in _sums(contexts, at, counts, uni.p(wc), d))
                 contexts = contexts[flags > 0]
-                yield pa.RecordBatch.from_arrays([pa.array(contexts.view(np.int64)), pa.array(c), pa.array(kept), pa.array(p)], names=["h", "c", "kept", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(contexts.view(np.int64)), pa.array(c), pa.array(lost), pa.array(p)], names=["h", "c", "lost", "p"])
 
     # at most HOT + 1 contexts are hot: that bounds what is collected
-    split = grams.select("bigrams").mapInArrow(hot_sums, "h long, c double, kept double, p double").groupBy("h").agg(F.sum("c").alias("c"), F.sum("kept").alias("kept"), F.sum("p").alias("p"))
+    split = grams.select("bigrams").mapInArrow(hot_sums, "h long, c double, lost double, p double").groupBy("h").agg(F.sum("c").alias("c"), F.sum("lost").alias("lost"), F.sum("p").alias("p"))
     hot = split.toArrow()
     hot_h = np.asarray(hot.column("h").combine_chunks() if hot.num_rows else pa.array([], pa.int64())).astype(np.int64).view(np.uint64)
     by = np.argsort(hot_h)
-    whole = sc.broadcast((hot_h[by], *(np.asarray(hot.column(x).combine_chunks() if hot.num_rows else pa.array([], pa.float64()))[by] for x in ("c", "kept", "p"))))
+    whole = sc.broadcast((hot_h[by], *(np.asarray(hot.column(x).combine_chunks() if hot.num_rows else pa.array([], pa.float64()))[by] for x in ("c", "lost", "p"))))
 
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,17 +323,19 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
             for i in range(b.num_rows):
                 contexts, at, counts, wc, _ = _unpack(b.column(1)[i].as_py())
                 p = uni.p(wc)
-                c, kept, seen = _sums(contexts, at, counts, p, d)
+                c, lost, seen = _sums(contexts, at, counts, p, d)
                 if len(names):
                     place = np.minimum(np.searchsorted(names, contexts), len(names) - 1)
                     found = names[place] == contexts
-                    c, kept, seen = (np.where(found, s[place], own) for s, own in zip(sums, (c, kept, seen), strict=True))
-                rest, free = np.maximum(c - kept, 1e-9), np.maximum(1 - seen, 1e-12)
-                alpha = np.where(c > 0, rest / np.maximum(c, 1) / free, 1.0)
-                direct = np.where(counts > TOP, 1.0, d[np.minimum(counts, TOP)]) * counts / np.maximum(c, 1)[at]
-                logs = np.log10(np.where(counts > 0, direct, alpha[at] * p)).astype(np.float32)
+                    c, lost, seen = (np.where(found, s[place], own) for s, own in zip(sums, (c, lost, seen), strict=True))
+                # P of the class of unseen words is never seen after a context, so 1 - seen is at least that
+                mass, free = c + (lost <= 0), np.maximum(1 - seen, uni.unseen)
+                alpha = np.where(c > 0, np.where(lost > 0, lost, 1.0) / np.maximum(mass, 1) / free, 1.0)
+                direct = np.where(counts > TOP, 1.0, d[np.minimum(counts, TOP)]) * counts / np.maximum(mass, 1)[at]
+                # many bigrams share a value: values once, and their places
+                values_, place = np.unique(np.log10(np.where(counts > 0, direct, alpha[at] * p)), return_inverse=True)
                 blocks_ = b.column(2)[i].as_py()
-                rows = [_pack(logs[x]) for x in _unpack(b.column(3)[i].as_py())]
+                rows = [_values(values_, place[x]) for x in _unpack(b.column(3)[i].as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array(blocks_, pa.int64()), pa.array([b.column(0)[i].as_py()] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names=["block", "bucket", "data"])
 
     second = grams.select("bucket", "bigrams", "blocks", "asked").mapInArrow(values, "block long, bucket int, data binary")

@@ -20,47 +20,75 @@ def docs(spark):
     return spark.createDataFrame(rows, KINDS)
 
 
+def _discounts(counts):
+    """Katz's Good-Turing discounts of counts 1 to 5, written from the definition."""
+    n = [0] + [sum(c == r for c in counts) for r in range(1, 7)]
+    d = {r: 1.0 for r in range(1, 6)}
+    if n[1]:
+        cut = 6 * n[6] / n[1]
+        for r in range(1, 6):
+            if n[r] and n[r + 1] and cut < 1:
+                v = ((r + 1) * n[r + 1] / (r * n[r]) - cut) / (1 - cut)
+                d[r] = v if 0.05 < v < 1 else 1.0
+        d[1] = min(d[1], 0.95)
+    return lambda r: d.get(r, 1.0)
+
+
 def _katz(rows):
-    """Each row's tokens scored by a model of plain dictionaries."""
+    """Each row's tokens scored by a model of plain dictionaries, and the sum of each context's probabilities."""
     tok = lambda t: [*(t or "").encode().lower().split(), b""]
     train = [tok(t) for _, t, h in rows if not h]
     c1 = Counter(w for s in train for w in s)
     c2 = Counter(p for s in train for p in zip([None, *s], s))
     n = sum(c1.values())
-    small = lambda c: [sum(v == r for v in c.values()) for r in range(1, katz.TOP + 2)]
-    uni, d = katz.Unigrams(n, len(c1), small(c1)), katz.discounts(np.array(small(c2), float))
-    p1 = lambda w: float(uni.p(np.array([c1[w]]))[0])
-    ctx, kept, seen = Counter(), Counter(), Counter()
+    d1, d2 = _discounts(list(c1.values())), _discounts(list(c2.values()))
+    lost1 = sum((1 - d1(c)) * c for c in c1.values())
+    whole1 = n if lost1 > 0 else n + 1
+    p1 = lambda w: d1(c1[w]) * c1[w] / whole1 if c1[w] else (lost1 if lost1 > 0 else 1) / whole1
+    after = {}
     for (h, w), r in c2.items():
-        ctx[h] += r
-        kept[h] += (d[r] if r <= katz.TOP else 1) * r
-        seen[h] += p1(w)
+        after.setdefault(h, {})[w] = r
 
     def p(h, w):
-        r = c2[h, w]
-        if r:
-            return (d[r] if r <= katz.TOP else 1) * r / ctx[h]
-        return max(ctx[h] - kept[h], 1e-9) / ctx[h] / max(1 - seen[h], 1e-12) * p1(w) if ctx[h] else p1(w)
-
-    sums = [sum(p(h, w) for w in c1) + p(h, "unseen") for h in [None, *c1] if ctx[h]]
+        seen = after.get(h)
+        if not seen:
+            return p1(w)
+        lost = sum((1 - d2(r)) * r for r in seen.values())
+        whole = sum(seen.values()) + (0 if lost > 0 else 1)
+        if w in seen:
+            return d2(seen[w]) * seen[w] / whole
+        return (lost if lost > 0 else 1) / whole / (1 - sum(p1(x) for x in seen)) * p1(w)
+
+    sums = [sum(p(h, w) for w in c1) + p(h, "unseen") for h in after]
     return n, [(i, len(tok(t)), sum(c1[w] > 0 for w in tok(t)), sum(math.log10((c1[w] + 1) / (n + len(c1) + 1)) for w in tok(t)), sum(math.log10(p(h, w)) for h, w in zip([None, *tok(t)], tok(t)))) for i, t, _ in rows], sums
 
 
+def _same_katz(held, rows):
+    n, want, sums = _katz(rows)
+    assert all(abs(s - 1) < 1e-12 for s in sums)  # every context sums to one
+    got = katz.score_all(held).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    found = sorted([(r.id, r.n_tokens, r.n_known, r.base_score, r.score) for r in got], key=key)
+    for g, w in zip(found, sorted(want, key=key), strict=True):
+        assert g[:3] == w[:3] and g[3] == pytest.approx(w[3], rel=1e-11) and g[4] == pytest.approx(w[4], rel=1e-11)
+    assert all(r.train_tokens == n for r in got)
+
+
 def test_katz(docs):
     held = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)))
     rows = [(r.doc_id, r.text, r.held_out) for r in held.collect()]
     assert all(h == (i is not None and zlib.crc32(str(i).encode()) % 7 == 2) for i, _, h in rows)
-    n, want, sums = _katz(rows)
-    assert all(abs(s - 1) < 1e-6 for s in sums)  # every context sums to one
-    got = katz.score_all(held).collect()
-    key = lambda r: (r[0] is None, r[0] or 0, r[1])
-    got = sorted([(r.id, r.n_tokens, r.n_known, r.base_score, r.score) for r in got], key=key)
-    for g, w in zip(got, sorted(want, key=key), strict=True):
-        assert g[:3] == w[:3] and g[3] == pytest.approx(w[3], rel=1e-9) and g[4] == pytest.approx(w[4], rel=1e-5)
-    assert katz.score_all(held).first().train_tokens == n
+    _same_katz(held, rows)
     assert katz.score_all(held.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("texts", [["a b c " * 9, "b c a " * 9, "a b x"], ["a a a a a a a a", "a a a a a a a a", "z"], ["one two three", "four one two", "one z two"]])
+def test_katz_corners(spark, texts):
+    """Corpora without singletons, with frequent bigrams alone, and contexts after which every word is seen."""
+    rows = [(i, t, i == len(texts) - 1) for i, t in enumerate(texts)]
+    _same_katz(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), rows)
+
+
 def _best(p: pieces.Pieces, text: str) -> float:
     """Viterbi over the whole text with a dictionary."""
     table = {p.raw[i]: p.scores[i] for i in range(len(p.raw)) if p.trie_ids.get(i)}
