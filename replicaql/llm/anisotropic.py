@@ -10,12 +10,13 @@ code's own error. Where these are many (copies of a query), a matrix product wit
 first. Each task keeps the k best it has seen, so results equal brute force.
 
 Defined results: vectors that are null, zero, of another length than the most frequent one, or hold null or non-finite
-components take no part, nor do null ids; a query never finds its own id; ties go to the smaller id; fewer candidates
-give fewer rows; an empty table gives none.
+components take no part, nor do null ids; a query never finds its own row, but rows that repeat its id; each row of a
+repeated query id is a query; ties go to the smaller id; fewer candidates give fewer rows; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +56,7 @@ class Quantiser:
 
     def _split(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = np.pad(x.astype(np.float32), ((0, 0), (0, self.pad)))
-        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)  # what is far smaller than the largest is 0 in single precision
         return x.reshape(len(x), self.m, 2), u.reshape(len(x), self.m, 2)
 
     def _part(self, s, u, codes, j) -> np.ndarray:
@@ -110,23 +111,29 @@ def valid(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & fine)
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of rows; one code for all of them, so that equal pairs are equally far apart to the last bit."""
+    d = np.ascontiguousarray(a - b)
+    return np.sqrt((d * d).sum(1))
+
+
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(col.flatten()).reshape(len(col), dim)
 
 
 def build(rows: DataFrame, dim: int, sample: int = SAMPLE) -> tuple[Quantiser, DataFrame]:
-    """The quantiser and the written index of all rows: id, v, code."""
+    """The quantiser and the written index of all rows: id, row, v (scaled so that the largest component is about 1) and code."""
     spark = rows.sparkSession
-    chosen = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    chosen = rows.select("id", "v").orderBy(F.xxhash64("id"), "id", "row").limit(sample).toArrow()
     quant = Quantiser(_matrix(chosen.column("v").combine_chunks(), dim))
     held = spark.sparkContext.broadcast(quant)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            code = held.value.encode(_matrix(b.column(1), dim))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in code], pa.binary())], names=["id", "v", "code"])
+            code = held.value.encode(_matrix(b.column(2), dim))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([c.tobytes() for c in code], pa.binary())], names=["id", "row", "v", "code"])
 
-    return quant, written(rows.mapInArrow(run, "id long, v array<double>, code binary"), "index")
+    return quant, written(rows.select("id", "row", "v").mapInArrow(run, "id long, row long, v array<double>, code binary"), "index")
 
 
 def _merge(d: np.ndarray, w: np.ndarray, more_d: np.ndarray, more_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +144,7 @@ def _merge(d: np.ndarray, w: np.ndarray, more_d: np.ndarray, more_w: np.ndarray)
     return np.take_along_axis(d, order, 1), np.take_along_axis(w, order, 1)
 
 
-def _rest(may: np.ndarray, v: np.ndarray, vec_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, best: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _rest(may: np.ndarray, v: np.ndarray, vec_ids: np.ndarray, q: np.ndarray, best: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """best and names with the exact distances of the (query, vector) pairs that may name."""
     if may.mean() > MANY:
         size = (q * q).sum(1)[:, None] + (v * v).sum(1)
@@ -146,8 +153,8 @@ def _rest(may: np.ndarray, v: np.ndarray, vec_ids: np.ndarray, q: np.ndarray, id
     step = max(1, PAIRS // v.shape[1])
     for lo in range(0, len(who), step):
         row, at = who[lo : lo + step], which[lo : lo + step]
-        d, w = np.sqrt(((v[at] - q[row]) ** 2).sum(1)), vec_ids[at]
-        fine = (w != ids[row]) & (d <= best[row, -1])
+        d, w = _apart(v[at], q[row]), vec_ids[at]
+        fine = d <= best[row, -1]
         row, d, w = row[fine], d[fine], w[fine]
         order = np.lexsort((w, d, row))
         row, d, w = row[order], d[order], w[order]
@@ -161,20 +168,20 @@ def _rest(may: np.ndarray, v: np.ndarray, vec_ids: np.ndarray, q: np.ndarray, id
     return best, names
 
 
-def search(quant: Quantiser, index: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, rerank: int) -> DataFrame:
-    """query_id, vec_id, score: the k nearest that each task found for one chunk of queries."""
-    held = index.sparkSession.sparkContext.broadcast((quant, ids, q))
+def search(quant: Quantiser, index: DataFrame, ids: np.ndarray, own_rows: np.ndarray, q: np.ndarray, k: int, rerank: int) -> DataFrame:
+    """query_id, query_row, vec_id, score: the k nearest that each task found for one chunk of queries."""
+    held = index.sparkSession.sparkContext.broadcast((quant, ids, own_rows, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quant, ids, q = held.value
+        quant, ids, own_rows, q = held.value
         tables, n = quant.tables(q), len(ids)
         best = np.full((n, k), np.inf)
         names = np.full((n, k), np.iinfo(np.int64).max)
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
-                vec_ids, v = np.asarray(b.column(0)), _matrix(b.column(1), q.shape[1])
-                packed = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(v), -1)
+                vec_ids, rows, v = np.asarray(b.column(0)), np.asarray(b.column(1)), _matrix(b.column(2), q.shape[1])
+                packed = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(len(v), -1)
                 coded = quant.decode(packed)
                 error = np.sqrt(((v - coded) ** 2).sum(1))
                 squares, own = (v * v).sum(1).astype(np.float32), (coded * coded).sum(1)
@@ -182,12 +189,13 @@ def search(quant: Quantiser, index: DataFrame, ids: np.ndarray, q: np.ndarray, k
                     hi = min(lo + 512, n)
                     both = quant.products(tables[:, :, lo:hi], packed)
                     far = squares[:, None] - 2 * both
-                    far[vec_ids[:, None] == ids[None, lo:hi]] = np.inf
+                    itself = rows[:, None] == own_rows[None, lo:hi]
+                    far[itself] = np.inf
                     top = min(rerank, len(v))
                     at_rows = np.argpartition(far, top - 1, axis=0)[:top].T if top < len(v) else np.tile(np.arange(len(v)), (hi - lo, 1))
-                    exact = np.sqrt(((v[at_rows] - q[lo:hi, None]) ** 2).sum(2))
+                    exact = _apart(v[at_rows.ravel()], np.repeat(q[lo:hi], top, 0)).reshape(hi - lo, top)
                     found = vec_ids[at_rows]
-                    exact[found == ids[lo:hi, None]] = np.inf
+                    exact[rows[at_rows] == own_rows[lo:hi, None]] = np.inf
                     best[lo:hi], names[lo:hi] = _merge(best[lo:hi], names[lo:hi], exact, found)
                     if top < len(v):
                         # sums of m lookups in single precision: their rounding is allowed for
@@ -195,37 +203,42 @@ def search(quant: Quantiser, index: DataFrame, ids: np.ndarray, q: np.ndarray, k
                         least = np.sqrt(np.maximum(size - 2 * both.T - 1e-6 * quant.m * size, 0)) - error
                         may = ~(least > best[lo:hi, -1:] * (1 + 1e-9))
                         np.put_along_axis(may, at_rows, False, 1)
-                        best[lo:hi], names[lo:hi] = _rest(may, v, vec_ids, q[lo:hi], ids[lo:hi], best[lo:hi], names[lo:hi])
+                        may &= ~itself.T
+                        best[lo:hi], names[lo:hi] = _rest(may, v, vec_ids, q[lo:hi], best[lo:hi], names[lo:hi])
         keep = np.isfinite(best)
-        who = np.repeat(ids, k).reshape(n, k)[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(names[keep]), pa.array(best[keep])], names=["query_id", "vec_id", "score"])
+        who, whose = (np.repeat(x, k).reshape(n, k)[keep] for x in (ids, own_rows))
+        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(whose), pa.array(names[keep]), pa.array(best[keep])], names=["query_id", "query_row", "vec_id", "score"])
 
-    return index.mapInArrow(run, "query_id long, vec_id long, score double")
+    return index.mapInArrow(run, "query_id long, query_row long, vec_id long, score double")
 
 
 def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10, rerank: int = RERANK) -> DataFrame:
     """The k nearest of each row whose id is divisible by every."""
     spark = df.sparkSession
     kinds = "query_id long, rank int, vec_id long, score double"
-    rows = written(valid(df, id_col, vec_col), "vectors")
+    rows = written(valid(df, id_col, vec_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
     common = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     if common is None:
         return spark.createDataFrame([], kinds)
     rows = rows.where(F.size("v") == common["dim"])
+    # all in units of a power of two, which rounds nothing: neither squares nor single precision overflow
+    largest = rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
+    unit = 2.0 ** math.frexp(largest)[1] if largest < 2.0**1023 else 2.0**1023
+    rows = rows.withColumn("v", F.transform("v", lambda x: x / unit))
     quant, index = build(rows, common["dim"])
     asked = rows.where(F.col("id") % every == 0)
     chunks = max(1, -(-asked.count() // CHUNK))
     found = None
     for c in range(chunks):  # a chunk is at most about CHUNK queries: the bound of what is collected and broadcast
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c).dropDuplicates(["id"]).toArrow()
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c).toArrow()
         if not part.num_rows:
             continue
-        got = search(quant, index, np.asarray(part.column("id")), _matrix(part.column("v").combine_chunks(), common["dim"]), k, rerank)
+        got = search(quant, index, np.asarray(part.column("id")), np.asarray(part.column("row")), _matrix(part.column("v").combine_chunks(), common["dim"]), k, rerank)
         found = got if found is None else found.union(got)
     if found is None:
         return spark.createDataFrame([], kinds)
-    place = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    place = W.partitionBy("query_row").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", (F.col("score") * unit).alias("score"))
 
 
 def op2_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Words are maximal runs without ASCII white space; bytes.split() without arguments cuts at the same six characters.
@@ -13,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: What a broadcast may take at most, measured before it is made.
 BROADCAST_BYTES = 32 << 20
+#: Text that a classifier is fitted on at most.
+SAMPLE_BYTES = 48 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +55,15 @@ def small(df: DataFrame, row_bytes: Column) -> DataFrame:
     return F.broadcast(df) if taken <= BROADCAST_BYTES else df
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int, seed: int) -> list:
+    """Rows (text, label) of a seeded sample: at most max_rows, and as many of them as hold max_bytes of text."""
+    place = (F.xxhash64("doc_id", F.lit(seed)), "doc_id")
+    chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", label).orderBy(*place, label).limit(max_rows)
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").orderBy(*place, "text").limit(max_rows)
+    upto = F.sum(F.octet_length("text")).over(W.orderBy(*place, "text").rowsBetween(W.unboundedPreceding, 0))  # over max_rows rows at most
+    return rows.withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("text", label).collect()
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the decimal text of an id modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % n

@@ -54,7 +54,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         a = np.ascontiguousarray(a)
         parts += [a.dtype.str[1:].encode(), len(a).to_bytes(8, "little"), a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def _unpack(raw: bytes) -> list[np.ndarray]:
@@ -203,26 +203,37 @@ class _Bigrams:
         hot = context * HOT >= uni.total
         self.hot = hot.astype(np.uint8)
         self.context = np.r_[hashes, _START][h]
+        self.short = self.context >> np.uint64(16)
         with np.errstate(over="ignore"):
             self.pair = _mix(self.context * _M1 + hashes[w] * _M2 + np.uint64(1)) & np.uint64((1 << 40) - 1)
             bucket = (_mix(np.where(hot, self.pair, np.uint64(0)) ^ _mix(self.context)) % np.uint64(buckets)).astype(np.int64)
-        self.order = np.lexsort((self.context, bucket))
+        self.order = np.lexsort((self.pair, self.short, bucket))
         self.ends = np.searchsorted(bucket[self.order], np.arange(buckets), "right")
 
     def payloads(self) -> Iterator[tuple[int, bytes]]:
         for bucket, rows in enumerate(np.split(self.order, self.ends[:-1])):
             if len(rows):
-                context = self.context[rows]
+                context = self.short[rows]
                 first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
                 sizes = np.diff(np.r_[first, len(rows)]).astype(np.uint32)
                 # contexts rise within a bucket: the gaps between their leading 48 bits are small
-                gaps = np.diff(context[first] >> np.uint64(16), prepend=np.uint64(0))
+                gaps = np.diff(context[first], prepend=np.uint64(0))
+                # words rise within a context: gaps there too
                 word = self.pair[rows]
+                word = np.where(np.r_[True, context[1:] != context[:-1]], word, word - np.r_[np.uint64(0), word[:-1]])
                 wide = np.uint32 if self.word_counts.max(initial=0) < 1 << 32 else np.uint64
                 yield bucket, _pack(gaps, sizes, (word & np.uint64(0xFFFFFFFF)).astype(np.uint32), (word >> np.uint64(32)).astype(np.uint8), self.counts[rows].astype(np.uint32), self.word_counts[rows].astype(wide), self.hot[rows[first]])
 
 
 
+def _risen(gaps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Running sums that start anew with each context."""
+    with np.errstate(over="ignore"):
+        total = np.cumsum(gaps)
+        start = np.r_[0, np.cumsum(sizes, dtype=np.int64)[:-1]]
+        return total - np.repeat(total[start] - gaps[start], sizes)
+
+
 def _merge_pairs(group: pa.Table) -> pa.Table:
     """One bucket's bigrams: contexts, and distinct bigrams with context, count and word count; who asked for which."""
     bucket = group.column("bucket")[0].as_py()
@@ -230,18 +241,29 @@ def _merge_pairs(group: pa.Table) -> pa.Table:
     for s in sent:
         s[0] = np.cumsum(s[0])
     context = np.concatenate([np.repeat(s[0], s[1]) for s in sent])
-    pair = np.concatenate([s[2].astype(np.uint64) | s[3].astype(np.uint64) << np.uint64(32) for s in sent])
-    with np.errstate(over="ignore"):
-        pair = _mix(context * _M1 + pair)
-    pairs, first, place = np.unique(pair, return_index=True, return_inverse=True)
-    counts = np.bincount(place, np.concatenate([s[4] for s in sent]), len(pairs)).astype(np.int64)
-    contexts, at = np.unique(context[first], return_inverse=True)
+    pair = np.concatenate([_risen(s[2].astype(np.uint64) | s[3].astype(np.uint64) << np.uint64(32), s[1]) for s in sent])
+    # in the order in which blocks ask: of context and word
+    order = np.lexsort((pair, context))
+    context, pair = context[order], pair[order]
+    new = np.r_[True, context[1:] != context[:-1]]
+    fresh = new | np.r_[True, pair[1:] != pair[:-1]]
+    contexts, at = context[new], (np.cumsum(new) - 1)[fresh]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    first = order[fresh]
+    counts = np.bincount(place, np.concatenate([s[4] for s in sent]), len(first)).astype(np.int64)
     hot = np.zeros(len(contexts), np.uint8)
     for s in sent:
         hot[np.searchsorted(contexts, s[0][s[6] > 0])] = 1
     word_counts = np.concatenate([s[5].astype(np.int64) for s in sent])[first]
-    asked = _pack(*[p.astype(np.uint32) for p in np.split(place, np.cumsum([len(s[2]) for s in sent])[:-1])])
-    return pa.table({"bucket": pa.array([bucket], pa.int32()), "small": pa.array([_small(counts[counts > 0]).tolist()], pa.list_(pa.int64())), "bigrams": pa.array([_pack(contexts, at.astype(np.uint32), counts, word_counts, hot)], pa.binary()), "blocks": pa.array([group.column("block").to_pylist()], pa.list_(pa.int64())), "asked": pa.array([asked], pa.binary())})
+    asked = _pack(*[np.diff(p, prepend=0).astype(np.uint32) for p in np.split(place, np.cumsum([len(s[2]) for s in sent])[:-1])])
+    return pa.table({"bucket": pa.array([bucket], pa.int32()), "small": pa.array([_small(counts[counts > 0]).tolist()], pa.list_(pa.int64())), "bigrams": pa.array([_pack(np.diff(contexts, prepend=np.uint64(0)), np.diff(at, prepend=0).astype(np.uint8), counts, word_counts, hot)], pa.binary()), "blocks": pa.array([group.column("block").to_pylist()], pa.list_(pa.int64())), "asked": pa.array([asked], pa.binary())})
+
+
+def _table(raw: bytes) -> tuple[np.ndarray, ...]:
+    """A bucket's contexts, and its bigrams' places among them, counts and word counts, and whether a context is hot."""
+    gaps, steps, counts, word_counts, hot = _unpack(raw)
+    return np.cumsum(gaps), np.cumsum(steps, dtype=np.int64), counts, word_counts, hot
 
 
 def _sums(contexts, at, counts, p, d) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -275,25 +297,23 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([pa.array([block] * buckets, pa.int64()), pa.array(range(buckets), pa.int32()), pa.array(rows, pa.binary())], names=["block", "bucket", "data"])
 
     sent = blocks.select("block", "data").mapInArrow(words, "block long, bucket int, data binary")
-    merged = written(sent.groupBy("bucket").applyInArrow(_merge_words, "block long, bucket int, total long, types long, small array<long>, data binary"), "unigrams")
+    merged = bucketed(sent.groupBy("bucket").applyInArrow(_merge_words, "block long, bucket int, total long, types long, small array<long>, data binary"), "unigrams", "block")
     t = merged.where("block = -1").agg(F.sum("total"), F.sum("types"), *[F.sum(F.get("small", F.lit(i))) for i in range(TOP + 1)]).first()
     uni = Unigrams(int(t[0] or 0), int(t[1] or 0), [int(x or 0) for x in t[2:]])
-    first = merged.where("block >= 0").select("block", F.struct(F.lit(0).alias("kind"), "bucket", "data").alias("a"))
-    answered = first.groupBy("block").agg(F.collect_list("a").alias("answers"))
+    answered = merged.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("words"))
 
-    def joined(answers: list[dict], kind: int) -> np.ndarray:
-        got = sorted((a["bucket"], a["data"]) for a in answers if a["kind"] == kind)
-        parts = [_unpack(x) for _, x in got]
+    def joined(answers: list[dict] | None) -> np.ndarray:
+        parts = [_unpack(x) for _, x in sorted((a["bucket"], a["data"]) for a in answers or [])]
         return np.concatenate([x[0] if len(x) == 1 else x[0][x[1]] for x in parts]) if parts else np.zeros(0)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 block, held, data, answers = (b.column(k)[i].as_py() for k in range(4))
-                rows = list(_Bigrams(data, held, joined(answers, 0), uni, buckets).payloads())
+                rows = list(_Bigrams(data, held, joined(answers), uni, buckets).payloads())
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "bucket", "data"])
 
-    asked = blocks.join(answered, "block").select("block", "held", "data", "answers").mapInArrow(pairs, "block long, bucket int, data binary")
+    asked = blocks.join(answered, "block").select("block", "held", "data", "words").mapInArrow(pairs, "block long, bucket int, data binary")
     grams = written(asked.groupBy("bucket").applyInArrow(_merge_pairs, "bucket int, small array<long>, bigrams binary, blocks array<long>, asked binary"), "bigrams")
     of = grams.agg(*[F.sum(F.get("small", F.lit(i))) for i in range(TOP + 1)]).first()
     d = discounts(np.array([float(x or 0) for x in of]))
@@ -303,7 +323,7 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
         """Sums of the contexts that may be dealt over several buckets."""
         for b in batches:
             for x in b.column(0):
-                contexts, at, counts, wc, flags = _unpack(x.as_py())
+                contexts, at, counts, wc, flags = _table(x.as_py())
                 c, lost, p = (s[flags > 0] for s in _sums(contexts, at, counts, uni.p(wc), d))
                 contexts = contexts[flags > 0]
                 yield pa.RecordBatch.from_arrays([pa.array(contexts.view(np.int64)), pa.array(c), pa.array(lost), pa.array(p)], names=["h", "c", "lost", "p"])
@@ -321,7 +341,7 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
         names, *sums = whole.value
         for b in batches:
             for i in range(b.num_rows):
-                contexts, at, counts, wc, _ = _unpack(b.column(1)[i].as_py())
+                contexts, at, counts, wc, _ = _table(b.column(1)[i].as_py())
                 p = uni.p(wc)
                 c, lost, seen = _sums(contexts, at, counts, p, d)
                 if len(names):
@@ -335,26 +355,25 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
                 # many bigrams share a value: values once, and their places
                 values_, place = np.unique(np.log10(np.where(counts > 0, direct, alpha[at] * p)), return_inverse=True)
                 blocks_ = b.column(2)[i].as_py()
-                rows = [_values(values_, place[x]) for x in _unpack(b.column(3)[i].as_py())]
+                rows = [_values(values_, place[np.cumsum(x)]) for x in _unpack(b.column(3)[i].as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array(blocks_, pa.int64()), pa.array([b.column(0)[i].as_py()] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names=["block", "bucket", "data"])
 
     second = grams.select("bucket", "bigrams", "blocks", "asked").mapInArrow(values, "block long, bucket int, data binary")
-    second = second.select("block", F.struct(F.lit(1).alias("kind"), "bucket", "data").alias("a"))
-    everything = first.union(second).groupBy("block").agg(F.collect_list("a").alias("answers"))
+    second = second.groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("logs"))
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                ids, held, data, answers = (b.column(k)[i].as_py() for k in range(4))
-                words_ = joined(answers, 0)
+                ids, held, data, answers, found = (b.column(k)[i].as_py() for k in range(5))
+                words_ = joined(answers)
                 g = _Bigrams(data, held, words_, uni, buckets)
                 logs = np.empty(len(g.order))
-                logs[g.order] = joined(answers, 1)
+                logs[g.order] = joined(found)
                 base = np.log10((words_ + 1) / (uni.total + uni.types + 1))
                 sums = lambda x: np.add.reduceat(x, g.starts)  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(g.lengths), pa.array(sums((words_ > 0)[g.tokens].astype(np.int64))), pa.array(sums(base[g.tokens])), pa.array(sums(logs[g.place]))], names=["id", "held", "n_tokens", "n_known", "base_score", "score"])
 
-    out = blocks.join(everything, "block").select("ids", "held", "data", "answers").mapInArrow(final, "id long, held boolean, n_tokens long, n_known long, base_score double, score double")
+    out = blocks.join(answered, "block").join(second, "block").select("ids", "held", "data", "words", "logs").mapInArrow(final, "id long, held boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(uni.total).cast("long"))
 
 

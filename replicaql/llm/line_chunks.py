@@ -9,7 +9,8 @@ chunks go. The first occurrence of a line is in no chunk that goes, so every lin
 
 Defined results: a null text stays null; an empty text has one empty line; rows repeated with the same id and text
 share their fate; equal chunks may overlap; blank lines before and after what goes stay; a text of which all lines go
-becomes empty; an empty table gives an empty result; other columns pass through.
+becomes empty; an empty table gives an empty result; other columns, whatever their names, pass through, but for
+n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -19,11 +20,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, table, written
+from .common import WORD, small, table, written
 
 LONG_LINE = 50
-#: Up to so many touched documents their list is broadcast; beyond, texts are shuffled to it.
-BROADCAST_DOCS = 300_000
 
 
 def _once(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -58,11 +57,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     rows = written(with_chunks(base).select("_id", "_key", F.inline("cs")), "chunks")
     often = rows.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
     some = written(rows.join(often, "h"), "candidates")
-    touched = some.select("_id", "_key").distinct()
-    few = touched.count() <= BROADCAST_DOCS
     asked = some.groupBy("_id", "_key").agg(F.collect_set(F.struct("first", "size", "h")).alias("cs"))  # a document's own chunks
-    near = F.broadcast(asked) if few else asked
-    near = near.withColumnsRenamed({"_id": "i", "_key": "k"})
+    near = small(written(asked, "asked"), F.lit(48) + 24 * F.size("cs")).withColumnsRenamed({"_id": "i", "_key": "k"})
     texts = base.join(near, base["_id"].eqNullSafe(near["i"]) & (base["_key"] == near["k"])).select("_id", "_key", "lines", F.explode("cs").alias("c"))
     texts = texts.select("_id", "_key", F.col("c.first").alias("first"), F.col("c.size").alias("size"), F.col("c.h").alias("h"), _text(F.col("lines"), F.col("c")).alias("chunk"))
     # equal bytes: grouped by the chunk itself; its digest then stands for it
@@ -75,18 +71,19 @@ def repeated(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def remove(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs with the repeated chunks cut from text, and n_lines and n_removed."""
-    found = written(repeated(docs, id_col), "gone")
-    found = F.broadcast(found) if found.count() <= BROADCAST_DOCS else found
-    docs = docs.drop("n_lines", "n_removed").withColumn("_text_key", F.xxhash64("text"))
-    joined = docs.join(found, docs[id_col].eqNullSafe(found["_id"]) & (docs["_text_key"] == found["_key"]) & docs["text"].isNotNull(), "left")
-    lines = F.split("text", "\n", -1)
+    found = small(written(repeated(docs, id_col), "gone"), F.lit(48) + 16 * F.size("gone"))
+    # the user's row stays whole in a struct, so that no name of its columns is in the way
+    rows = docs.drop("n_lines", "n_removed").select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
+    joined = rows.join(found, F.col(f"_row.{id_col}").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_key")) & F.col("_text").isNotNull(), "left")
+    lines = F.split("_text", "\n", -1)
     # chunks overlap: their lines as numbers, each once
     out = F.array_distinct(F.flatten(F.transform("gone", lambda c: F.sequence(c["first"], c["first"] + c["size"] - 1))))
     left = lambda v: F.transform(F.array_except(F.sequence(F.lit(0), F.size(v["lines"]) - 1), v["out"]), lambda i: F.get(v["lines"], i))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    joined = joined.withColumn("n_lines", n_lines).withColumn("n_removed", F.when(F.col("gone").isNull(), 0).otherwise(F.size(out)).cast("long"))
-    joined = joined.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(_once(F.struct(lines.alias("lines"), out.alias("out")), left), "\n")))
-    return joined.drop("_id", "_key", "_text_key", "gone")
+    n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size(out)).cast("long")
+    text = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(F.array_join(_once(F.struct(lines.alias("lines"), out.alias("out")), left), "\n"))
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in kept], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ at most max_rows rows. The sample's vectors are broadcast (bounded by max_rows x
 are exact blocked products, and the k nearest vote by similarity.
 
 Defined results: null, empty and all-space texts score the training rows' share of label 1 (0.5 without any); repeated
-rows are separate rows; ties among neighbours go to the earlier row of the sample.
+rows are separate rows; ties among neighbours go to any of the tied rows of the sample. Extra columns pass through
+score_documents(), but for score, which is replaced.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, table
+from .common import SAMPLE_BYTES, crc_mod, labelled, table
 
 MAX_ROWS, DIMS, K = 4_000, 48, 15
 SHAPES, HASHED = 1024, 1024
-N = SHAPES + HASHED + 8
+N = SHAPES + HASHED + 4
+#: When a text counts as repetitive: this share of words follow themselves; or of more than LONG words so few are distinct. Below SHORT words it is short.
+AGAIN, LONG, DISTINCT, SHORT = 0.2, 40, 0.3, 5
 MEMO = 400_000
 
 
@@ -62,7 +65,7 @@ class Features:
         out[SHAPES : SHAPES + HASHED] = np.bincount(packed % HASHED, minlength=HASHED)
         again = int((packed[1:] == packed[:-1]).sum())
         distinct = len(set(words))
-        out[SHAPES + HASHED :] = (again, again * (again > 0.2 * n), (n - distinct) * (n > 40) * (distinct < 0.3 * n), n * (n < 5), 0, 0, 0, 0)
+        out[SHAPES + HASHED :] = (again, again * (again > AGAIN * n), (n - distinct) * (n > LONG) * (distinct < DISTINCT * n), n * (n < SHORT))
         out /= n
         np.sqrt(out, out=out)
         out[SHAPES : SHAPES + HASHED] *= 0.25
@@ -101,10 +104,9 @@ class Neighbours:
         return np.where((norm > 1e-6) & (w.sum(1) > 1e-9), np.clip(votes, 0, 1), out)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int = 5) -> Neighbours:
-    """Fits on a seeded sample of at most max_rows of the given labelled rows."""
-    chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "quality").limit(max_rows)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "text").limit(max_rows).collect()
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = SAMPLE_BYTES, seed: int = 5) -> Neighbours:
+    """Fits on a seeded sample of at most max_rows of the given labelled rows, and at most max_bytes of text."""
+    rows = labelled(docs, labels, "quality", max_rows, max_bytes, seed)
     return Neighbours([r["text"] for r in rows], [r["quality"] for r in rows])
 
 

@@ -171,5 +171,61 @@ def test_rules(spark, docs):
     junk = " ".join(f"word{i}###" for i in range(80))
     rows = [(i, long, "good", "") for i in range(50)] + [(99, junk, "good", "")] + [(100 + i, junk, "bad", "") for i in range(50)] + [(200, long, "bad", "")]
     ids = {r.doc_id for r in host_rules.filter_documents(spark.createDataFrame(rows, KINDS)).collect()}
-    assert ids == {*range(50), 99, 200}  # soft rules hold on the bad host, where clean documents stay
+    assert ids == {*range(50), 99, 200}  # soft rules are waived on the good host; clean documents stay on the bad one
     assert host_rules.filter_documents(docs.limit(0)).count() == 0
+
+
+def test_oracles(spark):
+    """Queries against their SQL on whole tables."""
+    import duckdb
+
+    from replicaql.llm import registry
+
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings", "labels"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    for name, sql in registry.oracle_sql().items():
+        df = registry.queries()[name](spark, d)
+        columns = sorted(df.columns)
+        want = con.execute(f"select {', '.join(columns)} from ({sql})").fetchall()
+        assert sorted(map(repr, want)) == sorted(repr(tuple(r[c] for c in columns)) for r in df.collect()), name
+
+
+def test_host_trust(spark):
+    """The prior is fitted by moments and decides whom to trust: as computed by hand for each host."""
+    long, junk = " ".join(f"word{i}" for i in range(80)), " ".join(f"word{i}###" for i in range(80))
+    sizes = {"a": (40, 1), "b": (40, 20), "c": (2, 0), "d": (300, 12), None: (10, 5)}
+    rows = [(i, junk if i < bad else long, h, "") for h, (n, bad) in sizes.items() for i in range(n)]
+    got = {r.host: (r.host_rate, r.trusted) for r in host_rules.verdicts(host_rules.counts(spark.createDataFrame(rows, KINDS))).select("host", "host_rate", "trusted").distinct().collect()}
+    m = sum(b for _, b in sizes.values()) / sum(n for n, _ in sizes.values())
+    rates = [b / n for n, b in sizes.values()]
+    s = min(max(m * (1 - m) / np.var(rates) - 1, 2.0), 1e4)
+    for h, (n, b) in sizes.items():
+        rate = (b + s * m) / (n + s)
+        assert got[h][0] == pytest.approx(rate) and got[h][1] == (rate + math.sqrt(rate * (1 - rate) / (n + s + 1)) < m)
+    assert got["d"][1] and not got["b"][1] and not got["c"][1]
+
+
+def test_restore_by_brute_force_and_on_long_tokens():
+    import itertools
+    import time
+
+    m = toxicity.CharModel(toxicity.Counter({"idiot": 5, "moron": 5, "plain": 3, "word": 4, "tool": 2}))
+
+    def cost(text):
+        s, total = "^^" + text + "^", 0.0
+        for i in range(2, len(s)):
+            total += m.cost(s[i - 2], s[i - 1], s[i])
+        return total
+
+    for token in ("1d10t", "m0r0n", "w0rd", "p1a!n", "tooool", "x", "@#"):
+        ways = toxicity.lattice(token)
+        best = min(sum(c for _, c in way) + cost("".join(t for t, _ in way)) for way in itertools.product(*ways))
+        got = toxicity.restore(token, m)
+        mine = min(sum(c for _, c in way) + cost("".join(t for t, _ in way)) for way in itertools.product(*ways) if "".join(t for t, _ in way) == got)
+        assert mine == pytest.approx(best), token
+    began = time.process_time()
+    half = toxicity.restore("1d10t" * 10_000, m)
+    first, began = time.process_time() - began, time.process_time()
+    assert len(toxicity.restore("1d10t" * 20_000, m)) >= len(half) == 50_000
+    assert time.process_time() - began < 4 * first + 1  # linear

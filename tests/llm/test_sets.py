@@ -246,6 +246,71 @@ def test_nearest_among_copies(spark):
         assert [got[q, r] for r in range(1, 11)] == np.lexsort((np.arange(9000), d))[:10].tolist()
 
 
+def test_nearest_extremes(spark):
+    """One huge vector leaves the others' neighbours as they are; equal vectors tie by id; ids that repeat are rows of their own."""
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((700, 8))
+    v[100:400] = v[100]  # 300 equal vectors, far from most queries
+    rows = [(int(i), [float(x) for x in v[i]]) for i in range(700)] + [(9001, [1e40] * 8), (9002, [1e-40] * 8), (200, [float(x) for x in v[100]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in anisotropic.nearest(df).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    ids, mat = np.array([i for i, _ in rows]), np.array([x for _, x in rows])
+    for q in (0, 100, 300, 400, 500, 600):
+        d = np.sqrt(((mat - mat[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = np.lexsort((ids, d))[:10]
+        assert [w for _, w, _ in sorted(got[q])] == ids[want].tolist(), q
+        assert [s for _, _, s in sorted(got[q])] == pytest.approx(d[want].tolist())
+    assert len(got[200]) == 20  # two rows, each a query
+
+
+def test_lines_with_clashing_columns(spark):
+    df = spark.createDataFrame([(i, "a shared line here\nand another one", "x", "y", i) for i in range(3)], "doc_id long, text string, gone string, _id string, lines int")
+    got = line_chunks.remove(df)
+    assert got.columns == [*df.columns, "n_lines", "n_removed"] and sorted((r.doc_id, r.gone, r._3, r.lines) for r in got.withColumnRenamed("_id", "_3").collect()) == [(i, "x", "y", i) for i in range(3)]
+
+
+def test_cells_are_a_lower_bound():
+    rng = np.random.default_rng(8)
+    for n in (1, 3, 40, 900, 30_000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.r_[a[n // 5 :], rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)])
+        m = partenum._folded([partenum.cells(a), partenum.cells(b)])
+        least = np.where((m < 0).any(0), 0, np.abs(m[0] - m[1])).sum()
+        assert least <= len(np.setxor1d(a, b))
+        assert partenum.may_be_similar(m[0], len(a), m[1:], np.array([len(b)]), 60)[0]
+
+
+def test_large_buckets(spark, monkeypatch):
+    """The way for buckets that are too large for one task gives the same components."""
+    monkeypatch.setattr(partenum, "TESTS", 0)
+    texts = list(enumerate(_copies(random.Random(11), 12)))
+    got = {r.id: (r.n, r.component_id) for r in partenum.join_components(_frame(spark, texts), width=5, percent=80).collect()}
+    assert got == _components(texts, 5, 80)
+
+
+def test_pipeline(spark, tmp_path):
+    """All stages on an ordinary, an empty and a null-laden table."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    text = lambda k: "\n".join(" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randrange(500)) for _ in range(12)) for _ in range(k))
+    long = [text(8) for _ in range(20)]
+    plain = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(long)] + [(100, long[0], "en", "s0", 1), (101, long[1] + " more", "en", "s1", 1), (102, "too short", "en", "s1", 9)]
+    odd = [(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", "en", None, 0), (None, long[3], None, None, None), (3, " \n ", "en", "s", 3), (4, long[4], "en", None, None)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("plain", plain), ("none", []), ("odd", odd)):
+        spark.createDataFrame(rows, kinds).write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"file://{tmp_path}/{name}").collect()
+        if name == "plain":
+            assert {r.doc_id for r in out} <= {*range(20), 100, 101} and len({r.text for r in out}) >= 10 and 102 not in {r.doc_id for r in out}
+        else:
+            assert {r.text for r in out} <= ({long[3], long[4]} if name == "odd" else set())
+        assert all(r.round_trip for r in out)
+
+
 def test_licenses(spark):
     import re
 
