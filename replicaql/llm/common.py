@@ -35,8 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # the job's shuffle files are of no more use; Spark removes them once the driver's collector has met their owners
-    df.sparkSession._jvm.System.gc()
+    released(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,9 +45,21 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     full = f"{name}_{uuid.uuid4().hex}"
     df.write.bucketBy(n, key).saveAsTable(full, format="parquet")
+    released(spark)
     return spark.table(full)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished jobs: it does so once the driver's collector has met their owners,
+    which a driver with little garbage would otherwise put off while the disks of its executors fill."""
+    spark._jvm.System.gc()
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """From now on rows of megabytes reach Python workers a few at a time (a setting of the session)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def small(df: DataFrame, row_bytes: Column) -> DataFrame:
     """df, marked for broadcast if its rows, row_bytes each, are proven to take at most BROADCAST_BYTES; else the planner chooses."""
     taken = df.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, crc_mod, table, written
+from .common import bucketed, crc_mod, small_batches, table, written
 
 BLOCK = 1_500_000
 BUCKET = 2_500_000  # tokens for each bucket
@@ -283,6 +283,7 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
     """id, held, n_tokens, n_known, train_tokens, base_score, score; rows whose held_col is true don't train."""
     spark = docs.sparkSession
     sc = spark.sparkContext
+    small_batches(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(held_col), F.lit(False)).alias("held"), F.col("text"))
     blocks = bucketed(slim.mapInArrow(_blocks, "block long, n long, ids array<long>, held array<boolean>, data binary"), "blocks", "block")
     total = blocks.agg(F.sum("n")).first()[0] or 0
@@ -308,6 +309,7 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            pa.default_memory_pool().release_unused()  # of the batches before
             for i in range(b.num_rows):
                 block, held, data, answers = (b.column(k)[i].as_py() for k in range(4))
                 rows = list(_Bigrams(data, held, joined(answers), uni, buckets).payloads())
@@ -340,6 +342,7 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
         """log10 P of each bigram, in the order in which each block asked."""
         names, *sums = whole.value
         for b in batches:
+            pa.default_memory_pool().release_unused()  # of the batches before
             for i in range(b.num_rows):
                 contexts, at, counts, wc, _ = _table(b.column(1)[i].as_py())
                 p = uni.p(wc)
@@ -363,6 +366,7 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            pa.default_memory_pool().release_unused()  # of the batches before
             for i in range(b.num_rows):
                 ids, held, data, answers, found = (b.column(k)[i].as_py() for k in range(5))
                 words_ = joined(answers)
@@ -370,6 +374,7 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
                 logs = np.empty(len(g.order))
                 logs[g.order] = joined(found)
                 base = np.log10((words_ + 1) / (uni.total + uni.types + 1))
+                del data, answers, found
                 sums = lambda x: np.add.reduceat(x, g.starts)  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(g.lengths), pa.array(sums((words_ > 0)[g.tokens].astype(np.int64))), pa.array(sums(base[g.tokens])), pa.array(sums(logs[g.place]))], names=["id", "held", "n_tokens", "n_known", "base_score", "score"])
 
