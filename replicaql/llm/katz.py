@@ -7,13 +7,14 @@ undiscounted (and likewise the words, if none is) has no mass left: its unseen w
 to 1 as well.
 
 Texts are held in blocks of about BLOCK tokens: word hashes, and tokens as places among them. Blocks send their distinct
-words and bigrams, with counts, to buckets whose number grows with the corpus; buckets merge counts and write the tables
+words and bigrams, with counts, to buckets whose number grows with the corpus, and name a word or context once a message; buckets merge counts and write the tables
 (one row of packed columns a bucket), and answer each block in the order in which it asked. Bigrams are dealt by context, so a
 bucket holds whole contexts; contexts with at least a ten-thousandth of all tokens (so at most 10,001 with the text's
 start) are dealt by bigram, and only their sums are collected and broadcast. No word or bigram is sent twice by a block,
 so common ones weigh no more than rare ones.
 
-Words are told apart by 64-bit hashes, contexts by 48 bits, and words after one context by 40.
+Words are told apart by 64-bit hashes. Their buckets are ranges of hashes, so a word's bucket and its place there make a
+number for it in the same order; bigrams are sent as such numbers.
 Defined results: a null text is empty and has one token, its end; rows are separate even if repeated; null ids train;
 without training tokens scores use the unseen class alone; an empty table gives an empty result.
 """
@@ -35,8 +36,7 @@ BLOCK = 1_500_000
 BUCKET = 2_500_000  # tokens for each bucket
 HOT = 10_000
 TOP = 5  # counts up to TOP are discounted
-_START = np.uint64(0x5851F42D4C957F2D)
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_M2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -152,17 +152,17 @@ def _small(counts: np.ndarray) -> np.ndarray:
 
 
 def _merge_words(group: pa.Table) -> pa.Table:
-    """One bucket's words: the table row (block -1) and each block's answer."""
+    """One bucket's words: the table row (block -1: hashes, places, counts) and each block's answer: places and counts."""
     bucket = group.column("bucket")[0].as_py()
     sent = [_unpack(x.as_py()) for x in group.column("data")]
     words, place = np.unique(np.concatenate([s[0] for s in sent]), return_inverse=True)
     counts = np.bincount(place, np.concatenate([s[1] for s in sent]), len(words)).astype(np.int64)
-    answers = np.split(counts[place], np.cumsum([len(s[0]) for s in sent])[:-1])
+    answers = np.split(place, np.cumsum([len(s[0]) for s in sent])[:-1])
     seen = counts > 0
-    rows = [_pack(words[seen], counts[seen]), *(_pack(a) for a in answers)]
+    rows = [_pack(words[seen], np.flatnonzero(seen), counts[seen]), *(_pack(np.diff(a, prepend=0).astype(np.uint32), counts[a]) for a in answers)]
     zero = [0] * len(sent)
     small = [_small(counts[seen]).tolist()] + [None] * len(sent)
-    return pa.table({"block": pa.array([-1, *group.column("block").to_pylist()], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "total": pa.array([int(counts.sum()), *zero], pa.int64()), "types": pa.array([int(seen.sum()), *zero], pa.int64()), "small": pa.array(small, pa.list_(pa.int64())), "data": pa.array(rows, pa.binary())})
+    return pa.table({"block": pa.array([-1, *group.column("block").to_pylist()], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "total": pa.array([int(counts.sum()), *zero], pa.int64()), "types": pa.array([int(seen.sum()), *zero], pa.int64()), "words": pa.array([len(words), *zero], pa.int64()), "small": pa.array(small, pa.list_(pa.int64())), "data": pa.array(rows, pa.binary())})
 
 
 class Unigrams:
@@ -183,87 +183,88 @@ class Unigrams:
         return np.where(counts > 0, d * counts / self.mass, self.unseen)
 
 
+def _gaps(at: np.ndarray, first: np.ndarray, wide: type) -> np.ndarray:
+    """at, which rises within each context, as steps; each context starts anew."""
+    steps = np.diff(at, prepend=0)
+    steps[first] = at[first]
+    return steps.astype(wide)
+
+
+def _risen(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Undoes _gaps: running sums that start anew with each context."""
+    total = np.cumsum(steps, dtype=np.int64)
+    start = np.r_[0, np.cumsum(sizes, dtype=np.int64)[:-1]]
+    return total - np.repeat(total[start] - steps[start], sizes)
+
+
 class _Bigrams:
-    """The distinct bigrams of a block in the order in which they are sent."""
+    """The distinct bigrams of a block in the order in which they are sent: by bucket, then by numbers of context and word."""
 
-    def __init__(self, data: bytes, held: list[bool], words: np.ndarray, uni: Unigrams, buckets: int):
-        lengths, hashes, _, tokens = _opened(data)
-        self.lengths, n = lengths.astype(np.int64), len(hashes)
+    def __init__(self, data: bytes, numbers: np.ndarray, words: np.ndarray, uni: Unigrams, buckets: int):
+        lengths, _, _, self.tokens = _opened(data)
+        self.lengths, n = lengths.astype(np.int64), len(words)
         self.starts = np.r_[0, np.cumsum(self.lengths)[:-1]]
-        tokens = tokens.astype(np.int64)
-        self.tokens = tokens
-        last = np.r_[n, tokens[:-1]]
-        last[self.starts] = n  # the text's start
-        keys, self.place = np.unique(last * (n + 1) + tokens, return_inverse=True)
-        h, w = keys // (n + 1), keys % (n + 1)
-        train = np.repeat(~np.array(held), self.lengths)
-        self.counts = np.bincount(self.place[train], minlength=len(keys))
-        self.word_counts = words[w]
-        context = np.r_[words, uni.total + 1][h]
-        hot = context * HOT >= uni.total
-        self.hot = hot.astype(np.uint8)
-        self.context = np.r_[hashes, _START][h]
-        self.short = self.context >> np.uint64(16)
+        keys = np.empty(len(self.tokens), np.int64)
+        keys[1:] = self.tokens[:-1]
+        keys[self.starts] = n  # the text's start
+        keys *= n + 1
+        keys += self.tokens
+        keys, place = np.unique(keys, return_inverse=True)  # words are in the order of their numbers, so bigrams are too
+        self.place = place.astype(np.uint32)
+        self.context, self.word = (keys // (n + 1)).astype(np.uint32), (keys % (n + 1)).astype(np.uint32)
+        del keys, place
+        self.numbers = numbers
+        self.hot = np.r_[(words > 0) & (words * HOT >= uni.total), True]
         with np.errstate(over="ignore"):
-            self.pair = _mix(self.context * _M1 + hashes[w] * _M2 + np.uint64(1)) & np.uint64((1 << 40) - 1)
-            bucket = (_mix(np.where(hot, self.pair, np.uint64(0)) ^ _mix(self.context)) % np.uint64(buckets)).astype(np.int64)
-        self.order = np.lexsort((self.pair, self.short, bucket))
-        self.ends = np.searchsorted(bucket[self.order], np.arange(buckets), "right")
-
-    def payloads(self) -> Iterator[tuple[int, bytes]]:
+            spread, seed = _mix(numbers), _mix(numbers * _M2 + np.uint64(1))
+        bucket = _mix(np.where(self.hot[self.context], seed[self.word], np.uint64(0)) ^ spread[self.context]) % np.uint64(buckets)
+        self.order = np.argsort(bucket, kind="stable")
+        self.ends = np.searchsorted(bucket[self.order], np.arange(buckets, dtype=np.uint64), "right")
+
+    def payloads(self, held: list[bool], words: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """To each bucket its contexts and words, once each, and its bigrams as places among the words."""
+        counts = np.bincount(self.place[np.repeat(~np.array(held), self.lengths)], minlength=len(self.context)).astype(np.uint32)
+        wide = np.uint32 if words.max(initial=0) < 1 << 32 else np.uint64
         for bucket, rows in enumerate(np.split(self.order, self.ends[:-1])):
             if len(rows):
-                context = self.short[rows]
+                context = self.context[rows]
                 first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
                 sizes = np.diff(np.r_[first, len(rows)]).astype(np.uint32)
-                # contexts rise within a bucket: the gaps between their leading 48 bits are small
-                gaps = np.diff(context[first], prepend=np.uint64(0))
-                # words rise within a context: gaps there too
-                word = self.pair[rows]
-                word = np.where(np.r_[True, context[1:] != context[:-1]], word, word - np.r_[np.uint64(0), word[:-1]])
-                wide = np.uint32 if self.word_counts.max(initial=0) < 1 << 32 else np.uint64
-                yield bucket, _pack(gaps, sizes, (word & np.uint64(0xFFFFFFFF)).astype(np.uint32), (word >> np.uint64(32)).astype(np.uint8), self.counts[rows].astype(np.uint32), self.word_counts[rows].astype(wide), self.hot[rows[first]])
-
-
-
-def _risen(gaps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Running sums that start anew with each context."""
-    with np.errstate(over="ignore"):
-        total = np.cumsum(gaps)
-        start = np.r_[0, np.cumsum(sizes, dtype=np.int64)[:-1]]
-        return total - np.repeat(total[start] - gaps[start], sizes)
+                own, at = np.unique(self.word[rows], return_inverse=True)
+                names = context[first]
+                yield bucket, _pack(np.diff(self.numbers[names], prepend=np.uint64(0)), sizes, self.hot[names].astype(np.uint8), np.diff(self.numbers[own], prepend=np.uint64(0)), words[own].astype(wide), _gaps(at, first, np.uint16 if len(own) < 1 << 16 else np.uint32), counts[rows])
 
 
 def _merge_pairs(group: pa.Table) -> pa.Table:
-    """One bucket's bigrams: contexts, and distinct bigrams with context, count and word count; who asked for which."""
+    """One bucket's bigrams: contexts, words with their counts, and distinct bigrams with counts; who asked for which."""
     bucket = group.column("bucket")[0].as_py()
     sent = [_unpack(x.as_py()) for x in group.column("data")]
-    for s in sent:
-        s[0] = np.cumsum(s[0])
-    context = np.concatenate([np.repeat(s[0], s[1]) for s in sent])
-    pair = np.concatenate([_risen(s[2].astype(np.uint64) | s[3].astype(np.uint64) << np.uint64(32), s[1]) for s in sent])
+    contexts, c = np.unique(np.concatenate([np.cumsum(s[0]) for s in sent]), return_inverse=True)
+    words, w = np.unique(np.concatenate([np.cumsum(s[3]) for s in sent]), return_inverse=True)
+    hot, word_counts = np.zeros(len(contexts), np.uint8), np.zeros(len(words), np.int64)
+    hot[c] = np.concatenate([s[2] for s in sent])
+    word_counts[w] = np.concatenate([s[4] for s in sent])
+    c, w = (np.split(x, np.cumsum([len(s[k]) for s in sent])[:-1]) for x, k in ((c, 0), (w, 3)))
+    keys = np.concatenate([np.repeat(ci, s[1]) * len(words) + wi[_risen(s[5], s[1])] for s, ci, wi in zip(sent, c, w, strict=True)])
+    ends, counts = np.cumsum([len(s[6]) for s in sent]), np.concatenate([s[6] for s in sent])
+    del sent, c, w
     # in the order in which blocks ask: of context and word
-    order = np.lexsort((pair, context))
-    context, pair = context[order], pair[order]
-    new = np.r_[True, context[1:] != context[:-1]]
-    fresh = new | np.r_[True, pair[1:] != pair[:-1]]
-    contexts, at = context[new], (np.cumsum(new) - 1)[fresh]
-    place = np.empty(len(order), np.int64)
-    place[order] = np.cumsum(fresh) - 1
-    first = order[fresh]
-    counts = np.bincount(place, np.concatenate([s[4] for s in sent]), len(first)).astype(np.int64)
-    hot = np.zeros(len(contexts), np.uint8)
-    for s in sent:
-        hot[np.searchsorted(contexts, s[0][s[6] > 0])] = 1
-    word_counts = np.concatenate([s[5].astype(np.int64) for s in sent])[first]
-    asked = _pack(*[np.diff(p, prepend=0).astype(np.uint32) for p in np.split(place, np.cumsum([len(s[2]) for s in sent])[:-1])])
-    return pa.table({"bucket": pa.array([bucket], pa.int32()), "small": pa.array([_small(counts[counts > 0]).tolist()], pa.list_(pa.int64())), "bigrams": pa.array([_pack(np.diff(contexts, prepend=np.uint64(0)), np.diff(at, prepend=0).astype(np.uint8), counts, word_counts, hot)], pa.binary()), "blocks": pa.array([group.column("block").to_pylist()], pa.list_(pa.int64())), "asked": pa.array([asked], pa.binary())})
-
-
-def _table(raw: bytes) -> tuple[np.ndarray, ...]:
-    """A bucket's contexts, and its bigrams' places among them, counts and word counts, and whether a context is hot."""
-    gaps, steps, counts, word_counts, hot = _unpack(raw)
-    return np.cumsum(gaps), np.cumsum(steps, dtype=np.int64), counts, word_counts, hot
+    keys, place = np.unique(keys, return_inverse=True)
+    counts = np.bincount(place, counts, len(keys)).astype(np.int64)
+    asked = _pack(*[np.diff(p, prepend=0).astype(np.uint32) for p in np.split(place, ends[:-1])])
+    del place
+    at, word = keys // len(words), keys % len(words)
+    del keys
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    sizes = np.diff(np.r_[first, len(at)]).astype(np.uint32)
+    bigrams = _pack(np.diff(contexts, prepend=np.uint64(0)), sizes, hot, np.diff(words, prepend=np.uint64(0)), word_counts, _gaps(word, first, np.uint32), counts)
+    return pa.table({"bucket": pa.array([bucket], pa.int32()), "small": pa.array([_small(counts[counts > 0]).tolist()], pa.list_(pa.int64())), "bigrams": pa.array([bigrams], pa.binary()), "blocks": pa.array([group.column("block").to_pylist()], pa.list_(pa.int64())), "asked": pa.array([asked], pa.binary())})
+
+
+def _table(raw: bytes, uni: Unigrams) -> tuple[np.ndarray, ...]:
+    """A bucket's contexts and whether they are hot; its bigrams' places among them, counts, and P of their words."""
+    gaps, sizes, hot, _, word_counts, steps, counts = _unpack(raw)
+    return np.cumsum(gaps), hot, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), counts, uni.p(word_counts)[_risen(steps, sizes)]
 
 
 def _sums(contexts, at, counts, p, d) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -298,11 +299,18 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([pa.array([block] * buckets, pa.int64()), pa.array(range(buckets), pa.int32()), pa.array(rows, pa.binary())], names=["block", "bucket", "data"])
 
     sent = blocks.select("block", "data").mapInArrow(words, "block long, bucket int, data binary")
-    merged = bucketed(sent.groupBy("bucket").applyInArrow(_merge_words, "block long, bucket int, total long, types long, small array<long>, data binary"), "unigrams", "block")
-    t = merged.where("block = -1").agg(F.sum("total"), F.sum("types"), *[F.sum(F.get("small", F.lit(i))) for i in range(TOP + 1)]).first()
-    uni = Unigrams(int(t[0] or 0), int(t[1] or 0), [int(x or 0) for x in t[2:]])
+    merged = bucketed(sent.groupBy("bucket").applyInArrow(_merge_words, "block long, bucket int, total long, types long, words long, small array<long>, data binary"), "unigrams", "block")
+    t = merged.where("block = -1").agg(F.sum("total"), F.sum("types"), *[F.sum(F.get("small", F.lit(i))) for i in range(TOP + 1)], F.max("words")).first()
+    stride = int(t[-1] or 0)  # ranges of hashes hold about as many words each, so numbers have few gaps
+    uni = Unigrams(int(t[0] or 0), int(t[1] or 0), [int(x or 0) for x in t[2:-1]])
     answered = merged.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("words"))
 
+    def known(answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of a block's words and their counts; the last number is that of the text's start."""
+        parts = [(bucket, *_unpack(x)) for bucket, x in sorted((a["bucket"], a["data"]) for a in answers)]
+        numbers = [bucket * stride + np.cumsum(steps, dtype=np.int64) for bucket, steps, _ in parts]
+        return np.concatenate([*numbers, [buckets * stride]]).astype(np.uint64), np.concatenate([x for *_, x in parts])
+
     def joined(answers: list[dict] | None) -> np.ndarray:
         parts = [_unpack(x) for _, x in sorted((a["bucket"], a["data"]) for a in answers or [])]
         return np.concatenate([x[0] if len(x) == 1 else x[0][x[1]] for x in parts]) if parts else np.zeros(0)
@@ -312,7 +320,9 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
             pa.default_memory_pool().release_unused()  # of the batches before
             for i in range(b.num_rows):
                 block, held, data, answers = (b.column(k)[i].as_py() for k in range(4))
-                rows = list(_Bigrams(data, held, joined(answers), uni, buckets).payloads())
+                numbers, words_ = known(answers)
+                del answers
+                rows = list(_Bigrams(data, numbers, words_, uni, buckets).payloads(held, words_))
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "bucket", "data"])
 
     asked = blocks.join(answered, "block").select("block", "held", "data", "words").mapInArrow(pairs, "block long, bucket int, data binary")
@@ -325,8 +335,8 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
         """Sums of the contexts that may be dealt over several buckets."""
         for b in batches:
             for x in b.column(0):
-                contexts, at, counts, wc, flags = _table(x.as_py())
-                c, lost, p = (s[flags > 0] for s in _sums(contexts, at, counts, uni.p(wc), d))
+                contexts, flags, at, counts, p = _table(x.as_py(), uni)
+                c, lost, p = (s[flags > 0] for s in _sums(contexts, at, counts, p, d))
                 contexts = contexts[flags > 0]
                 yield pa.RecordBatch.from_arrays([pa.array(contexts.view(np.int64)), pa.array(c), pa.array(lost), pa.array(p)], names=["h", "c", "lost", "p"])
 
@@ -344,8 +354,7 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
         for b in batches:
             pa.default_memory_pool().release_unused()  # of the batches before
             for i in range(b.num_rows):
-                contexts, at, counts, wc, _ = _table(b.column(1)[i].as_py())
-                p = uni.p(wc)
+                contexts, _, at, counts, p = _table(b.column(1)[i].as_py(), uni)
                 c, lost, seen = _sums(contexts, at, counts, p, d)
                 if len(names):
                     place = np.minimum(np.searchsorted(names, contexts), len(names) - 1)
@@ -354,9 +363,14 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
                 # P of the class of unseen words is never seen after a context, so 1 - seen is at least that
                 mass, free = c + (lost <= 0), np.maximum(1 - seen, uni.unseen)
                 alpha = np.where(c > 0, np.where(lost > 0, lost, 1.0) / np.maximum(mass, 1) / free, 1.0)
-                direct = np.where(counts > TOP, 1.0, d[np.minimum(counts, TOP)]) * counts / np.maximum(mass, 1)[at]
+                p *= alpha[at]
+                met = np.flatnonzero(counts)
+                r = counts[met]
+                p[met] = np.where(r > TOP, 1.0, d[np.minimum(r, TOP)]) * r / np.maximum(mass, 1)[at[met]]
+                del at, counts, met, r
                 # many bigrams share a value: values once, and their places
-                values_, place = np.unique(np.log10(np.where(counts > 0, direct, alpha[at] * p)), return_inverse=True)
+                values_, place = np.unique(np.log10(p), return_inverse=True)
+                del p
                 blocks_ = b.column(2)[i].as_py()
                 rows = [_values(values_, place[np.cumsum(x)]) for x in _unpack(b.column(3)[i].as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array(blocks_, pa.int64()), pa.array([b.column(0)[i].as_py()] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names=["block", "bucket", "data"])
@@ -369,12 +383,13 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
             pa.default_memory_pool().release_unused()  # of the batches before
             for i in range(b.num_rows):
                 ids, held, data, answers, found = (b.column(k)[i].as_py() for k in range(5))
-                words_ = joined(answers)
-                g = _Bigrams(data, held, words_, uni, buckets)
+                numbers, words_ = known(answers)
+                del answers
+                g = _Bigrams(data, numbers, words_, uni, buckets)
                 logs = np.empty(len(g.order))
                 logs[g.order] = joined(found)
                 base = np.log10((words_ + 1) / (uni.total + uni.types + 1))
-                del data, answers, found
+                del data, found
                 sums = lambda x: np.add.reduceat(x, g.starts)  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(g.lengths), pa.array(sums((words_ > 0)[g.tokens].astype(np.int64))), pa.array(sums(base[g.tokens])), pa.array(sums(logs[g.place]))], names=["id", "held", "n_tokens", "n_known", "base_score", "score"])
 
