@@ -8,9 +8,11 @@ to 1 as well.
 
 Texts are held in blocks of about BLOCK tokens: word hashes, and tokens as places among them. Blocks send their distinct
 words and bigrams, with counts, to buckets whose number grows with the corpus, and name a word or context once a message; buckets merge counts and write the tables
-(one row of packed columns a bucket), and answer each block in the order in which it asked. Bigrams are dealt by context, so a
+(one row of packed columns a bucket), and answer each block in the order in which it asked: with counts of bigrams, and with
+the sum and the backoff weight of each whole context. Bigrams are dealt by context, so a
 bucket holds whole contexts; contexts with at least a ten-thousandth of all tokens (so at most 10,001 with the text's
-start) are dealt by bigram, and only their sums are collected and broadcast. No word or bigram is sent twice by a block,
+start) are dealt by word over as many parts as hold a quarter of a bucket each, and only their sums are collected and
+broadcast. No word or bigram is sent twice by a block,
 so common ones weigh no more than rare ones.
 
 Words are told apart by 64-bit hashes. Their buckets are ranges of hashes, so a word's bucket and its place there make a
@@ -214,10 +216,12 @@ class _Bigrams:
         self.context, self.word = (keys // (n + 1)).astype(np.uint32), (keys % (n + 1)).astype(np.uint32)
         del keys, place
         self.numbers = numbers
-        self.hot = np.r_[(words > 0) & (words * HOT >= uni.total), True]
+        shares = np.r_[words * (4 * buckets) // max(uni.total, 1), 4 * buckets].astype(np.uint64)  # in quarters of a bucket
+        self.hot = np.r_[words * HOT >= uni.total, True] & (shares > 0)
         with np.errstate(over="ignore"):
             spread, seed = _mix(numbers), _mix(numbers * _M2 + np.uint64(1))
-        bucket = _mix(np.where(self.hot[self.context], seed[self.word], np.uint64(0)) ^ spread[self.context]) % np.uint64(buckets)
+        salt = np.where(self.hot[self.context], seed[self.word] % (shares[self.context] + np.uint64(1)), np.uint64(0))
+        bucket = _mix(_mix(salt) ^ spread[self.context]) % np.uint64(buckets)
         self.order = np.argsort(bucket, kind="stable")
         self.ends = np.searchsorted(bucket[self.order], np.arange(buckets, dtype=np.uint64), "right")
 
@@ -274,10 +278,11 @@ def _sums(contexts, at, counts, p, d) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.bincount(at, counts, n), np.bincount(at, lost, n), np.bincount(at, np.where(counts > 0, p, 0), n)
 
 
-def _values(values: np.ndarray, place: np.ndarray) -> bytes:
-    """values[place], each of them once."""
-    own, at = np.unique(place, return_inverse=True)
-    return _pack(values[own], at.astype(np.uint16 if len(own) < 1 << 16 else np.uint32))
+def _weights(c, lost, seen, unseen: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each context: what its counts are divided by, and its backoff weight."""
+    # P of the class of unseen words is never seen after a context, so 1 - seen is at least that
+    mass, free = c + (lost <= 0), np.maximum(1 - seen, unseen)
+    return np.maximum(mass, 1), np.where(c > 0, np.where(lost > 0, lost, 1.0) / np.maximum(mass, 1) / free, 1.0)
 
 
 def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id") -> DataFrame:
@@ -311,10 +316,6 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
         numbers = [bucket * stride + np.cumsum(steps, dtype=np.int64) for bucket, steps, _ in parts]
         return np.concatenate([*numbers, [buckets * stride]]).astype(np.uint64), np.concatenate([x for *_, x in parts])
 
-    def joined(answers: list[dict] | None) -> np.ndarray:
-        parts = [_unpack(x) for _, x in sorted((a["bucket"], a["data"]) for a in answers or [])]
-        return np.concatenate([x[0] if len(x) == 1 else x[0][x[1]] for x in parts]) if parts else np.zeros(0)
-
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pa.default_memory_pool().release_unused()  # of the batches before
@@ -349,36 +350,28 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
 
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """log10 P of each bigram, in the order in which each block asked."""
-        names, *sums = whole.value
+        """Counts of the bigrams and weights of the whole contexts, in the order in which each block asked."""
         for b in batches:
             pa.default_memory_pool().release_unused()  # of the batches before
             for i in range(b.num_rows):
-                contexts, _, at, counts, p = _table(b.column(1)[i].as_py(), uni)
-                c, lost, seen = _sums(contexts, at, counts, p, d)
-                if len(names):
-                    place = np.minimum(np.searchsorted(names, contexts), len(names) - 1)
-                    found = names[place] == contexts
-                    c, lost, seen = (np.where(found, s[place], own) for s, own in zip(sums, (c, lost, seen), strict=True))
-                # P of the class of unseen words is never seen after a context, so 1 - seen is at least that
-                mass, free = c + (lost <= 0), np.maximum(1 - seen, uni.unseen)
-                alpha = np.where(c > 0, np.where(lost > 0, lost, 1.0) / np.maximum(mass, 1) / free, 1.0)
-                p *= alpha[at]
-                met = np.flatnonzero(counts)
-                r = counts[met]
-                p[met] = np.where(r > TOP, 1.0, d[np.minimum(r, TOP)]) * r / np.maximum(mass, 1)[at[met]]
-                del at, counts, met, r
-                # many bigrams share a value: values once, and their places
-                values_, place = np.unique(np.log10(p), return_inverse=True)
+                contexts, hot, at, counts, p = _table(b.column(1)[i].as_py(), uni)
+                mass, alpha = _weights(*_sums(contexts, at, counts, p, d), uni.unseen)
                 del p
-                blocks_ = b.column(2)[i].as_py()
-                rows = [_values(values_, place[np.cumsum(x)]) for x in _unpack(b.column(3)[i].as_py())]
+                rows, blocks_ = [], b.column(2)[i].as_py()
+                for steps in _unpack(b.column(3)[i].as_py()):
+                    place = np.cumsum(steps, dtype=np.int64)
+                    own = at[place]
+                    own = own[np.r_[True, own[1:] != own[:-1]]]
+                    own = own[hot[own] == 0]
+                    rows.append(_pack(counts[place].astype(np.uint32 if uni.total < 1 << 32 else np.uint64), mass[own].astype(np.int64), alpha[own]))
                 yield pa.RecordBatch.from_arrays([pa.array(blocks_, pa.int64()), pa.array([b.column(0)[i].as_py()] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names=["block", "bucket", "data"])
 
     second = grams.select("bucket", "bigrams", "blocks", "asked").mapInArrow(values, "block long, bucket int, data binary")
-    second = second.groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("logs"))
+    second = second.groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("found"))
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, *sums_ = whole.value
+        hot_mass, hot_alpha = _weights(*sums_, uni.unseen)
         for b in batches:
             pa.default_memory_pool().release_unused()  # of the batches before
             for i in range(b.num_rows):
@@ -386,14 +379,31 @@ def score_all(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id
                 numbers, words_ = known(answers)
                 del answers
                 g = _Bigrams(data, numbers, words_, uni, buckets)
-                logs = np.empty(len(g.order))
-                logs[g.order] = joined(found)
+                parts = [_unpack(x) for _, x in sorted((a["bucket"], a["data"]) for a in found)]
+                r, own_mass, own_alpha = (np.concatenate(x) for x in zip(*parts, strict=True))
+                del data, found, parts
+                mass, alpha = np.ones(len(numbers)), np.ones(len(numbers))
+                asked_ = g.context[g.order]  # a whole context lies in one bucket, so its bigrams are neighbours
+                asked_ = asked_[np.r_[True, asked_[1:] != asked_[:-1]]]
+                asked_ = asked_[~g.hot[asked_]]
+                mass[asked_], alpha[asked_] = own_mass, own_alpha
+                common = np.flatnonzero(g.hot)
+                at = np.searchsorted(names, numbers[common])
+                mass[common], alpha[common] = hot_mass[at], hot_alpha[at]
+                counts = np.empty(len(r), np.int64)
+                counts[g.order] = r
+                del r, asked_
+                p = alpha[g.context] * uni.p(words_)[g.word]
+                met = np.flatnonzero(counts)
+                r = counts[met]
+                p[met] = np.where(r > TOP, 1.0, d[np.minimum(r, TOP)]) * r / mass[g.context[met]]
+                logs = np.log10(p)
+                del p, met, r, counts
                 base = np.log10((words_ + 1) / (uni.total + uni.types + 1))
-                del data, found
                 sums = lambda x: np.add.reduceat(x, g.starts)  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(g.lengths), pa.array(sums((words_ > 0)[g.tokens].astype(np.int64))), pa.array(sums(base[g.tokens])), pa.array(sums(logs[g.place]))], names=["id", "held", "n_tokens", "n_known", "base_score", "score"])
 
-    out = blocks.join(answered, "block").join(second, "block").select("ids", "held", "data", "words", "logs").mapInArrow(final, "id long, held boolean, n_tokens long, n_known long, base_score double, score double")
+    out = blocks.join(answered, "block").join(second, "block").select("ids", "held", "data", "words", "found").mapInArrow(final, "id long, held boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(uni.total).cast("long"))
 
 
