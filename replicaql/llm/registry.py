@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("katz", "anisotropic", "mixing", "neighbours", "line_chunks", "partenum", "licenses", "host_rules", "pieces", "toxicity")
+MODULES = ("katz", "anisotropic", "mixing", "neighbours", "line_chunks", "partenum", "licenses", "host_rules", "pieces", "toxicity", "collisions", "whitening", "filter_audit")
 
 
 def _all(name: str) -> dict:
