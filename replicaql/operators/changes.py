@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 def diff(old: DataFrame, new: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """key, change (create, update, delete, same), delta: changed columns as text by name, null if none changed, and full:
-    the new row's columns, null for a delete."""
-    a, b = old.select(*key, F.struct(*columns).alias("o")), new.select(*key, F.struct(*columns).alias("n"))
+    the new row's columns, null for a delete. A key that a side repeats fails the job."""
+    a, b = (single(df.select(*key, *columns), key, f"{what} row").select(*key, F.struct(*columns).alias(name)) for df, what, name in ((old, "an old", "o"), (new, "a new", "n")))
     both = a.join(b, list(key), "full_outer")
     changed = [F.when(~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")), F.struct(F.lit(c).alias("key"), F.col(f"n.{c}").cast("string").alias("value"))) for c in columns]
     delta = F.map_from_entries(F.filter(F.array(*changed), lambda x: x.isNotNull()))
@@ -72,11 +73,20 @@ def operation_log(changes: DataFrame, user: Column, seq: Column, now: Column) ->
     return changes.where("change <> 'same'").select(F.concat_ws("-", F.lit("op"), seq.cast("string")).alias("op_id"), "id", user.alias("user_id"), F.col("change").alias("type"), "delta", "full", seq.alias("seq"), now.alias("at"), F.lit(0).alias("retry_count"), F.coalesce(size, F.lit(0)).alias("size"))
 
 
-def push(base: DataFrame, rows: DataFrame, key: Sequence[str], columns: Sequence[str], user: Column, seq: Column, now: Column) -> tuple[DataFrame, DataFrame]:
-    """Saving rows: the table with them put in, and the operations to queue (create or update; unchanged rows make none)."""
-    rows = single(rows, key, "a row")
+def push(base: DataFrame, rows: DataFrame, key: Sequence[str], columns: Sequence[str], user: Column, seq: Column, now: Column, source: str = "local", force: bool = False, before_save: Sequence = ()) -> tuple[DataFrame, DataFrame]:
+    """Saving rows: the table with them put in, and the operations to queue (create or update).
+
+    Rows go through before_save first. One whose columns equal those of the row that is there is not written and makes no
+    operation, so no row changes without one. Rows that come from the remote side are saved but not queued, unless force.
+    """
+    if source not in ("local", "remote"):
+        raise ValueError("sources are local and remote")
+    rows = single(reduce(lambda df, step: df.transform(step), before_save, rows), key, "a row")
     found = diff(base.join(rows.select(*key), list(key), "left_semi"), rows, key, columns)
-    return base.join(rows.select(*key), list(key), "left_anti").unionByName(rows), operation_log(found, user, seq, now)
+    log = operation_log(found, user, seq, now)
+    changed = rows.join(found.where("change <> 'same'").select(*key), list(key), "left_semi")
+    saved = base.join(changed.select(*key), list(key), "left_anti").unionByName(changed)
+    return saved, log if source == "local" or force else log.limit(0)
 
 
 def enqueue(queue: DataFrame, ops: DataFrame) -> DataFrame:
@@ -90,41 +100,73 @@ def dequeue(queue: DataFrame, done: DataFrame) -> DataFrame:
     return delete(queue, done, ["op_id"])
 
 
-def replay(base: DataFrame, ops: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
-    """The table after all operations, in seq order, as one fold per key.
+def hot_keys(ops: DataFrame, key: str, limit: int, parts: int) -> DataFrame:
+    """key and bounds: of each key with more than limit operations, the seqs that cut them into about equal parts."""
+    counts = ops.groupBy(key).agg(F.count("*").alias("n_")).where(F.col("n_") > limit).select(key)
+    return ops.select(key, "seq").join(counts, key, "left_semi").groupBy(key).agg(F.percentile_approx("seq", [i / parts for i in range(1, parts)], 1000).alias("bounds_"))
+
 
-    ops: key, seq, type (create, update, patch, delete), full (struct of columns) and delta (map<string,string>); an update
-    with an empty or null delta is a full one. Only what follows a key's last delete counts; the last full row there,
-    or the first operation's full row where the key is missing, is overlaid by later deltas, column by column.
+def runs(ops: DataFrame, columns: Sequence[str], key: str = "id", limit: int = 1_000_000, parts: int = 64) -> DataFrame:
+    """Operations folded into runs: key, part (runs of a key in this order follow each other) and run, what the run does to any row.
+
+    A run is an element of a monoid: it either sets the row whatever was there (sets: gone, or row), or it overlays columns
+    (over: for each column whether and what it sets) and, where no row was, makes one (fresh). A key has one run, but one with
+    more than limit operations has up to parts of them, cut by seq, so that no task gets all its operations.
     """
-    kinds = dict(base.dtypes)
-    ops = ops.withColumn("last_delete", F.max(F.when(F.col("type") == "delete", F.col("seq"))).over(W.partitionBy(key)))
-    live = ops.where((F.col("type") != "delete") & (F.col("last_delete").isNull() | (F.col("seq") > F.col("last_delete"))))
-    is_delta = F.col("type").isin("update", "patch") & (F.coalesce(F.size("delta"), F.lit(0)) > 0)
-    live = live.withColumn("reset", F.max(F.when(~is_delta, F.col("seq"))).over(W.partitionBy(key)))
-    found = live.groupBy(key).agg(
-        F.max("reset").alias("reset"), F.max_by("full", F.when(~is_delta, F.col("seq"))).alias("reset_row"), F.min_by("full", "seq").alias("first_row"), F.min("seq").alias("first_seq"),
-        *[_last_set(c, is_delta, F.col("reset")).alias(f"set_{c}") for c in columns],
+    kinds = dict(ops.select("full.*").dtypes)
+    hot = hot_keys(ops, key, limit, parts)
+    if not hot.isEmpty():
+        ops = ops.join(hot, key, "left").withColumn("part_", F.coalesce(F.size(F.filter("bounds_", lambda b: b < F.col("seq"))), F.lit(0))).drop("bounds_")
+    else:
+        ops = ops.withColumn("part_", F.lit(0))
+    w = W.partitionBy(key, "part_").orderBy("seq")
+    is_delete, is_delta = F.col("type") == "delete", F.col("type").isin("update", "patch") & (F.coalesce(F.size("delta"), F.lit(0)) > 0)
+    # a delta right behind a delete finds no row and is taken whole
+    ops = ops.select(key, "part_", "seq", "full", "delta", is_delete.alias("delete_"), F.lag(is_delete).over(w).alias("after_"), is_delta.alias("delta_"))
+    whole = ~F.col("delta_") | F.coalesce("after_", F.lit(False))
+    first = F.min_by("full", "seq")
+    found = ops.groupBy(key, "part_").agg(
+        F.bool_or(whole).alias("sets"), F.max_by("delete_", "seq").alias("gone"), first.alias("first_"), F.min("seq").alias("first_seq"),
+        *[F.max_by(F.struct("seq", _new_value(c, kinds[c], whole).alias("value")), F.when(whole | _touches(c), F.col("seq"))).alias(f"last_{c}") for c in columns],
     )
-    gone = ops.groupBy(key).agg(F.max("last_delete").alias("deleted"))
-    held = base.select(F.col(key), F.struct(*columns).alias("b"))
-    whole = held.join(gone, key, "full_outer").join(found, key, "left")
-    missing = F.col("b").isNull() | F.col("deleted").isNotNull()
-    start = F.when(F.col("reset").isNotNull(), F.col("reset_row")).when(missing, F.col("first_row")).otherwise(F.col("b"))
-    there = F.col("first_seq").isNotNull() | ~missing
-    out = []
-    for c in columns:
-        # the first operation on a missing key is taken whole, so its own delta changes nothing that its row does not hold
-        over = F.col(f"set_{c}")
-        stale = F.col("reset").isNull() & missing & (over["seq"] == F.col("first_seq"))
-        out.append(F.when(over["seq"].isNotNull() & ~stale, over["value"].cast(kinds[c])).otherwise(start[c]).alias(c))
-    return whole.where(there).select(key, *out)
+    value = lambda c: F.col(f"last_{c}.value")
+    later = lambda c: F.coalesce(F.col(f"last_{c}.seq") > F.col("first_seq"), F.lit(False))
+    run = F.struct(
+        F.col("sets"), F.col("gone"), F.struct(*[value(c).alias(c) for c in columns]).alias("row"), F.struct(*[F.struct(F.col(f"last_{c}").isNotNull().alias("set"), value(c).alias("value")).alias(c) for c in columns]).alias("over"),
+        F.struct(*[F.when(later(c), value(c)).otherwise(F.col("first_")[c]).alias(c) for c in columns]).alias("fresh"),
+    )
+    return found.select(key, F.col("part_").alias("part"), run.alias("run"))
+
 
+def _touches(column: str) -> Column:
+    return F.coalesce(F.map_contains_key("delta", F.lit(column)), F.lit(False))
 
-def _last_set(column: str, is_delta: Column, reset: Column) -> Column:
-    """The last delta behind the reset that sets a column: struct(seq, value)."""
-    sets = is_delta & F.coalesce(F.map_contains_key("delta", F.lit(column)), F.lit(False)) & (reset.isNull() | (F.col("seq") > reset))
-    return F.max_by(F.struct("seq", F.col("delta")[column].alias("value")), F.when(sets, F.col("seq")))
+
+def _new_value(column: str, kind: str, whole: Column) -> Column:
+    return F.when(F.col("delete_"), None).when(whole, F.col("full")[column]).otherwise(F.get(F.array(F.col("delta")[column]), F.lit(0)).cast(kind))
+
+
+def then(state: Column, run: Column, columns: Sequence[str]) -> Column:
+    """The state (there, row) after a run."""
+    overlaid = F.struct(*[F.when(run["over"][c]["set"], run["over"][c]["value"]).otherwise(state["row"][c]).alias(c) for c in columns])
+    row = F.when(run["sets"], run["row"]).when(state["there"], overlaid).otherwise(run["fresh"])
+    return F.struct(F.coalesce(~run["sets"] | ~run["gone"], F.lit(True)).alias("there"), row.alias("row"))
+
+
+def replay(base: DataFrame, ops: DataFrame, columns: Sequence[str], key: str = "id", limit: int = 1_000_000, parts: int = 64) -> DataFrame:
+    """The table after all operations, in seq order.
+
+    ops: key, seq (unique for each key), type (create, update, patch, delete), full (struct of columns) and delta (map<string,string>);
+    an update with an empty or null delta is a full one, and a delta where no row is makes the operation's full row. Operations are
+    folded into runs() first, and a key's runs, at most parts of them, are applied to its row.
+    """
+    kinds = dict(base.dtypes)
+    state = F.struct(F.col("b").isNotNull().alias("there"), F.struct(*[F.col(f"b.{c}").alias(c) for c in columns]).alias("row"))
+    ops = ops.withColumn("full", F.struct(*[F.col(f"full.{c}").cast(kinds[c]).alias(c) for c in columns]))
+    found = runs(ops, columns, key, limit, parts).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("part", "run"))).alias("runs"))
+    both = base.select(key, F.struct(*columns).alias("b")).join(found, key, "full_outer")
+    end = F.aggregate(F.coalesce("runs", F.array().cast(found.schema["runs"].dataType)), state, lambda s, r: then(s, r["run"], columns))
+    return both.select(key, end.alias("end")).where("end.there").select(key, *[F.col(f"end.row.{c}").alias(c) for c in columns])
 
 
 def outcomes(attempts: DataFrame, max_retries: int = 3) -> DataFrame:

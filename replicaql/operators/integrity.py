@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import fresh
+from . import hashtree
+
 
 def content_hash(df: DataFrame, columns: Sequence[str], key: str, by: Sequence[str] = ()) -> DataFrame:
     """by, n, hash: SHA-256 of the rows as a JSON list in key order. A group is one text: choose by so that groups fit."""
@@ -31,6 +35,32 @@ def metadata(tables: dict[str, DataFrame], now: Column, user: str = "user_id") -
     return parts.groupBy("user_id").agg(counts.alias("entity_counts")).withColumn("last_sync_time", now)
 
 
+def hashed_metadata(tables: dict[str, tuple[DataFrame, Sequence[str], str]], now: Column, depth: int = 2) -> DataFrame:
+    """Per user_id: entity_counts (map of entity to n and hash, the root of its hash tree), data_hash (of all entities) and
+    last_sync_time. tables: entity to rows with a user_id, hashed columns, and key."""
+    parts = [hashtree.roots(df, columns, key, ["user_id"], depth).withColumn("entity", F.lit(name)) for name, (df, columns, key) in tables.items()]
+    entities = F.array_sort(F.collect_list(F.struct("entity", "n", "hash")))  # one for each entity at most
+    found = reduce(DataFrame.unionByName, parts).groupBy("user_id").agg(entities.alias("e"))
+    counts = F.map_from_entries(F.transform("e", lambda x: F.struct(x["entity"], F.struct(x["n"], x["hash"]))))
+    whole = F.sha2(F.array_join(F.transform("e", lambda x: F.concat(x["entity"], F.lit(":"), x["hash"])), ","), 256)
+    return found.select("user_id", counts.alias("entity_counts"), whole.alias("data_hash"), now.alias("last_sync_time"))
+
+
+def save_metadata(meta: DataFrame, *replicas: str) -> None:
+    """Appends the metadata to the folder of each replica; it is computed once."""
+    spark, path = meta.sparkSession, fresh(meta.sparkSession, "metadata")
+    meta.write.parquet(path)
+    for replica in replicas:
+        spark.read.schema(meta.schema).parquet(path).write.mode("append").parquet(replica)
+
+
+def saved_metadata(spark: SparkSession, replica: str) -> DataFrame:
+    """The last metadata of each user."""
+    rows = spark.read.parquet(replica)
+    rest = [c for c in rows.columns if c != "user_id"]
+    return rows.groupBy("user_id").agg(F.max_by(F.struct(*rest), "last_sync_time").alias("x")).select("user_id", "x.*")
+
+
 def needs_full_sync(local: DataFrame, remote: DataFrame) -> DataFrame:
     """user_id and full: whether the metadata rows (user_id, data_hash, last_sync_time) call for a full sync."""
     r = remote.select("user_id", F.col("data_hash").alias("rh"), F.col("last_sync_time").alias("rt"))

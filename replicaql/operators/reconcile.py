@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from .changes import single
+
 TAKE_LOCAL, TAKE_REMOTE, MERGE, ASK, ABORT = "takeLocal", "takeRemote", "merge", "askUser", "abort"
 NONE, MISMATCH, DELETION, MODIFIED = "none", "userMismatch", "deletionConflict", "bothModified"
 
@@ -14,18 +16,18 @@ NONE, MISMATCH, DELETION, MODIFIED = "none", "userMismatch", "deletionConflict",
 Resolver = Callable[[Column, Column, Column], Column]
 
 
-def side_by_side(local: DataFrame, remote: DataFrame, user: object = None, key: str = "id") -> DataFrame:
-    """key, l, r: remote rows with the user's local rows of the same key."""
-    own = local if user is None else local.where(F.col("user_id") == F.lit(user))
-    return remote.select(key, F.struct(*remote.columns).alias("r")).join(own.select(key, F.struct(*own.columns).alias("l")), key, "left")
+def _writes() -> Column:
+    """Rows of matched() whose remote or merged row is written."""
+    return F.col("action").isin("create", "update", TAKE_REMOTE, MERGE)
 
 
 def kind(user: Column | None = None) -> Column:
     """What a pair is: the first rule that holds. user: whose pull it is (the local row's user if not given)."""
     mine = F.col("l.user_id") if user is None else user
     l_gone, r_gone = F.col("l").isNull(), F.col("r").isNull()
+    known = ~l_gone if user is None else F.lit(True)
     return (
-        F.when(~r_gone & (F.col("r.user_id") != mine), MISMATCH).when(l_gone | r_gone, NONE)
+        F.when(~r_gone & known & ~F.col("r.user_id").eqNullSafe(mine), MISMATCH).when(l_gone | r_gone, NONE)
         .when(F.col("l.is_deleted") != F.col("r.is_deleted"), DELETION).when(F.col("l.version") != F.col("r.version"), MODIFIED).otherwise(NONE)
     )
 
@@ -63,35 +65,81 @@ def decided(choice: Column) -> Resolver:
     return resolve
 
 
-def classify(local: DataFrame, remote: DataFrame, user: object = None, resolver: Resolver = last_write_wins, key: str = "id", each: bool = False) -> DataFrame:
-    """key, l, r, kind, action (create, update, or the resolver's strategy). each: every remote row against its own user."""
-    both = side_by_side(local, remote, None if each else user, key)
-    both = both.withColumn("kind", kind(F.col("l.user_id") if each or user is None else F.lit(user)))
+def matched(local: DataFrame, remote: DataFrame, user: object = None, resolver: Resolver = last_write_wins, key: str = "id", each: bool = False) -> DataFrame:
+    """key, h, l, r, kind, action: every row of both replicas once, by one full outer join on (user_id, key).
+
+    h is the local row with the remote row's user and key, r the remote row. l is what r is compared with: h, or where r is
+    not its user's, the local row of the same key (of the smallest user, if each), to which it is a mismatch. each: every remote row is
+    pulled for its own user, else all for one user (the local rows' own, if none is given). Action: keep for local rows without
+    a remote one, else create, update, or the resolver's strategy. Keys that a replica repeats for a user fail the job.
+    """
+    names = ["user_id", key]
+    single_user = not each and user is not None
+    here, there = single(local, names, "a local row"), single(remote, names, "a remote row")
+    a = here.select(F.struct(*local.columns).alias("h"), *[F.col(c).alias(f"h_{c}") for c in names])
+    b = there.select(F.struct(*remote.columns).alias("r"), *[F.col(c).alias(f"r_{c}") for c in names])
+    both = a.join(b, F.col("h_user_id").eqNullSafe(F.col("r_user_id")) & F.col(f"h_{key}").eqNullSafe(F.col(f"r_{key}")), "full_outer")
+    both = both.select(F.coalesce(f"r_{key}", f"h_{key}").alias(key), "h", "r")
+    # remote rows that meet no row of their user: only these are looked up by key alone
+    foreign = F.col("r").isNotNull() & (~F.col("r.user_id").eqNullSafe(F.lit(user)) if single_user else F.col("h").isNull())
+    own = both.where(~foreign).withColumn("l", F.when(F.col("r").isNotNull(), F.col("h"))).select(key, "h", "l", "r")
+    lost = both.where(foreign)
+    holders = local.where(F.col("user_id") == F.lit(user)) if single_user else local
+    # only the rows that are asked for are grouped: users may share keys, so a key's rows are many
+    asked = lost.select(F.col(key).alias("asked_")).distinct()
+    holders = holders.join(asked, F.col(key) == F.col("asked_"), "left_semi").groupBy(F.col(key).alias("held_")).agg(F.min_by(F.struct(*local.columns), "user_id").alias("l"))
+    lost = lost.join(holders, F.col(key) == F.col("held_"), "left").select(key, "h", "l", "r")
+    found = own.unionByName(lost).withColumn("kind", kind(F.lit(user)) if single_user else kind())
     plain = F.when(F.col("l").isNull(), "create").otherwise("update")
-    return both.withColumn("action", F.when(F.col("kind") == NONE, plain).otherwise(resolver(F.col("l"), F.col("r"), F.col("kind"))))
+    action = F.when(F.col("r").isNull(), "keep").when(F.col("kind") == NONE, plain).otherwise(resolver(F.col("l"), F.col("r"), F.col("kind")))
+    return found.withColumn("action", action)
+
+
+def classify(local: DataFrame, remote: DataFrame, user: object = None, resolver: Resolver = last_write_wins, key: str = "id", each: bool = False) -> DataFrame:
+    """key, l, r, kind, action: the remote rows of matched()."""
+    return matched(local, remote, user, resolver, key, each).where("r is not null").select(key, "l", "r", "kind", "action")
 
 
-def pull(classified: DataFrame, local: DataFrame, merge: Callable[[Column, Column], Sequence[Column]] | None = None, key: str = "id") -> DataFrame:
-    """The local table after a pull: rows are replaced by (user_id, key) of what is written, local-only rows stay, nothing
-    is deleted. A pair that is to be merged fails the job if there is no merge function."""
-    columns = local.columns
-    writes = classified.where(F.col("action").isin("create", "update", TAKE_REMOTE, MERGE))
+def pull(found: DataFrame, merge: Callable[[Column, Column], Sequence[Column]] | None = None, key: str = "id") -> DataFrame:
+    """The local table after a pull: what is written replaces the row of its user and key, local-only rows stay, nothing
+    is deleted. found: the result of matched(). A pair that is to be merged fails the job if there is no merge function; merged rows
+    keep the remote row's user and key."""
+    columns = found.schema["h"].dataType.names
     if merge is None:
         # struct by field, so that the check is not pruned with a column
         fail = F.raise_error(F.concat(F.lit("no merge function for "), F.col(key).cast("string")))
-        row = F.when(F.col("action") == MERGE, fail.cast(writes.schema["r"].dataType)).otherwise(F.col("r"))
+        row = F.when(F.col("action") == MERGE, fail.cast(found.schema["r"].dataType)).otherwise(F.col("r"))
         row = F.struct(*[row[c].alias(c) for c in columns])
     else:
         merged = merge(F.col("l"), F.col("r"))
-        row = F.struct(*[F.when(F.col("action") == MERGE, m).otherwise(F.col(f"r.{c}")).alias(c) for c, m in zip(columns, merged, strict=True)])
-    written = writes.select(row.alias("w")).select("w", F.col("w.user_id").alias("user_"), F.col(f"w.{key}").alias("key_"))
-    held = local.select(F.struct(*columns).alias("h"), F.col("user_id").alias("user_"), F.col(key).alias("key_"))
-    both = held.join(written, held["user_"].eqNullSafe(written["user_"]) & held["key_"].eqNullSafe(written["key_"]), "full_outer")
-    return both.select(F.when(F.col("w").isNotNull(), F.col("w")).otherwise(F.col("h")).alias("x")).select("x.*")
-
-
-def pull_counts(classified: DataFrame) -> DataFrame:
-    """conflicts_resolved (every conflict, however it ended), written and bytes_pulled (JSON characters of plain rows)."""
-    conflict = F.col("kind") != NONE
-    size = F.length(F.to_json("r", {"ignoreNullFields": "false"}))
-    return classified.agg(F.count_if(conflict).alias("conflicts_resolved"), F.count_if(F.col("action").isin("create", "update", TAKE_REMOTE, MERGE)).alias("written"), F.coalesce(F.sum(F.when(~conflict, size)), F.lit(0)).alias("bytes_pulled"))
+        place = {"user_id", key}
+        row = F.struct(*[F.when((F.col("action") == MERGE) & F.lit(c not in place), m).otherwise(F.col(f"r.{c}")).alias(c) for c, m in zip(columns, merged, strict=True)])
+    kept = F.when(_writes(), row).otherwise(F.col("h"))
+    return found.select(kept.alias("x")).where("x is not null").select("x.*")
+
+
+def pull_metrics(sized: Sequence[str] | None = None) -> list[Column]:
+    """What a pull of matched() rows comes to: conflicts_resolved (every conflict, however it ended), written, bytes_pulled
+    (JSON characters of plain rows, of the columns sized or all), pulled (remote rows) and one count for each kind of conflict."""
+    remote, conflict = F.col("r").isNotNull(), F.col("r").isNotNull() & (F.col("kind") != NONE)
+    row = F.col("r") if sized is None else F.struct(*[F.col(f"r.{c}").alias(c) for c in sized])
+    size = F.length(F.to_json(row, {"ignoreNullFields": "false"}))
+    return [
+        F.count_if(conflict).alias("conflicts_resolved"), F.count_if(_writes()).alias("written"), F.coalesce(F.sum(F.when(remote & ~conflict, size)), F.lit(0)).alias("bytes_pulled"),
+        F.count_if(remote).alias("pulled"), *[F.count_if(conflict & (F.col("kind") == k)).alias(name) for k, name in ((MISMATCH, "user_mismatches"), (DELETION, "deletions"), (MODIFIED, "modifications"))],
+    ]
+
+
+def pull_counts(found: DataFrame) -> DataFrame:
+    """One row of pull_metrics(), by a job of its own; observed_pull() has them from the write itself."""
+    return found.agg(*pull_metrics())
+
+
+def observed_pull(found: DataFrame, write: Callable[[DataFrame], None], merge: Callable[[Column, Column], Sequence[Column]] | None = None, key: str = "id", sized: Sequence[str] | None = None) -> dict[str, int]:
+    """Writes the table after a pull and returns pull_metrics() of it, observed on the way: nothing is read twice.
+
+    write gets pull()'s rows and must run one job over all of them, a write of a table.
+    """
+    seen = Observation()
+    write(pull(found.observe(seen, *pull_metrics(sized)), merge, key))
+    return seen.get

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import changes, entity, integrity, metrics, migrate, paging, reconcile, relations
+from ..operators import changes, entity, hashtree, integrity, metrics, migrate, paging, reconcile, relations, results
 from ..operators.relations import BelongsTo, HasMany, HasOne, ManyToMany
+from ..sources import scratch
 from ..streaming import live
 from .compiler import apply, count, first
 from .model import Filter, Logic, Op, Query, QueryBuilder
@@ -299,7 +300,7 @@ def _pull_sql(takes: str, amount: str = "amt") -> str:
 
 def _pulled(spark: SparkSession, d: str, resolver, merge=None) -> DataFrame:
     local, remote = _replicas(spark, d)
-    return reconcile.pull(reconcile.classify(local, remote, resolver=resolver, each=True), local, merge).select("id", "user_id", "amt", "version", "is_deleted")
+    return reconcile.pull(reconcile.matched(local, remote, resolver=resolver, each=True), merge).select("id", "user_id", "amt", "version", "is_deleted")
 
 
 @_register("s_pull_lww", _pull_sql("version > lv OR (version = lv AND modified_at > lm)"))
@@ -334,6 +335,53 @@ def _(spark, d):
     return reconcile.pull_counts(reconcile.classify(local, remote, each=True)).select("conflicts_resolved", "written")
 
 
+#: Users share ids here: two orders have one id, and their users differ.
+_SHARED_LOCAL = _LOCAL.replace("o_orderkey as id, o_custkey as user_id", "o_orderkey div 2 as id, 2 * o_custkey + o_orderkey % 2 as user_id")
+_SHARED_REMOTE = _REMOTE.replace("o_orderkey as id", "o_orderkey div 2 as id").replace("case when o_orderkey % 97 = 0 then -1 else o_custkey end", "case when o_orderkey % 97 = 0 then -1 - o_orderkey % 2 else 2 * o_custkey + o_orderkey % 2 end")
+_DUCK = lambda sql: sql.replace(" div ", " // ")
+_SHARED = f"""WITH l AS ({_DUCK(_SHARED_LOCAL)}), r AS ({_DUCK(_SHARED_REMOTE)}),
+holder AS (SELECT id, min(user_id) AS holder FROM l GROUP BY id),
+b AS (SELECT r.*, l.id IS NOT NULL AS own, c.id IS NOT NULL AS met, c.version AS lv, c.modified_at AS lm, c.amt AS lamt, c.is_deleted AS ld FROM r LEFT JOIN l ON r.id = l.id AND r.user_id = l.user_id
+  LEFT JOIN holder h ON l.id IS NULL AND r.id = h.id LEFT JOIN l c ON c.id = r.id AND c.user_id = CASE WHEN l.id IS NULL THEN h.holder ELSE l.user_id END),
+k AS (SELECT *, CASE WHEN NOT own AND met THEN 'userMismatch' WHEN NOT met THEN 'none' WHEN ld <> is_deleted THEN 'deletionConflict' WHEN lv <> version THEN 'bothModified' ELSE 'none' END AS kind FROM b),
+a AS (SELECT *, CASE WHEN kind = 'none' THEN CASE WHEN met THEN 'update' ELSE 'create' END WHEN version > lv OR (version = lv AND modified_at > lm) THEN 'takeRemote' ELSE 'takeLocal' END AS action FROM k)
+"""
+
+
+def _shared(spark: SparkSession, d: str, resolver=reconcile.last_write_wins) -> DataFrame:
+    return reconcile.matched(_view(spark, d, _SHARED_LOCAL), _view(spark, d, _SHARED_REMOTE), resolver=resolver, each=True)
+
+
+@_register("s_detect_shared", _SHARED + "SELECT user_id, id, kind, action FROM a")
+def _(spark, d):
+    return _shared(spark, d).where("r is not null").select("r.user_id", "id", "kind", "action")
+
+
+@_register("s_pull_shared", _SHARED + ", w AS (SELECT * FROM a WHERE action <> 'takeLocal') SELECT id, user_id, amt, version, is_deleted FROM w UNION ALL SELECT id, user_id, amt, version, is_deleted FROM l WHERE (user_id, id) NOT IN (SELECT (user_id, id) FROM w)")
+def _(spark, d):
+    return reconcile.pull(_shared(spark, d)).select("id", "user_id", "amt", "version", "is_deleted")
+
+
+@_register("s_pull_shared_merge", _SHARED + ", w AS (SELECT id, user_id, CASE WHEN kind = 'none' THEN amt ELSE greatest(amt, lamt) END AS amt, version FROM a) SELECT id, user_id, amt, version FROM w UNION ALL SELECT id, user_id, amt, version FROM l WHERE (user_id, id) NOT IN (SELECT (user_id, id) FROM w)")
+def _(spark, d):
+    found = _shared(spark, d, reconcile.merging)
+    return reconcile.pull(found, lambda l, r: [r["id"], l["user_id"], F.greatest(l["amt"], r["amt"]), r["version"], r["is_deleted"], r["modified_at"]]).select("id", "user_id", "amt", "version")
+
+
+@_register(
+    "s_pull_observed",
+    _SHARED + "SELECT 'all' AS user_id, count(*) FILTER (action <> 'takeLocal') AS synced, count(*) FILTER (kind <> 'none') AS conflicts_resolved, CAST(coalesce(sum(len('{\"id\":' || id || ',\"user_id\":' || user_id || ',\"version\":' || version || '}')) FILTER (kind = 'none'), 0) AS BIGINT) AS bytes_pulled FROM a",
+)
+def _(spark, d):
+    """A pull's figures, observed while the table is written, as the results table has them."""
+    columns = ["id", "user_id", "version", "is_deleted", "modified_at"]
+    found = reconcile.matched(_view(spark, d, _SHARED_LOCAL).select(columns), _view(spark, d, _SHARED_REMOTE).select(columns), each=True)
+    path = scratch.fresh(spark, "results")
+    counts = reconcile.observed_pull(found, lambda df: df.write.parquet(scratch.fresh(spark, "pulled")), sized=("id", "user_id", "version"))
+    results.append(spark, path, {"user_id": "all", "synced": counts["written"], "conflicts_resolved": counts["conflicts_resolved"], "bytes_pulled": counts["bytes_pulled"]}, 1)
+    return results.last(spark, path).select("user_id", "synced", "conflicts_resolved", "bytes_pulled")
+
+
 @_register("s_diff", f"SELECT coalesce(l.id, r.id) AS id, CASE WHEN l.id IS NULL THEN 'create' WHEN r.id IS NULL THEN 'delete' WHEN l.user_id <> r.user_id OR l.version <> r.version OR l.is_deleted <> r.is_deleted THEN 'update' ELSE 'same' END AS change, CASE WHEN l.id IS NOT NULL AND r.id IS NOT NULL AND l.version <> r.version THEN CAST(r.version AS VARCHAR) END AS new_version FROM ({_LOCAL}) l FULL JOIN ({_REMOTE}) r ON l.id = r.id")
 def _(spark, d):
     local, remote = _replicas(spark, d)
@@ -343,7 +391,7 @@ def _(spark, d):
 
 _SLOTS = "SELECT user_id * 10 + event_id % 10 AS id, event_id AS seq, event_id % 5 AS kind, event_id % 97 AS a, event_id % 89 AS b, CASE WHEN event_id % 2 = 0 THEN 1 WHEN event_id % 3 = 0 THEN 2 ELSE 0 END AS sets FROM events"
 _REPLAY = f"""WITH RECURSIVE ops AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS n, kind IN (1, 2, 4) AND sets > 0 AS is_delta FROM ({_SLOTS})),
-base AS (SELECT i AS id, -1::BIGINT AS a, -2::BIGINT AS b FROM range(0, 1500, 3) t(i)),
+base AS (SELECT c_custkey AS id, -1::BIGINT AS a, -2::BIGINT AS b FROM customer WHERE c_custkey % 3 = 0),
 keys AS (SELECT id FROM base UNION SELECT id FROM ops),
 fold AS (
   SELECT k.id, 0::BIGINT AS n, base.id IS NOT NULL AS there, base.a, base.b FROM keys k LEFT JOIN base ON k.id = base.id
@@ -360,7 +408,7 @@ def _(spark, d):
     e = _t(spark, d, "events")
     kind = F.element_at(F.array(*map(F.lit, ("create", "update", "patch", "delete", "patch"))), (F.col("event_id") % 5 + 1).cast("int"))
     ops = e.select((F.col("user_id") * 10 + F.col("event_id") % 10).alias("id"), F.col("event_id").alias("seq"), kind.alias("type"), F.struct((F.col("event_id") % 97).alias("a"), (F.col("event_id") % 89).alias("b")).alias("full"), F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("a"), (F.col("event_id") % 97).cast("string"))).when(F.col("event_id") % 3 == 0, F.create_map(F.lit("b"), (F.col("event_id") % 89).cast("string"))).alias("delta"))
-    base = spark.range(0, 1500, 3).select("id", F.lit(-1).cast("long").alias("a"), F.lit(-2).cast("long").alias("b"))
+    base = _t(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.lit(-1).cast("long").alias("a"), F.lit(-2).cast("long").alias("b"))
     return changes.replay(base, ops, ["a", "b"])
 
 
@@ -401,6 +449,60 @@ def _(spark, d):
     return integrity.content_hash(_t(spark, d, "customer"), ["c_custkey", "c_name"], "c_custkey", ["c_mktsegment"])
 
 
+_TREE_ROWS = "select o_orderkey, o_custkey as user_id, o_orderstatus, o_orderpriority from orders"
+_TREE_OTHER = "select o_orderkey, o_custkey as user_id, case when o_orderkey % 97 = 0 then 'X' else o_orderstatus end as o_orderstatus, o_orderpriority from orders where o_orderkey % 101 <> 0 union all select -o_orderkey, o_custkey, o_orderstatus, o_orderpriority from orders where o_orderkey % 211 = 0"
+_TREE_COLUMNS = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
+
+
+def _tree_sql(rows: str, by: str, digits: int) -> str:
+    """The root of each group, by nested hashes."""
+    json = "'{\"o_orderkey\":' || o_orderkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\",\"o_orderpriority\":\"' || o_orderpriority || '\"}'"
+    level = f"SELECT {by}, substr(sha256(o_orderkey::VARCHAR), 1, {digits}) AS p, count(*) AS n, sha256(string_agg(sha256({json}), '' ORDER BY o_orderkey)) AS h FROM ({rows}) GROUP BY ALL"
+    for k in range(digits - 1, -1, -1):
+        level = f"SELECT {by}, substr(p, 1, {k}) AS p, sum(n) AS n, sha256(string_agg(q || ':' || h, ',' ORDER BY q)) AS h FROM (SELECT {by}, p AS q, p, n, h FROM ({level})) GROUP BY {by}, substr(p, 1, {k})"
+    return f"SELECT {by}, n::BIGINT AS n, h AS hash FROM ({level})"
+
+
+@_register("s_hash_tree", _tree_sql(_TREE_ROWS, "user_id", 2))
+def _(spark, d):
+    return hashtree.roots(_view(spark, d, _TREE_ROWS), _TREE_COLUMNS, "o_orderkey", ["user_id"], 2)
+
+
+@_register("s_hash_tree_hot", _tree_sql(_TREE_ROWS, "o_orderstatus", 3))
+def _(spark, d):
+    """Three groups that hold the whole table: each is spread over 4,096 leaves."""
+    return hashtree.roots(_view(spark, d, _TREE_ROWS), _TREE_COLUMNS, "o_orderkey", ["o_orderstatus"], 3)
+
+
+@_register(
+    "s_hash_drift",
+    f"""WITH a AS ({_TREE_ROWS}), b AS ({_TREE_OTHER}), x AS (SELECT coalesce(a.user_id, b.user_id) AS u, substr(sha256(coalesce(a.o_orderkey, b.o_orderkey)::VARCHAR), 1, 2) AS p
+  FROM a FULL JOIN b ON a.user_id = b.user_id AND a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus <> b.o_orderstatus OR a.o_orderpriority <> b.o_orderpriority)
+SELECT 'local' AS side, user_id, o_orderkey FROM a WHERE (user_id, substr(sha256(o_orderkey::VARCHAR), 1, 2)) IN (SELECT (u, p) FROM x)
+UNION ALL SELECT 'remote', user_id, o_orderkey FROM b WHERE (user_id, substr(sha256(o_orderkey::VARCHAR), 1, 2)) IN (SELECT (u, p) FROM x)""",
+)
+def _(spark, d):
+    sides = {"local": _view(spark, d, _TREE_ROWS), "remote": _view(spark, d, _TREE_OTHER)}
+    trees = [hashtree.tree(df, _TREE_COLUMNS, "o_orderkey", ["user_id"], 2) for df in sides.values()]
+    ranges = scratch.written(hashtree.differing(*trees, ["user_id"], 2), "ranges")
+    parts = [hashtree.rows_in(df, ranges, "o_orderkey", ["user_id"], 2).select(F.lit(name).alias("side"), "user_id", "o_orderkey") for name, df in sides.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@_register(
+    "s_metadata_hashed",
+    f"WITH o AS ({_tree_sql(_TREE_ROWS, 'user_id', 2)}), p AS ({_tree_sql(_TREE_ROWS + ' where o_orderkey % 2 = 0', 'user_id', 2)}) SELECT o.user_id, o.n AS orders, o.hash AS orders_hash, p.n AS even, sha256(CASE WHEN p.hash IS NULL THEN '' ELSE 'even:' || p.hash || ',' END || 'orders:' || o.hash) AS data_hash FROM o LEFT JOIN p ON o.user_id = p.user_id",
+)
+def _(spark, d):
+    """Metadata with tree hashes, saved to both replicas and read back from the second."""
+    rows = _view(spark, d, _TREE_ROWS)
+    meta = integrity.hashed_metadata({"orders": (rows, _TREE_COLUMNS, "o_orderkey"), "even": (rows.where("o_orderkey % 2 = 0"), _TREE_COLUMNS, "o_orderkey")}, F.lit(1))
+    replicas = [scratch.fresh(spark, f"{side}-metadata") for side in ("local", "remote")]
+    integrity.save_metadata(meta, *replicas)
+    e = lambda name: F.try_element_at("entity_counts", F.lit(name))
+    return integrity.saved_metadata(spark, replicas[1]).select("user_id", e("orders")["n"].alias("orders"), e("orders")["hash"].alias("orders_hash"), e("even")["n"].alias("even"), "data_hash")
+
+
 @_register("m_migrate_chain", "SELECT p_partkey, p_name AS title, CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS priority FROM part")
 def _(spark, d):
     steps = [

@@ -58,10 +58,10 @@ KINDS = [
 def test_conflicts(spark, local, remote, kind):
     schema = "id int, user_id string, version int, is_deleted boolean, modified_at int"
     left, right = spark.createDataFrame([local] if local else [], schema), spark.createDataFrame([remote], schema)
-    found = reconcile.classify(left, right, "u")
-    row = found.first()
+    found = reconcile.matched(left, right, "u")
+    row = reconcile.classify(left, right, "u").first()
     assert row.kind == kind
-    after = {tuple(r) for r in reconcile.pull(found, left).collect()}
+    after = {tuple(r) for r in reconcile.pull(found).collect()}
     assert after == ({remote} if row.action in ("create", "update", "takeRemote") else {local})
     assert reconcile.pull_counts(found).first().conflicts_resolved == (kind != "none")
 
