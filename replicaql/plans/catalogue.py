@@ -13,7 +13,8 @@ from ..functions import scalars
 from ..operators import changes, entity, hashtree, integrity, metrics, migrate, paging, reconcile, relations, results
 from ..operators.relations import BelongsTo, HasMany, HasOne, ManyToMany
 from ..sources import scratch
-from ..streaming import live
+from ..streaming import deltas, external, live
+from ..streaming.sink import Version
 from .compiler import apply, count, first
 from .model import Filter, Logic, Op, Query, QueryBuilder
 from .sqlgen import duckdb_sql
@@ -587,6 +588,48 @@ def _(spark, d):
     return live.queued(live.applied(_view(spark, d, _EXTERNAL))).select("event_id", "type")
 
 
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream; a pattern stands for a file as well as for a folder."""
+    return spark.readStream.schema(_t(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+
+
+@_register("t_stream_suppress", _DEDUP)
+def _(spark, d):
+    """The stream that t_dedup_ttl is the batch twin of, run to its end."""
+    events = _event_stream(spark, d).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = scratch.fresh(spark, "kept")
+    with deltas.rocksdb(spark):
+        kept = live.suppress_stream(events, "user_id", "ts", 3600.0, ["event_id"]).select("user_id", "event_id")
+        kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch.fresh(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("user_id long, event_id long").parquet(out)
+
+
+@_register("t_stream_counts", "SELECT event_type, count(*) AS n FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE event_type <> 'view' GROUP BY event_type")
+def _(spark, d):
+    """Users by their last event, views out: a count kept by signed changes."""
+    kind = F.when(F.col("event_type") == "view", "delete").otherwise("update")
+    changes_ = _event_stream(spark, d).select("user_id", "event_type", F.col("event_id").alias("seq"), kind.alias("type"))
+    path = scratch.fresh(spark, "counts")
+    with deltas.rocksdb(spark):
+        rows = deltas.signed(changes_, "user_id", ["user_id", "event_type"], "seq")
+        deltas.live_counts(rows, path, scratch.fresh(spark, "checkpoint"), ["event_type"]).awaitTermination()
+    return Version(spark, f"{path}/counts", spark.createDataFrame([], "event_type string, n long").schema).read()
+
+
+@_register(
+    "t_stream_external",
+    f"SELECT user_id AS id, event_id AS v, CASE WHEN before IS NULL AND user_id NOT IN (SELECT c_custkey FROM customer) OR before = 'delete' THEN 'create' ELSE 'update' END AS type FROM (SELECT *, lag(type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM ({_EXTERNAL})) WHERE source_id = 'local' AND type <> 'delete'",
+)
+def _(spark, d):
+    """What outside changes queue for the remote side."""
+    kind, source = F.when(F.col("event_type") == "view", "delete").otherwise("update"), F.when(F.col("event_id") % 3 == 0, "local").otherwise("remote")
+    stream = _event_stream(spark, d).select(F.col("user_id").alias("id"), F.col("event_id").alias("v"), kind.alias("type"), source.alias("source_id"), F.col("event_id").alias("ts"))
+    base = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(-1).cast("long").alias("v"))
+    table = external.ExternalChanges(scratch.fresh(spark, "external"), base, "id", ["id", "v"])
+    table.start(stream, scratch.fresh(spark, "checkpoint")).awaitTermination()
+    return table.queue().select("id", F.col("full.v").alias("v"), "type")
+
+
 @_register("t_watch_related", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def _(spark, d):
     query = live.by_relation(lambda: _t(spark, d, "customer").where("c_acctbal < 0"), HasMany("o_custkey", "c_custkey"))

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import entity, relations
 
@@ -55,22 +54,40 @@ def suppress(events: DataFrame, key: str, ts: str, order: Sequence[str], ttl_s:
     return runs.mapInArrow(accept, kinds)
 
 
-def suppress_stream(events: DataFrame, key: str, ts: str, ttl_s: float = 5.0) -> DataFrame:
-    """Exact duplicate suppression with one timestamp of state for each key; within a batch events go in time order."""
-    schema = events.schema
+class _Accepting(StatefulProcessor):
+    """Of each key the time of its last accepted event (t_, microseconds), until no event can fall within its TTL any more."""
 
-    def accept(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values(ts, kind="stable")
-        keep = []
-        for t in pdf[ts].astype("datetime64[ns]").astype("int64") // 1000:
-            fine = last is None or t - last > ttl_s * 1e6
-            last = int(t) if fine else last
-            keep.append(fine)
-        state.update((last,))
-        yield pdf[keep]
+    def __init__(self, order: Sequence[str], ttl: int):
+        self.order, self.ttl = ("t_", *order), ttl
 
-    return events.groupBy(key).applyInPandasWithState(accept, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "t long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = last = self.last.get()[0] if self.last.exists() else None
+        for row in sorted(rows, key=lambda r: [r[c] for c in self.order]):
+            if last is None or row["t_"] - last > self.ttl:
+                last = row["t_"]
+                yield row
+        if last != before:
+            self.last.update((last,))
+            # timers and watermarks are in milliseconds: one more, so that none comes early
+            self.handle.registerTimer((last + self.ttl) // 1000 + 1)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.last.exists() and self.last.get()[0] + self.ttl < timerValues.getCurrentWatermarkInMs() * 1000:
+            self.last.clear()
+        return iter(())
+
+
+def suppress_stream(events: DataFrame, key: str, ts: str, ttl_s: float = 5.0, order: Sequence[str] = (), lateness: str = "0 seconds") -> DataFrame:
+    """Exact duplicate suppression: within a batch events go by ts and order; batches come in time order, but for lateness.
+
+    A key's state is one time, and it ends: a timer clears it once the watermark has passed the TTL, from where on every event that still
+    counts would be accepted anyway. Events without a time are dropped. Needs the RocksDB provider (deltas.rocksdb).
+    """
+    timed = events.where(F.col(ts).isNotNull()).withWatermark(ts, lateness).withColumn("t_", F.unix_micros(F.col(ts).cast("timestamp")))
+    return timed.groupBy(key).transformWithState(_Accepting(order, round(ttl_s * 1e6)), timed.schema, "Append", "EventTime").drop("t_")
 
 
 def latest(changes: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

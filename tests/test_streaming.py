@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from replicaql.streaming import live
+from replicaql.streaming import deltas, live
 
 
 def _events(spark):
@@ -26,6 +26,7 @@ def test_suppress(spark, tmp_path):
     want = _accepted(events.collect(), 5.0)
     assert {r.event_id for r in live.suppress(events, "user_id", "ts", ["event_id"]).collect()} == want
     events.coalesce(1).write.parquet(f"{tmp_path}/in")
+    spark.conf.set(deltas.PROVIDER, deltas.ROCKSDB)
     stream = live.suppress_stream(live.change_source(spark, f"{tmp_path}/in", events.schema), "user_id", "ts")
     q = stream.writeStream.format("memory").queryName("kept").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
