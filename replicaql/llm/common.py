@@ -66,13 +66,27 @@ def small(df: DataFrame, row_bytes: Column) -> DataFrame:
     return F.broadcast(df) if taken <= BROADCAST_BYTES else df
 
 
+def fitting(sizes: list[int], limit: int) -> list[int]:
+    """Which of the sizes, taken in order, are within the limit together; one that would go beyond it is passed over."""
+    taken, total = [], 0
+    for i, n in enumerate(sizes):
+        if total + n <= limit:
+            taken.append(i)
+            total += n
+    return taken
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int, seed: int) -> list:
-    """Rows (text, label) of a seeded sample: at most max_rows, and as many of them as hold max_bytes of text."""
+    """Rows (text, label) of a seeded sample: at most max_rows, and of these, in order, all that max_bytes of text have room for."""
     place = (F.xxhash64("doc_id", F.lit(seed)), "doc_id")
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", label).orderBy(*place, label).limit(max_rows)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").orderBy(*place, "text").limit(max_rows)
-    upto = F.sum(F.octet_length("text")).over(W.orderBy(*place, "text").rowsBetween(W.unboundedPreceding, 0))  # over max_rows rows at most
-    return rows.withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("text", label).collect()
+    rows = written(rows.withColumn("place", F.row_number().over(W.orderBy(*place, "text"))), "sample")  # max_rows rows at most
+    sizes = rows.select("place", F.octet_length("text").alias("n")).orderBy("place").collect()
+    whole = fitting([r["n"] for r in sizes], max_bytes)
+    if len(whole) < len(sizes):
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(sizes[i]["place"],) for i in whole], "place int")), "place")
+    return rows.orderBy("place").select("text", label).collect()
 
 
 def crc_mod(col: str, n: int) -> Column:

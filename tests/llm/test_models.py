@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from replicaql.llm import host_rules, katz, neighbours, pieces, toxicity
+from replicaql.llm import common, host_rules, katz, neighbours, pieces, toxicity
 
 KINDS = "doc_id long, text string, source string, extra string"
 TEXTS = ["The cat sat on the mat the cat", "a b a b a b a b", "", None, "  \n\t ", "the cat sat on a hat " * 40, "Ünïcode ▁ text x 😀 the cat", "the cat sat on the mat the cat"]
@@ -229,3 +229,28 @@ def test_restore_by_brute_force_and_on_long_tokens():
     first, began = time.process_time() - began, time.process_time()
     assert len(toxicity.restore("1d10t" * 20_000, m)) >= len(half) == 50_000
     assert time.process_time() - began < 4 * first + 1  # linear
+
+
+def test_odd_tokens_and_long_ones():
+    import re
+    import time
+
+    old = re.compile(r"(.)\1\1|[0-9@$!|+€(*#].*[a-zà-ÿ]|[a-zà-ÿ].*[0-9@$!|+€(*#]|[a-zà-ÿ][.\-_'*~`^,][a-zà-ÿ]")
+    rng = np.random.default_rng(8)
+    for _ in range(3000):
+        token = "".join(rng.choice(list("ab1@.-é7(Z*"), rng.integers(1, 9)))
+        assert toxicity.odd(token) == bool(old.search(token)), token
+    model = toxicity.Toxicity(["you vile fool"] * 3 + ["vile fools here", "vile thing", "good day"], [1, 1, 1, 1, 1, 0])
+    began = time.perf_counter()
+    for text in ("12" * 500_000, "a" * 1_000_000, "1a" * 20_000, "a b " * 20_000, "a.b" * 20_000):
+        assert 0 <= model.score(text) < 0.5
+    assert time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_text_beyond_the_bound_is_passed_over(spark, seed):
+    docs = spark.createDataFrame([(i, "x" * (5000 if i == 0 else 100)) for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    assert sorted(len(r["text"]) for r in common.labelled(docs, labels, "quality", 100, 4900, seed)) == [100] * 49
+    assert len(common.labelled(docs, labels, "quality", 100, 1000, seed)) == 10 and len(common.labelled(docs, labels, "quality", 7, 10**6, seed)) == 7
+    assert common.fitting([5, 1, 9, 2], 8) == [0, 1, 3] and common.fitting([], 1) == []

@@ -1,6 +1,8 @@
 """Jaccard join, line chunks, mixing, nearest neighbours and licences against brute force."""
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -311,18 +313,68 @@ def test_pipeline(spark, tmp_path):
         assert all(r.round_trip for r in out)
 
 
-def test_licenses(spark):
-    import re
+def _licences(texts):
+    """Each text's results from the definition: words looked up, starts, key phrases and shares, in plain loops."""
+    files = [re.findall(licenses.WORDS, re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    idf = {w: math.log((len(files) + 1) / (sum(w in f for f in files) + 1)) + 1 for w in licenses.VOCABULARY}
+    out = []
+    for f in files:
+        at = sorted(k for _, p in licenses.BASE for k in range(len(f)) if f[k : k + len(p.split())] == p.split())
+        base = {n for n, p in licenses.BASE for k in range(len(f)) if f[k : k + len(p.split())] == p.split()}
+        labels, score = set(base), 0.5 if at else 0.0
+        rare = {w for _, words, _ in licenses.TEMPLATES for w in sorted(set(words) & set(f), key=lambda w: (-idf[w], w))[: licenses.RARE]}
+        for label, words, key in licenses.TEMPLATES:
+            first = next(j for j in range(len(words)) if words[j : j + len(key)] == key)
+            agree = {}
+            for p, w in enumerate(f):
+                if w in rare:
+                    for j, x in enumerate(words):
+                        if x == w and p >= j:
+                            agree.setdefault(p - j, set()).add(w)
+            for start, seen in agree.items():
+                if len(seen) > 1 and f[start + first : start + first + len(key)] == key:
+                    labels.add(label)
+                    score = max(score, sum(idf[w] for j, w in enumerate(words) if start + j < len(f) and f[start + j] == w) / sum(idf[w] for w in words))
+        out.append((len(f), len(at), at[0] if at else None, at[-1] if at else None, ",".join(sorted(base)), ",".join(sorted(labels)), score))
+    return out
+
 
+def test_licenses(spark):
+    rng = random.Random(2)
     texts = ["Released under the MIT License.", "MIT-license and mit  license", "nothing here", "", None, "GNU General Public License", "general licence public license", "Licensed under CC BY-NC 4.0.", "the Apache\nLicense, Version 2.0", "mit é license"]
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, labels string")
-    indexed = licenses.postings(df.select("doc_id", "text"))
-    got = {r.doc_id: r for r in licenses.scan(indexed, licenses.weights(indexed)).collect()}
-    for i, t in enumerate(texts):
-        words = re.findall(licenses.WORDS, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        at = sorted(k for _, p in licenses.BASE for k in range(len(words)) if words[k : k + len(p.split())] == p.split())
-        names = sorted({n for n, p in licenses.BASE for k in range(len(words)) if words[k : k + len(p.split())] == p.split()})
-        r = got[i]
-        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(words), len(at), at[0] if at else None, at[-1] if at else None, ",".join(names))
-        assert set(names) <= set(r.labels.split(",")) and 0 <= r.score <= 1
-    assert got[7].labels == "cc-by-nc" and got[0].score == pytest.approx(1.0) and licenses.scan(licenses.postings(df.limit(0)), dict.fromkeys(licenses.VOCABULARY, 1.0)).count() == 0
+    for _, text, _ in licenses.TEXTS:
+        words = text.split()
+        texts.append("some code " * rng.randrange(50) + text)  # whole
+        for _ in range(3):  # with words put in and left out
+            w = list(words)
+            for _ in range(rng.randrange(1, 6)):
+                k = rng.randrange(len(w))
+                w[k : k + rng.randrange(2)] = rng.choice([[], ["Inc"], ["the", "said"]])
+            texts.append(" ".join(["x"] * rng.randrange(9) + w + ["y"] * rng.randrange(9)))
+    texts += [" ".join(t for _, t, _ in licenses.TEXTS), " ".join(licenses.VOCABULARY), " ".join(rng.choice(licenses.VOCABULARY) for _ in range(3000)), licenses.TEXTS[0][1], licenses.TEXTS[0][1]]
+    df = spark.createDataFrame([(None if i == 3 else i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, labels string, row int").coalesce(1)
+    indexed = licenses.index(df)
+    got = [tuple(r)[1:] for r in licenses.scan(indexed, licenses.weights(indexed)).select("doc_id", *licenses.RESULTS).collect()]
+    key = lambda r: (str(r[:6]), round(r[6], 9))
+    for g, w in zip(sorted(got, key=key), sorted(_licences(texts), key=key), strict=True):
+        assert g[:6] == w[:6] and g[6] == pytest.approx(w[6])
+    empty = licenses.index(df.limit(0))
+    assert licenses.scan(empty, licenses.weights(empty)).count() == 0
+
+
+def test_notices_say_where(spark):
+    """A whole licence behind 40 words, with a word put in after its first 30: found where it starts, and its rest 1 later."""
+    text = next(t for label, t, _ in licenses.TEXTS if label == "isc").split()
+    df = spark.createDataFrame([(1, " ".join(["code"] * 40 + text[:30] + ["Inc"] + text[30:]))], "doc_id long, text string")
+    indexed = licenses.index(df)
+    found = licenses.notices(indexed, dict.fromkeys(licenses.VOCABULARY, 1.0)).collect()
+    isc = [(r.start, r.share) for r in found if licenses.TEXTS[r.licence][0] == "isc"]
+    # 31 words: "and/or" is two; the rest is shifted, but for words that happen to stand in place
+    assert len(isc) == 1 and isc[0][0] == 40 and 31 / len(licenses.TEMPLATES[13][1]) < isc[0][1] + 1e-9 < 0.4
+
+
+def test_repeated_notices_take_linear_time(spark):
+    df = spark.createDataFrame([(1, "mit license " * 100_000), (2, licenses.TEXTS[12][1] * 200)], "doc_id long, text string")
+    indexed = licenses.index(df)
+    rows = {r.doc_id: r for r in licenses.scan(indexed, licenses.weights(indexed)).collect()}
+    assert (rows[1].n_words, rows[1].n_base, rows[1].labels) == (200_000, 100_000, "mit") and rows[2].labels == "mit" and rows[2].score == pytest.approx(1.0)
