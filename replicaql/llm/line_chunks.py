@@ -1,11 +1,14 @@
 """Line dedup (5), native: content-defined chunks of lines, removed where the corpus repeats them.
 
-A chunk is two neighbouring lines that are not blank, with the blank ones between them, or one line of at least
-LONG_LINE words. Every such chunk of a text is taken, so a chunk's ends depend on its own lines alone and never on what
-stands before or after a passage, and neighbouring chunks that repeat join up: of a passage that stands elsewhere too,
-every line is met if it has two lines or LONG_LINE words. Chunks are counted by hash over the corpus; texts of chunks
-whose hash repeats are compared byte by byte, and all but the first occurrence (smallest id, text hash, line) of equal
-chunks go. The first occurrence of a line is in no chunk that goes, so every line stays somewhere.
+A chunk is a run of lines of at least WORDS words, as short as it can be: one from each line that is not blank onwards, and one up
+to each such line. Its hash is made from the hashes of its lines. So a chunk's ends depend on its own lines alone and never on what
+stands before or after a passage, and the chunks of a passage overlap: of lines with WORDS words or more that stand elsewhere
+too, every line is met, wherever they stand, and fewer words are left however often they recur. Chunks are counted by hash over the corpus; texts
+of chunks whose hash repeats are compared byte by byte, and all but the first occurrence (smallest id, text hash, line) of
+equal chunks go. The first occurrence of a line is in no chunk that goes, so every line stays somewhere.
+
+Boundaries where a rolling hash of the last two line hashes meets a divisor would make fewer chunks, but a passage of few lines
+seldom holds a whole chunk (README has figures), so every line is taken for a boundary.
 
 Defined results: a null text stays null; an empty text has one empty line; rows repeated with the same id and text
 share their fate; equal chunks may overlap; blank lines before and after what goes stay; a text of which all lines go
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, small, table, written
 
-LONG_LINE = 50
+#: A chunk's words. Lines hold a word at least, so a chunk has at most so many that are not blank; most have few.
+WORDS, FEW = 50, 8
 
 
 def _once(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -30,24 +34,42 @@ def _once(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def with_chunks(docs: DataFrame, long_line: int = LONG_LINE) -> DataFrame:
-    """Adds cs: the chunks (first, size, h) of the column lines that may be removed."""
-    # a line of so many words has that many letters and the spaces between them
-    long = lambda x: (F.length(x) >= 2 * long_line - 1) & (F.regexp_count(x, F.lit(WORD)) >= long_line)
-    held = F.transform("lines", lambda x, i: F.when(x.rlike(WORD), F.struct(i.alias("at"), long(x).alias("long"))))
+def _run(held: Column, i: Column, step: int, lines: int, words: int) -> Column:
+    """n, at and h of the lines of held from i on, forwards (step 1) or backwards: the words of the shortest run that has so many (fewer if
+    these lines have fewer), the place of its last line, and its hash, which rolls over the hashes of its lines."""
+    last = F.least(i + lines - 1, F.size(held) - 1) if step > 0 else F.greatest(i - lines + 1, F.lit(0))
+    start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("at"), F.lit(0).cast("long").alias("h"))
+
+    def more(acc: Column, j: Column) -> Column:
+        x = F.get(held, j)  # slices would copy the whole array each time
+        return F.when(acc["n"] >= words, acc).otherwise(F.struct((acc["n"] + x["n"]).alias("n"), j.alias("at"), F.xxhash64(acc["h"], x["h"]).alias("h")))
+
+    return F.aggregate(F.sequence(i, last, F.lit(step)), start, more)
+
 
-    def chunks(v: Column) -> Column:
-        rest = F.greatest(F.size(v["held"]) - 1, F.lit(0))
-        pairs = F.zip_with(F.slice(v["held"], F.lit(1), rest), F.slice(v["held"], F.lit(2), rest), lambda s, e: F.struct(s["at"].alias("first"), (e["at"] - s["at"] + 1).alias("size")))
-        single = F.transform(F.filter(v["held"], lambda x: x["long"]), lambda x: F.struct(x["at"].alias("first"), F.lit(1).alias("size")))
-        return F.transform(F.concat(single, pairs), lambda c: F.struct(c["first"].alias("first"), c["size"].alias("size"), F.xxhash64(F.slice(v["hashes"], c["first"] + 1, c["size"])).alias("h")))
+def _runs(held: Column, step: int, words: int) -> Column:
+    """The run from each line, or null; few lines are tried first. One up to a line that is also the one from its own first line is left out."""
 
-    once = F.struct(F.filter(held, lambda x: x.isNotNull()).alias("held"), F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
-    return docs.withColumn("cs", _once(once, chunks))
+    def chunk(i: Column, r: Column) -> Column:
+        own, end = F.get(held, i), F.get(held, r["at"])
+        found = F.struct(F.least(own["at"], end["at"]).alias("first"), (F.abs(end["at"] - own["at"]) + 1).alias("size"), F.xxhash64(r["h"], F.lit(step)).alias("h"))
+        return F.when((r["n"] >= words) & (F.lit(step > 0) | (r["n"] - own["n"] >= words)), found)
+
+    def run(x: Column, i: Column) -> Column:
+        tried = _once(_run(held, i, step, FEW, words), lambda r: F.when(r["n"] >= words, r).otherwise(_run(held, i, step, words, words)))
+        return _once(tried, lambda r: chunk(i, r))
+
+    return F.transform(held, run)
+
+
+def with_chunks(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """Adds cs: the chunks (first, size, h) of the column lines that may be removed."""
+    held = F.filter(F.transform("lines", lambda x, i: F.struct(F.regexp_count(x, F.lit(WORD)).alias("n"), i.alias("at"), F.xxhash64(x).alias("h"))), lambda x: x["n"] > 0)
+    return docs.withColumn("cs", _once(held, lambda v: F.filter(F.concat(_runs(v, 1, words), _runs(v, -1, words)), lambda c: c.isNotNull())))
 
 
 def _text(lines: Column, chunk: Column) -> Column:
-    return F.array_join(F.slice(lines, chunk["first"] + 1, chunk["size"]), "\n")
+    return F.array_join(F.transform(F.sequence(chunk["first"], chunk["first"] + chunk["size"] - 1), lambda j: F.get(lines, j)), "\n")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -59,8 +81,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     some = written(rows.join(often, "h"), "candidates")
     asked = some.groupBy("_id", "_key").agg(F.collect_set(F.struct("first", "size", "h")).alias("cs"))  # a document's own chunks
     near = small(written(asked, "asked"), F.lit(48) + 24 * F.size("cs")).withColumnsRenamed({"_id": "i", "_key": "k"})
-    texts = base.join(near, base["_id"].eqNullSafe(near["i"]) & (base["_key"] == near["k"])).select("_id", "_key", "lines", F.explode("cs").alias("c"))
-    texts = texts.select("_id", "_key", F.col("c.first").alias("first"), F.col("c.size").alias("size"), F.col("c.h").alias("h"), _text(F.col("lines"), F.col("c")).alias("chunk"))
+    # texts are made inside the row: lines are not copied for each chunk
+    chunks = lambda v: F.transform(v["cs"], lambda c: F.struct(c["first"].alias("first"), c["size"].alias("size"), c["h"].alias("h"), _text(v["lines"], c).alias("chunk")))
+    texts = base.join(near, base["_id"].eqNullSafe(near["i"]) & (base["_key"] == near["k"])).select("_id", "_key", F.inline(_once(F.struct("lines", "cs"), chunks)))
     # equal bytes: grouped by the chunk itself; its digest then stands for it
     equal = texts.groupBy("h", "chunk").agg(F.count("*").alias("times"), F.min(F.struct("_id", "_key", "first")).alias("keep")).where("times > 1")
     equal = equal.select("h", F.sha2("chunk", 256).alias("digest"), "keep")

@@ -116,13 +116,15 @@ def test_lines(spark):
     assert set(df.columns) < set(line_chunks.remove(df).columns) and line_chunks.remove(df.limit(0)).count() == 0
 
 
-def _repeats(texts, long_line=50):
-    """Numbers of lines in runs that stand earlier too: two lines that are not blank, or one of long_line words."""
+def _repeats(texts, words=50):
+    """Numbers of lines in runs of so many words, as short as they can be from or to a line, that stand earlier too."""
     first, out = set(), {}
     for i, t in texts:
         lines = t.split("\n")
         at = [k for k, x in enumerate(lines) if x.split()]
-        chunks = sorted([(k, k) for k in at if len(lines[k].split()) >= long_line] + list(zip(at, at[1:])))
+        many = lambda run: sum(len(lines[k].split()) for k in run) >= words
+        chunks = {(k, next((e for e in at if many([x for x in at if k <= x <= e])), None)) for k in at} | {(next((b for b in reversed(at) if many([x for x in at if b <= x <= k])), None), k) for k in at}
+        chunks = sorted(c for c in chunks if None not in c and c[0] <= c[1])
         out[i] = set()
         for s, e in chunks:
             if (key := "\n".join(lines[s : e + 1])) in first:
@@ -160,6 +162,28 @@ def test_lines_against_brute_force(spark):
     assert {x for r in got.values() for x in r.text.split("\n")} >= {x for _, t in texts for x in t.split("\n") if x.strip()}
 
 
+def test_short_lines_that_recur_stay(spark):
+    """Fewer than 50 words in a row are no passage, however often they stand."""
+    tales = [f"the tale of {i}\nYes.\nNo.\n}}\n}}\nand so on for {i}" for i in range(30)]
+    got = line_chunks.remove(_frame(spark, list(enumerate(tales))))
+    assert got.agg({"n_removed": "sum"}).first()[0] == 0
+    passage = "\n".join(["thirty " * 30, "twenty " * 15, "ends so"])
+    got = line_chunks.remove(_frame(spark, [(i, f"own {i} words\n{passage}\nmore {i}") for i in range(6)]))  # 47 words
+    assert got.agg({"n_removed": "sum"}).first()[0] == 0
+    passage = "\n".join(["thirty " * 30, "twenty " * 25, "ends so"])  # its last line reaches 50 words only backwards
+    got = {r.doc_id: r.n_removed for r in line_chunks.remove(_frame(spark, [(i, f"own {i} words\n{passage}\nmore {i}") for i in range(6)])).collect()}
+    assert got == {0: 0} | dict.fromkeys(range(1, 6), 3)
+
+
+def test_long_texts_of_lines(spark):
+    """A text of 100,000 lines, of one word each, and one line of a megabyte."""
+    many = "\n".join(f"w{i % 70_000}" for i in range(100_000))
+    df = _frame(spark, [(0, many), (1, "x " * 500_000), (2, "x " * 500_000), (3, "y\n" * 30_000)])
+    got = {r.doc_id: r for r in line_chunks.remove(df).collect()}
+    assert got[0].n_lines == 100_000 and got[0].n_removed == 30_000 and (got[1].n_removed, got[2].n_removed) == (0, 1) and got[2].text == ""
+    assert got[3].n_lines == 30_001 and got[3].text.replace("\n", "") == "y" * 50
+
+
 def _quotients(votes, seats):
     q = [0] * len(votes)
     for _ in range(seats if sum(votes) > 0 else 0):
