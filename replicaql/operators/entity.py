@@ -59,9 +59,10 @@ def fetched(df: DataFrame, entity: Entity) -> DataFrame:
     return pipe(df, entity.after_fetch)
 
 
-def scan(df: DataFrame, user_id: object = None, column: str = "user_id") -> DataFrame:
-    """All rows, deleted ones included, or one user's."""
-    return df if user_id is None else df.where(F.col(column) == F.lit(user_id))
+def scan(df: DataFrame, user_id: object = None, column: str = "user_id", entity: Entity | None = None) -> DataFrame:
+    """All rows, deleted ones included, or one user's; after an entity's transforms, if one is given."""
+    rows = df if user_id is None else df.where(F.col(column) == F.lit(user_id))
+    return rows if entity is None else fetched(rows, entity)
 
 
 def scoped(df: DataFrame, scope: Query | None = None, user_id: object = None, column: str = "user_id") -> DataFrame:

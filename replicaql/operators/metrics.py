@@ -50,7 +50,11 @@ def combined_switch(parts: DataFrame) -> DataFrame:
     return parts.agg(F.bool_and("success").alias("success"), F.sum("handled").alias("handled"), F.when(F.count("error") > 0, errors).alias("errors"))
 
 
+def state(reachable: Column, well: Column) -> Column:
+    """offline before degraded before healthy."""
+    return F.when(~reachable, "offline").when(~well, "degraded").otherwise("healthy")
+
+
 def health(parts: DataFrame) -> DataFrame:
-    """parts: reachable, local_ok, remote_ok -> offline before degraded before healthy."""
-    status = F.when(~F.bool_and("reachable"), "offline").when(~F.bool_and(F.col("local_ok") & F.col("remote_ok")), "degraded").otherwise("healthy")
-    return parts.agg(status.alias("health"))
+    """parts: reachable, local_ok, remote_ok -> the worst state of all."""
+    return parts.agg(state(F.bool_and("reachable"), F.bool_and(F.col("local_ok") & F.col("remote_ok"))).alias("health"))

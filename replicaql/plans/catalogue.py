@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import changes, entity, hashtree, integrity, metrics, migrate, paging, reconcile, relations, results
+from ..operators import changes, entity, hashtree, integrity, metrics, migrate, paging, rawscan, reconcile, relations, results
 from ..operators.relations import BelongsTo, HasMany, HasOne, ManyToMany
-from ..sources import scratch
+from ..sources import adapter, scratch
 from ..streaming import deltas, external, live
 from ..streaming.sink import Version
 from .compiler import apply, count, first
@@ -513,6 +513,30 @@ def _(spark, d):
     return migrate.migrate(_t(spark, d, "part"), steps, 1, 3)
 
 
+@_register(
+    "m_raw_scan",
+    "SELECT 1 AS schema_version, p_partkey, NULL AS title, CASE WHEN p_size % 3 = 0 THEN p_size END::INTEGER AS priority, p_name AS old_name, CASE WHEN p_size % 3 <> 0 THEN 'size ' || p_size END AS old_priority FROM part WHERE p_partkey % 2 = 0 "
+    "UNION ALL SELECT 2, p_partkey, p_name, p_size, NULL, NULL FROM part WHERE p_partkey % 2 = 1",
+)
+def _(spark, d):
+    """Two schema versions: the older one's name has no column any more, and some of its priorities are no numbers."""
+    part = _t(spark, d, "part")
+    old = part.where("p_partkey % 2 = 0").select("p_partkey", F.col("p_name").alias("name"), F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("string")).otherwise(F.concat(F.lit("size "), F.col("p_size").cast("string"))).alias("priority"))
+    new = part.where("p_partkey % 2 = 1").select("p_partkey", F.col("p_name").alias("title"), F.col("p_size").alias("priority"))
+    rest = lambda c: F.try_element_at("rest", F.lit(c))
+    return rawscan.raw_scan({1: old, 2: new}).select("schema_version", "p_partkey", "title", "priority", rest("name").alias("old_name"), rest("priority").alias("old_priority"))
+
+
+@_register("q_adapter_scope", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 200000 AND o_orderkey % 3 = 0")
+def _(spark, d):
+    """A scoped remote read by way of the data source: two filters are the adapter's, one is Spark's."""
+    adapter.register(spark)
+    with adapter.pushdown(spark):
+        orders = spark.read.format(adapter.FORMAT).option("path", f"{d}/orders.parquet").option("target", "remote").load()
+        found = entity.scoped(orders, _q().where("o_orderstatus", eq="O").where("o_totalprice", gt=200000.0).build()).where("o_orderkey % 3 = 0").select("o_orderkey", "o_totalprice")
+        return scratch.written(found, "scope")
+
+
 @_register("m_target_projection", "SELECT p_partkey, p_name, p_brand FROM part")
 def _(spark, d):
     part = entity.Entity("part", local_only=("p_size", "p_type", "p_retailprice"))
