@@ -92,8 +92,9 @@ class Catalog:
             observer(event, what)
 
     def pause(self, user: str) -> None:
-        self.status[f"{user}/before"] = self.status.get(user, "idle")
-        self.status[user] = "paused"
+        if self.status.get(user) != "paused":
+            self.status[f"{user}/before"] = self.status.get(user, "idle")
+            self.status[user] = "paused"
 
     def resume(self, user: str) -> None:
         if self.status.get(user) == "paused":

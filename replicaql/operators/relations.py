@@ -63,7 +63,9 @@ def pairs(parents: DataFrame, relation, related: DataFrame, pivot: DataFrame | N
     if isinstance(relation, HasOne):
         keys = _keys(parents, relation.local_key)
         place = F.row_number().over(W.partitionBy(relation.foreign_key).orderBy(*(order or (relation.foreign_key,))))
-        one = related.withColumn("place_", place).where("place_ = 1").drop("place_")
+        # only rows of the parents are ranked
+        mine = related.join(keys, related[relation.foreign_key] == keys["parent_key"], "left_semi")
+        one = mine.withColumn("place_", place).where("place_ = 1").drop("place_")
         return keys.join(one, F.col("parent_key") == one[relation.foreign_key])
     keys = _keys(parents, relation.this_local)
     # only links of the parents; a pivot may repeat one: once is enough

@@ -17,6 +17,11 @@ SYMBOLS = {Op.EQ: "=", Op.NE: "!=", Op.GT: ">", Op.GE: ">=", Op.LT: "<", Op.LE:
 PATTERNS = {Op.CONTAINS: "%{}%", Op.CONTAINS_CI: "%{}%", Op.STARTS: "{}%", Op.ENDS: "%{}"}
 
 
+def quoted(name: str) -> str:
+    """An identifier; quotes in a name are doubled."""
+    return '"' + name.replace('"', '""') + '"'
+
+
 class _Writer:
     def __init__(self, dialect: str, custom: Custom | None, placeholder: Callable[[int], str] | None):
         self.dialect, self.custom, self.params, self.used = dialect, custom, [], 0
@@ -47,7 +52,7 @@ class _Writer:
         return own if own is not None else self.filter(c)
 
     def filter(self, f: Filter) -> str:
-        name = f'"{f.field}"'
+        name = quoted(f.field)
         if f.op in (Op.NULL, Op.NOT_NULL):
             return f"{name} IS {'NOT ' * (f.op is Op.NOT_NULL)}NULL"
         if f.op in (Op.IN, Op.NOT_IN):
@@ -69,11 +74,11 @@ def to_sql(query: Query, table: str, dialect: str = "sqlite", custom: Custom | N
     if dialect == "custom" and placeholder is None:
         raise ValueError("a custom dialect needs a placeholder function")
     w = _Writer(dialect, custom, placeholder)
-    parts = [f'SELECT * FROM "{table}"']
+    parts = [f"SELECT * FROM {quoted(table)}"]
     if query.filters:
         parts.append("WHERE " + f" {query.logic.value} ".join(map(w.condition, query.filters)))
     if query.sorting:
-        parts.append("ORDER BY " + ", ".join(f'"{s.field}" {"DESC" if s.descending else "ASC"} NULLS {"FIRST" if s.nulls_first else "LAST"}' for s in query.sorting))
+        parts.append("ORDER BY " + ", ".join(f'{quoted(s.field)} {"DESC" if s.descending else "ASC"} NULLS {"FIRST" if s.nulls_first else "LAST"}' for s in query.sorting))
     parts += [f"LIMIT {query.limit}"] * (query.limit is not None) + [f"OFFSET {query.offset}"] * (query.offset is not None)
     return " ".join(parts), w.params
 

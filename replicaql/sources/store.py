@@ -6,6 +6,7 @@ go through Hadoop's FileSystem, so any store that Spark reads will do.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from ..errors import SourceError
 
 ATTEMPTS = 10
+#: Seconds that a writer has between making a marker and filling it.
+UNDONE = 600
 
 
 class SnapshotStore:
@@ -27,11 +30,11 @@ class SnapshotStore:
         return p.getFileSystem(conf), p
 
     def versions(self) -> list[int]:
-        """Committed versions in order (each has a marker)."""
+        """Committed versions in order: each has a marker, and one without text is a commit that isn't done."""
         fs, p = self._fs(f"{self.root}/_commits")
         if not fs.exists(p):
             return []
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit())
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit() and s.getLen() > 0)
 
     def current(self) -> int | None:
         return (self.versions() or [None])[-1]
@@ -43,10 +46,14 @@ class SnapshotStore:
         return self.spark.read.parquet(f"{self.root}/{self._folder(version)}")
 
     def _claim(self, number: int, folder: str) -> bool:
-        """Makes a version's marker, which names its folder; False if another writer has made it."""
+        """Makes a version's marker, which names its folder; False if another writer has made it. An empty marker that is older than
+        UNDONE is what a writer left that died, and goes."""
         fs, marker = self._fs(f"{self.root}/_commits/{number}")
         if fs.exists(marker):
-            return False
+            held = fs.getFileStatus(marker)
+            if held.getLen() > 0 or time.time() - held.getModificationTime() / 1000 < UNDONE:
+                return False
+            fs.delete(marker, False)
         try:
             out = fs.create(marker, False)
         except Exception:

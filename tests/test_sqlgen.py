@@ -75,3 +75,8 @@ def test_builder():
         q().where("a", like="x")
     assert Query(limit=3).replace(limit=None, offset=1) == Query(limit=3, offset=1)
     assert Composite(Logic.AND).conditions == ()
+
+
+def test_quotes_in_names():
+    q = QueryBuilder().where('a" OR 1=1 --', eq=1).order_by('b"c').build()
+    assert to_sql(q, 't"; DROP TABLE x; --') == ('SELECT * FROM "t""; DROP TABLE x; --" WHERE "a"" OR 1=1 --" = ? ORDER BY "b""c" ASC NULLS LAST', [1])

@@ -135,3 +135,31 @@ def test_cursor_and_cases(spark):
     assert scalars.deep_columns(df).schema["some_map"].dataType.names == ["inner_name"]
     steps = entity.Entity("t", before_save=(lambda d: d.withColumn("b", F.col("b") + 1),), after_fetch=(lambda d: d.where("b > 9"),))
     assert entity.fetched(entity.saved(df, steps), steps).count() == 1
+
+
+def test_a_commit_that_died(spark, tmp_path, monkeypatch):
+    """An empty marker is no version: readers pass over it, and once it is old the next writer takes its place."""
+    store = SnapshotStore(spark, f"file://{tmp_path}/t")
+    store.write(spark.range(1))
+    (tmp_path / "t/_commits/2").write_text("")
+    assert store.versions() == [1] and store.read().count() == 1 and store.write(spark.range(3)) == 3
+    (tmp_path / "t/_commits/4").write_text("")
+    monkeypatch.setattr("replicaql.sources.store.UNDONE", -1)
+    assert store.transaction(lambda df: df.union(spark.range(10, 11))) == 4 and store.read().count() == 4
+
+
+def test_pause_twice():
+    c = orchestrate.Catalog()
+    c.pause("u")
+    c.pause("u")
+    c.resume("u")
+    assert c.status["u"] == "idle"
+
+
+def test_store_by_user(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/t")
+    rows = lambda *x: spark.createDataFrame(x, "user_id string, id long")
+    store.write(rows(("u", 1), ("u", 2), ("w", 1), (None, 5)))
+    store.replace_user(rows(("u", 9)), "u")
+    assert sorted(map(tuple, store.read().collect()), key=str) == sorted([("u", 9), ("w", 1), (None, 5)], key=str)
+    assert sorted(map(tuple, changes.clear_user(store.read(), "u").collect()), key=str) == sorted([("w", 1), (None, 5)], key=str)
