@@ -3,9 +3,9 @@
 Each document gets word, symbol, duplicate-line and repetition counts. Failing a hard rule (too few words, mostly
 repeated three-word windows) rejects the document itself. Soft rules (symbols, duplicate lines, odd word lengths) count
 for its host: the host's failure rate is shrunk towards the corpus by a beta prior fitted by moments, and a host whose
-rate lies so far below the corpus's that doubts standard deviations of its posterior fit in between is trusted. The soft
-rules are waived there and hold everywhere else, so a host of few documents can't earn trust. Clean documents of any
-host stay.
+rate lies so far below the corpus's that doubts standard deviations of its posterior fit in between is trusted, one that lies as far
+above it is distrusted. The soft rules are waived on trusted hosts and held at two thirds of their limits on distrusted ones, where
+borderline documents go too; a host of few documents earns neither. Clean documents of any host stay.
 
 Defined results: a null text has no words and fails; a null host is a host of its own; repeated rows are separate
 rows; an empty table gives an empty result. Extra columns are passed through by filter_documents().
@@ -59,11 +59,11 @@ def counts(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source") ->
 
 
 def verdicts(measured: DataFrame, min_words: int = 50, max_repeat: int = 50, doubts: float = 1.0) -> DataFrame:
-    """Adds base_failed, soft_failed, host_rate (shrunk), trusted and kept."""
+    """Adds base_failed, soft_failed, borderline, host_rate (shrunk), trusted, distrusted and kept."""
     n = F.col("n_words")
-    rules = measured.withColumn("base_failed", (n < min_words) | (100 * F.col("n_repeat_words") > max_repeat * n)).withColumn(
-        "soft_failed", (F.col("n_symbols") * 2 > n) | (F.col("n_dup_lines") * 2 > F.col("n_lines")) | (F.col("word_chars") > 20 * n) | (F.col("word_chars") < 2 * n)
-    )
+    many = lambda k: (F.col("n_symbols") * k > n) | (F.col("n_dup_lines") * k > F.col("n_lines"))
+    odd = (F.col("word_chars") > 20 * n) | (F.col("word_chars") < 2 * n)
+    rules = measured.withColumn("base_failed", (n < min_words) | (100 * F.col("n_repeat_words") > max_repeat * n)).withColumns({"soft_failed": many(2) | odd, "borderline": many(3) | odd})
     hosts = rules.groupBy("host").agg(F.count("*").alias("docs"), F.sum((F.col("base_failed") | F.col("soft_failed")).cast("long")).alias("failed"))
     hosts = written(hosts, "hosts")
     m, v = hosts.agg(F.sum("failed") / F.sum("docs"), F.var_pop(F.col("failed") / F.col("docs"))).first()
@@ -71,10 +71,11 @@ def verdicts(measured: DataFrame, min_words: int = 50, max_repeat: int = 50, dou
     strength = min(max(m * (1 - m) / max(v or 0.0, 1e-9) - 1, 2.0), 1e4)  # pseudo-documents of the prior
     rate = F.col("host_rate")
     hosts = hosts.withColumn("host_rate", (F.col("failed") + strength * m) / (F.col("docs") + strength))
-    hosts = hosts.select(F.col("host").alias("host_"), "host_rate", (rate + doubts * F.sqrt(rate * (1 - rate) / (F.col("docs") + strength + 1)) < m).alias("trusted"))
+    doubt = doubts * F.sqrt(rate * (1 - rate) / (F.col("docs") + strength + 1))
+    hosts = hosts.select(F.col("host").alias("host_"), "host_rate", (rate + doubt < m).alias("trusted"), (rate - doubt > m).alias("distrusted"))
     # beyond the size of a broadcast a hot host is split by the engine: only the left side is large
     joined = rules.join(small(hosts, F.lit(48) + F.coalesce(F.octet_length("host_"), F.lit(0))), rules["host"].eqNullSafe(F.col("host_")), "left").drop("host_")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("soft_failed") & ~F.col("trusted")))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("soft_failed") & ~F.col("trusted")) & ~(F.col("borderline") & F.col("distrusted")))
 
 
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source") -> DataFrame:
@@ -99,12 +100,13 @@ rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2
 c AS (SELECT w.r, doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep ON w.r = rep.r),
 rules AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  n_symbols * 2 > n_words OR n_dup_lines * 2 > n_lines OR word_chars > 20 * n_words OR word_chars < 2 * n_words AS soft_failed FROM c),
+  n_symbols * 2 > n_words OR n_dup_lines * 2 > n_lines OR word_chars > 20 * n_words OR word_chars < 2 * n_words AS soft_failed,
+  n_symbols * 3 > n_words OR n_dup_lines * 3 > n_lines OR word_chars > 20 * n_words OR word_chars < 2 * n_words AS borderline FROM c),
 hosts AS (SELECT source, count(*)::DOUBLE AS docs, (count(*) FILTER (base_failed OR soft_failed))::DOUBLE AS failed FROM rules GROUP BY source),
 mean AS (SELECT least(greatest(sum(failed) / sum(docs), 1e-6), 1 - 1e-6) AS m, var_pop(failed / docs) AS v FROM hosts),
 prior AS (SELECT m, least(greatest(m * (1 - m) / greatest(v, 1e-9) - 1, 2.0), 1e4) AS s FROM mean),
 rates AS (SELECT source, docs, m, s, (failed + s * m) / (docs + s) AS rate FROM hosts, prior),
-trust AS (SELECT source, rate + sqrt(rate * (1 - rate) / (docs + s + 1)) < m AS trusted FROM rates)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (soft_failed AND NOT trusted) AS kept
+trust AS (SELECT source, rate + sqrt(rate * (1 - rate) / (docs + s + 1)) < m AS trusted, rate - sqrt(rate * (1 - rate) / (docs + s + 1)) > m AS distrusted FROM rates)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (soft_failed AND NOT trusted) AND NOT (borderline AND distrusted) AS kept
 FROM rules JOIN trust ON rules.source IS NOT DISTINCT FROM trust.source"""
 ORACLE_SQL = {"op8_host_rules": _SQL}

@@ -204,6 +204,12 @@ def test_host_trust(spark):
         rate = (b + s * m) / (n + s)
         assert got[h][0] == pytest.approx(rate) and got[h][1] == (rate + math.sqrt(rate * (1 - rate) / (n + s + 1)) < m)
     assert got["d"][1] and not got["b"][1] and not got["c"][1]
+    # symmetric: b and the nameless host are credibly worse, c has too few documents to tell
+    border = " ".join(f"word{i}" + "#" * (i % 5 < 2) for i in range(80))  # 32 signs in 80 words: within the limits, not within two thirds of them
+    docs = spark.createDataFrame([*rows, *[(1000 + i, border, h, "") for i, h in enumerate(sizes)]], KINDS)
+    kept = {(r.host, r.id): (r.kept, r.soft_failed, r.borderline, r.distrusted) for r in host_rules.verdicts(host_rules.counts(docs)).collect()}
+    assert {h: kept[h, 1000 + i] for i, h in enumerate(sizes)} == {h: (h not in ("b", None), False, True, h in ("b", None)) for h in sizes}
+    assert all(k for (h, i), (k, soft, edge, _) in kept.items() if not soft and not edge)
 
 
 def test_restore_by_brute_force_and_on_long_tokens():
