@@ -181,7 +181,7 @@ def test_long_texts_of_lines(spark):
     df = _frame(spark, [(0, many), (1, "x " * 500_000), (2, "x " * 500_000), (3, "y\n" * 30_000)])
     got = {r.doc_id: r for r in line_chunks.remove(df).collect()}
     assert got[0].n_lines == 100_000 and got[0].n_removed == 30_000 and (got[1].n_removed, got[2].n_removed) == (0, 1) and got[2].text == ""
-    assert got[3].n_lines == 30_001 and got[3].text.replace("\n", "") == "y" * 50
+    assert got[3].n_lines == 30_001 and got[3].text.replace("\n", "") == "y"  # equal chunks overlap: the first line is in none that goes
 
 
 def _quotients(votes, seats):
