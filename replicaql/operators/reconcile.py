@@ -66,7 +66,8 @@ def decided(choice: Column) -> Resolver:
 
 
 def matched(local: DataFrame, remote: DataFrame, user: object = None, resolver: Resolver = last_write_wins, key: str = "id", each: bool = False) -> DataFrame:
-    """key, h, l, r, kind, action: every row of both replicas once, by one full outer join on (user_id, key).
+    """key, h, l, r, kind, action: every row of both replicas once, by one full outer join on (user_id, key), before which remote rows
+    meet the holders of their keys.
 
     h is the local row with the remote row's user and key, r the remote row. l is what r is compared with: h, or where r is
     not its user's, the local row of the same key (of the smallest user, if each), to which it is a mismatch. each: every remote row is
@@ -75,21 +76,17 @@ def matched(local: DataFrame, remote: DataFrame, user: object = None, resolver:
     """
     names = ["user_id", key]
     single_user = not each and user is not None
-    here, there = single(local, names, "a local row"), single(remote, names, "a remote row")
+    # by key alone: the row to which a remote row without a row of its own user is a mismatch; a key's rows are combined before they move
+    holders = (local.where(F.col("user_id") == F.lit(user)) if single_user else local).groupBy(F.col(key).alias("held_")).agg(F.min_by(F.struct(*local.columns), "user_id").alias("m_"))
+    there = single(remote.join(holders, F.col(key) == F.col("held_"), "left").drop("held_"), names, "a remote row")
+    here = single(local, names, "a local row")
     a = here.select(F.struct(*local.columns).alias("h"), *[F.col(c).alias(f"h_{c}") for c in names])
-    b = there.select(F.struct(*remote.columns).alias("r"), *[F.col(c).alias(f"r_{c}") for c in names])
+    b = there.select(F.struct(*remote.columns).alias("r"), "m_", *[F.col(c).alias(f"r_{c}") for c in names])
     both = a.join(b, F.col("h_user_id").eqNullSafe(F.col("r_user_id")) & F.col(f"h_{key}").eqNullSafe(F.col(f"r_{key}")), "full_outer")
-    both = both.select(F.coalesce(f"r_{key}", f"h_{key}").alias(key), "h", "r")
-    # remote rows that meet no row of their user: only these are looked up by key alone
-    foreign = F.col("r").isNotNull() & (~F.col("r.user_id").eqNullSafe(F.lit(user)) if single_user else F.col("h").isNull())
-    own = both.where(~foreign).withColumn("l", F.when(F.col("r").isNotNull(), F.col("h"))).select(key, "h", "l", "r")
-    lost = both.where(foreign)
-    holders = local.where(F.col("user_id") == F.lit(user)) if single_user else local
-    # only the rows that are asked for are grouped: users may share keys, so a key's rows are many
-    asked = lost.select(F.col(key).alias("asked_")).distinct()
-    holders = holders.join(asked, F.col(key) == F.col("asked_"), "left_semi").groupBy(F.col(key).alias("held_")).agg(F.min_by(F.struct(*local.columns), "user_id").alias("l"))
-    lost = lost.join(holders, F.col(key) == F.col("held_"), "left").select(key, "h", "l", "r")
-    found = own.unionByName(lost).withColumn("kind", kind(F.lit(user)) if single_user else kind())
+    foreign = ~F.col("r.user_id").eqNullSafe(F.lit(user)) if single_user else F.col("h").isNull()
+    lead = F.when(F.col("r").isNull(), None).when(foreign, F.col("m_")).otherwise(F.col("h"))
+    found = both.select(F.when(F.col("r").isNotNull(), F.col(f"r_{key}")).otherwise(F.col(f"h_{key}")).alias(key), "h", lead.alias("l"), "r")
+    found = found.withColumn("kind", kind(F.lit(user)) if single_user else kind())
     plain = F.when(F.col("l").isNull(), "create").otherwise("update")
     action = F.when(F.col("r").isNull(), "keep").when(F.col("kind") == NONE, plain).otherwise(resolver(F.col("l"), F.col("r"), F.col("kind")))
     return found.withColumn("action", action)
