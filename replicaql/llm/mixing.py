@@ -6,11 +6,12 @@
    sources get seats by the highest Sainte-Lague quotients, then the hash shards of a source (about shard_words words
    each, so a hot source is many shards) get the source's seats the same way. The divisors behind the quotients are
    found by bisection over the tables of sources and of shards; ties go to the earlier source or shard.
-3. A shard's documents in seeded order are one stream of words cut into blocks; a quota of q takes a seeded selection
-   of q blocks, a last block that is not full only after all others.
+3. A shard's documents in seeded order are one stream of words cut into blocks; a quota of q takes q blocks at equal steps
+   from a seeded start, a last block that is not full only after all others. How many blocks before a place are taken is
+   a quotient, so a document's words are counted without its blocks.
 
 Rows with the same id, text and source are one document of that many copies, so a hot row is one row of the stream; its
-copies share what it takes, to the word.
+copies share what it takes, to the word, and leave in parts of COPIES, dealt over tasks.
 
 Defined results: a null text has size 0 and takes 0; null is a source of its own, last in order; repeated rows stay
 separate rows; an empty table gives an empty result; other columns, whatever their names, pass through
@@ -19,7 +20,7 @@ mixed_documents(). Only sums and one row for each partition of sources reach the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ BLOCK_WORDS = 64
 SHARD_WORDS = 100_000
 SEED = 42
 WAYS, ROUNDS = 24, 16  # divisors tried at once, and how often
-_STEP = 2_147_483_647  # a prime above any number of blocks in a shard, so that multiples visit every block
+COPIES = 10_000  # rows with more copies are dealt in parts of so many
 
 
 def numbered(sources: DataFrame) -> DataFrame:
@@ -92,6 +93,16 @@ def sainte_lague(rows: DataFrame, by: list[str], votes: str, seats: str, order:
     return won.withColumn("quota", F.col("_q") + F.when(F.col("_order").isNotNull(), 1).otherwise(0)).drop("_lo", "_hi", "_found", "_q", "_order", *[f"_by_{c}" for c in by])
 
 
+def taken_before(at: Column, block: int) -> Column:
+    """Words taken of a shard's first `at` words. Of n full blocks, block k is among the q taken if (k + turn) q / n and
+    (k + 1 + turn) q / n differ in their whole parts, which q of any n neighbours do."""
+    share = F.least("quota", "full")
+    passed = lambda k: F.call_function("div", (F.least(k, F.col("full")) + F.col("turn")) * share, F.greatest(F.lit(1), "full"))
+    k = F.call_function("div", at, F.lit(block))
+    begun = F.when(k < F.col("full"), passed(k + 1) > passed(k)).otherwise(F.col("quota") > F.col("full"))
+    return (passed(k) - passed(F.lit(0))) * block + F.when(begun, at - k * block).otherwise(0)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED, max_repeats: int = 3) -> DataFrame:
     """id, source, text_key, size, source_size, target, rows (how many are equal) and taken (words of all of them)."""
     slim = docs.select(
@@ -117,20 +128,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     placed = placed.withColumn("end", F.sum(long).over(stream)).withColumn("start", F.col("end") - long)
     placed = placed.join(quotas, ["source_no", "shard"], "left")
     full = F.floor(F.col("shard_size") / block)  # blocks that are full; one more may not be
-    placed = placed.withColumn("n", F.greatest(F.lit(1), full)).withColumn("full", full).withColumn("turn", F.pmod(F.xxhash64(F.lit(seed), "source_no", "shard"), F.col("n")))
-    chosen = lambda k: F.when(k < F.col("full"), (k * _STEP + F.col("turn")) % F.col("n") < F.col("quota")).otherwise(F.col("quota") > F.col("full"))
-    part = F.aggregate(
-        F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block)), F.lit(0).cast("long"),
-        lambda acc, k: acc + F.when(chosen(k), F.least(F.col("end"), (k + 1) * block) - F.greatest(F.col("start"), k * block)).otherwise(0),
-    )
+    placed = placed.withColumn("full", full).withColumn("turn", F.pmod(F.xxhash64(F.lit(seed), "source_no", "shard"), F.greatest(F.lit(1), "full")))
+    part = taken_before(F.col("end"), block) - taken_before(F.col("start"), block)
     taken = F.when(F.col("size") > 0, long * F.col("whole") + F.when(F.col("whole") < max_repeats, part).otherwise(0)).otherwise(0).cast("long")
     return placed.select("id", "source", "text_key", "size", "source_size", "target", "rows", taken.alias("taken"))
 
 
 def mixed_rows(plan: DataFrame) -> DataFrame:
     """One row for each row that was mixed: equal ones share the words that they take."""
-    each = plan.withColumn("no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    return each.withColumn("taken", F.floor(F.col("taken") / F.col("rows")) + F.when(F.col("no") <= F.col("taken") % F.col("rows"), 1).otherwise(0)).drop("no", "rows")
+    plan = written(plan, "plan")
+    few = plan.where(F.col("rows") <= COPIES).withColumn("_from", F.lit(0).cast("long"))
+    many = plan.where(F.col("rows") > COPIES).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(COPIES).cast("long"))))
+    parts = few.unionByName(many.repartition("id", "text_key", "source", "_from"))
+    each = parts.withColumn("no", F.explode(F.sequence(F.col("_from") + 1, F.least(F.col("_from") + COPIES, "rows"))))
+    return each.withColumn("taken", F.floor(F.col("taken") / F.col("rows")) + F.when(F.col("no") <= F.col("taken") % F.col("rows"), 1).otherwise(0)).drop("no", "rows", "_from")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from replicaql.llm import anisotropic, licenses, line_chunks, mixing, partenum
 
@@ -228,6 +229,33 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_documents(df).columns == df.columns
 
 
+def test_blocks_before_a_place(spark):
+    """Counted by quotients or block by block, a shard gives up as many words, and its quota of blocks in all."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        size = rng.randint(1, 900)
+        full = size // 64
+        rows.append((i, size, full, rng.randint(0, full + (size % 64 > 0)), rng.randrange(max(1, full)), rng.randint(0, size)))
+    df = spark.createDataFrame(rows, "i long, size long, full long, quota long, turn long, at long")
+    for r in df.select("*", mixing.taken_before(F.col("at"), 64).alias("got"), mixing.taken_before(F.col("size"), 64).alias("whole")).collect():
+        q, n = min(r.quota, r.full), max(1, r.full)
+        blocks = [(k + 1 + r.turn) * q // n > (k + r.turn) * q // n for k in range(r.full)] + [r.quota > r.full]
+        assert sum(blocks) == r.quota
+        assert r.got == sum(blocks[w // 64] for w in range(r.at)) and r.whole == sum(blocks[w // 64] for w in range(r.size))
+
+
+def test_mix_of_a_hot_row(spark, monkeypatch):
+    """A row of a million copies of a hundred words is counted without its blocks; copies that leave in parts are all there."""
+    monkeypatch.setattr(mixing, "COPIES", 1000)
+    hot = spark.range(1_000_000).select(F.lit(1).alias("doc_id"), F.lit("h").alias("source"), F.repeat(F.lit("w "), 100).alias("text"))
+    rest = spark.range(1000).select(F.col("id") + 2, F.lit("a"), F.repeat(F.lit("v "), 50))
+    rows = mixing.mixed_rows(mixing.mix(hot.union(rest))).groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("taken").alias("most")).collect()
+    got = {r.source: r for r in rows}
+    assert got["h"].n == 1_000_000 and got["a"].n == 1000 and got["a"].taken == 150_000 and got["h"].most <= 300
+    assert abs(got["h"].taken - got["h"].target) <= 64 and got["h"].taken + got["a"].taken <= 100_050_000 + 64
+
+
 def test_mix_of_capped_sources(spark):
     """Targets that stop at three times their source, sources of less than a block, and clashing columns."""
     rows = [(0, "w " * 30, "a", "x"), (1, "w " * 5, "b", "y"), (2, "w " * 40, "c", "z"), (3, "v " * 900, "d", "z")]
