@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -169,7 +169,14 @@ def replay(base: DataFrame, ops: DataFrame, columns: Sequence[str], key: str = "
     return both.select(key, end.alias("end")).where("end.there").select(key, *[F.col(f"end.row.{c}").alias(c) for c in columns])
 
 
-def outcomes(attempts: DataFrame, max_retries: int = 3) -> DataFrame:
-    """Adds outcome (synced, retry, dead) and the next retry_count. attempts: error (null if none), retryable, retry_count."""
-    retry = F.col("error").isNotNull() & F.coalesce("retryable", F.lit(False)) & (F.col("retry_count") < max_retries)
+def outcomes(attempts: DataFrame, max_retries: int = 3, should_retry: Column | None = None, backoff: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Adds outcome (synced, retry, dead) and the next retry_count. attempts: error (null if none), retryable, retry_count.
+
+    should_retry: a test of an attempt's columns in place of retryable; one that is null doesn't retry. backoff: milliseconds to wait before
+    the attempt of a number, any function of Columns; it adds delay_ms, null where nothing is retried.
+    """
+    wanted = F.coalesce(F.col("retryable") if should_retry is None else should_retry, F.lit(False))
+    retry = F.col("error").isNotNull() & wanted & (F.col("retry_count") < max_retries)
+    if backoff is not None:
+        attempts = attempts.withColumn("delay_ms", F.when(retry, F.greatest(backoff(F.col("retry_count") + 1), F.lit(0))).cast("long"))
     return attempts.withColumn("outcome", F.when(F.col("error").isNull(), "synced").when(retry, "retry").otherwise("dead")).withColumn("retry_count", F.col("retry_count") + retry.cast("int"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..errors import ReplicaError
+from ..errors import EntityNotFound, ReplicaError
 from ..plans.compiler import apply
 from ..plans.model import Query
 
@@ -85,6 +85,22 @@ def lookup_many(df: DataFrame, ids: DataFrame | Sequence, column: str = "id") ->
     return df.join(ids.select(column).distinct(), column, "left_semi") if isinstance(ids, DataFrame) else df.where(F.col(column).isin(list(ids)))
 
 
+def read(df: DataFrame, key: object, column: str = "id") -> Row:
+    """The row of a key; none is an error."""
+    row = lookup(df, key, column).first()
+    if row is None:
+        raise EntityNotFound(f"no row with {column} {key}")
+    return row
+
+
+def required(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
+    """Rows with the given ids; an id without a row fails the job, which names it."""
+    wanted = ids.select(F.col(column).alias("wanted_")).distinct()
+    found = df.withColumn("there_", F.lit(True)).join(wanted, F.col(column) == F.col("wanted_"), "right")
+    lost = F.raise_error(F.concat(F.lit(f"no row with {column} "), F.coalesce(F.col("wanted_").cast("string"), F.lit("null")))).cast("boolean")
+    return found.where(F.when(F.col("there_").isNull(), lost).otherwise(F.lit(True))).select(*df.columns)
+
+
 def users(df: DataFrame, column: str = "user_id") -> DataFrame:
     return df.select(column).distinct()
 

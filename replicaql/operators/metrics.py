@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -44,6 +45,19 @@ def totals(rows: DataFrame, user: str, entity: str, size: str) -> DataFrame:
     return rows.rollup(user, entity).agg(F.count("*").alias("items"), F.sum(size).alias("bytes"))
 
 
+def startup(tables: dict[str, DataFrame], queues: dict[str, DataFrame], size: Callable[[DataFrame], Column] | None = None, user: str = "user_id") -> DataFrame:
+    """user_id, entity, items, bytes and pending of each table and its queue, with subtotals of users and the grand total (nulls), as
+    they are before a synchronisation. size: of a row; JSON characters if not given."""
+    parts = []
+    for name, df in tables.items():
+        n = F.length(F.to_json(F.struct("*"))) if size is None else size(df)
+        parts.append(df.select(F.col(user).alias("user_id"), F.lit(name).alias("entity"), n.cast("long").alias("bytes"), F.lit(0).alias("waits")))
+    for name, df in queues.items():
+        parts.append(df.select(F.col(user).alias("user_id"), F.lit(name).alias("entity"), F.lit(None).cast("long").alias("bytes"), F.lit(1).alias("waits")))
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.rollup("user_id", "entity").agg(F.count_if(F.col("waits") == 0).alias("items"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.sum("waits").alias("pending"))
+
+
 def combined_switch(parts: DataFrame) -> DataFrame:
     """One result of several user switches: success of all, handled rows, errors joined by '; '."""
     errors = F.array_join(F.array_sort(F.collect_list("error")), "; ")

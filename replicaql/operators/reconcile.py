@@ -115,6 +115,20 @@ def pull(found: DataFrame, merge: Callable[[Column, Column], Sequence[Column]] |
     return found.select(kept.alias("x")).where("x is not null").select("x.*")
 
 
+def resolutions(found: DataFrame, merge: Callable[[Column, Column], Sequence[Column]] | None = None, key: str = "id") -> DataFrame:
+    """key, user_id (of the remote row), kind and resolution of each conflict of matched() or classify(): strategy, data (the row that it
+    ends with, null if none does), requires_user_input and message (why it waits or aborts)."""
+    lost = found.where((F.col("kind") != NONE) & F.col("r").isNotNull())
+    row = lost.schema["r"].dataType
+    merged = F.lit(None).cast(row) if merge is None else F.struct(*[m.alias(c) for c, m in zip(row.names, merge(F.col("l"), F.col("r")), strict=True)])
+    is_ = lambda s: F.col("action") == s
+    held = F.struct(*[F.col(f"l.{c}").alias(c) for c in row.names])
+    data = F.when(is_(TAKE_LOCAL) & F.col("l").isNotNull(), held).when(is_(TAKE_REMOTE), F.col("r")).when(is_(MERGE), merged)
+    where = F.concat(F.col("kind"), F.lit(" of "), F.col(key).cast("string"))
+    message = F.when(is_(ASK), F.concat(where, F.lit(" needs a choice"))).when(is_(ABORT), F.concat(where, F.lit(" has no side to take")))
+    return lost.select(key, F.col("r.user_id").alias("user_id"), "kind", F.struct(F.col("action").alias("strategy"), data.alias("data"), is_(ASK).alias("requires_user_input"), message.alias("message")).alias("resolution"))
+
+
 def pull_metrics(sized: Sequence[str] | None = None) -> list[Column]:
     """What a pull of matched() rows comes to: conflicts_resolved (every conflict, however it ended), written, bytes_pulled
     (JSON characters of plain rows, of the columns sized or all), pulled (remote rows) and one count for each kind of conflict."""

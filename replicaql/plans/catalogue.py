@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import changes, entity, hashtree, integrity, metrics, migrate, paging, rawscan, reconcile, relations, results
+from ..operators import changes, entity, hashtree, integrity, metrics, migrate, paging, rawscan, reconcile, relations, results, writesync
 from ..operators.relations import BelongsTo, HasMany, HasOne, ManyToMany
 from ..sources import adapter, scratch
 from ..streaming import deltas, external, live
@@ -261,6 +261,14 @@ def _(spark, d):
     return metrics.totals(_t(spark, d, "events").withColumn("size", F.col("event_id") % 100), "user_id", "event_type", "size")
 
 
+@_register("a_startup_totals", "SELECT user_id, entity, count(bytes) AS items, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes, CAST(sum(waits) AS BIGINT) AS pending FROM (SELECT o_custkey AS user_id, 'orders' AS entity, length(o_orderstatus) AS bytes, 0 AS waits FROM orders UNION ALL SELECT user_id, 'events', length(event_type), 0 FROM events UNION ALL SELECT user_id, 'events', NULL, 1 FROM events WHERE event_type <> 'view') GROUP BY ROLLUP (user_id, entity)")
+def _(spark, d):
+    """Items, bytes and pending operations before a synchronisation."""
+    orders = _t(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("payload"))
+    events = _t(spark, d, "events").select("user_id", F.col("event_type").alias("payload"))
+    return metrics.startup({"orders": orders, "events": events}, {"events": events.where("payload <> 'view'")}, lambda df: F.length("payload"))
+
+
 @_register("a_running_bytes", "SELECT event_id, user_id, CAST(sum(event_id % 100) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) total_bytes FROM events")
 def _(spark, d):
     rows = _t(spark, d, "events").select("event_id", "user_id", (F.col("event_id") % 100).alias("size"))
@@ -383,6 +391,58 @@ def _(spark, d):
     return results.last(spark, path).select("user_id", "synced", "conflicts_resolved", "bytes_pulled")
 
 
+_CHOICE = "CASE WHEN id % 4 = 0 THEN 'takeRemote' WHEN id % 4 = 1 THEN 'takeLocal' WHEN id % 4 = 2 THEN 'merge' END"
+
+
+@_register("s_resolutions", f"SELECT id, user_id, kind, coalesce(choice, 'askUser') AS strategy, CASE choice WHEN 'takeRemote' THEN amt WHEN 'takeLocal' THEN lamt WHEN 'merge' THEN greatest(amt, lamt) END AS amt, choice IS NULL AS asks, CASE WHEN choice IS NULL THEN kind || ' of ' || id || ' needs a choice' END AS message FROM (SELECT *, {_CHOICE} AS choice FROM ({_BOTH})) WHERE kind <> 'none'")
+def _(spark, d):
+    """Each conflict with what its resolution is, ends with, and waits for."""
+    local, remote = _replicas(spark, d)
+    found = reconcile.classify(local, remote, resolver=reconcile.decided(F.expr(_CHOICE)), each=True)
+    merge = lambda l, r: [r["id"], r["user_id"], F.greatest(l["amt"], r["amt"]), r["version"], r["is_deleted"], r["modified_at"]]
+    x = "resolution."
+    return reconcile.resolutions(found, merge).select("id", "user_id", "kind", x + "strategy", x + "data.amt", F.col(x + "requires_user_input").alias("asks"), x + "message")
+
+
+_PUSHED = "select o_orderkey div 2 as id, 2 * o_custkey + o_orderkey % 2 as user_id, o_totalprice + 2 as amt, 9 as version, false as is_deleted, 100 as modified_at from orders where o_orderkey % 5 = 0"
+_GONE = "select o_orderkey div 2 as id, 2 * o_custkey + o_orderkey % 2 as user_id from orders where o_orderkey % 6 = 0"
+_AFTER_PUSH = f"""WITH l0 AS ({_DUCK(_SHARED_LOCAL)}), r0 AS ({_DUCK(_SHARED_REMOTE)}), p AS ({_DUCK(_PUSHED)}),
+l AS (SELECT * FROM p UNION ALL SELECT * FROM l0 WHERE (user_id, id) NOT IN (SELECT (user_id, id) FROM p)),
+r AS (SELECT p.* REPLACE (CASE WHEN r0.id IS NOT NULL AND l0.is_deleted = p.is_deleted THEN r0.is_deleted ELSE p.is_deleted END AS is_deleted) FROM p LEFT JOIN l0 ON p.id = l0.id AND p.user_id = l0.user_id LEFT JOIN r0 ON p.id = r0.id AND p.user_id = r0.user_id
+  UNION ALL SELECT * FROM r0 WHERE (user_id, id) NOT IN (SELECT (user_id, id) FROM p)),
+"""
+_AFTER_DELETE = f"""WITH l0 AS ({_DUCK(_SHARED_LOCAL)}), r0 AS ({_DUCK(_SHARED_REMOTE)}), p AS ({_DUCK(_GONE)}),
+l AS (SELECT * FROM l0 WHERE (user_id, id) NOT IN (SELECT (user_id, id) FROM p)),
+r AS (SELECT * FROM r0 WHERE (user_id, id) NOT IN (SELECT (user_id, id) FROM p JOIN l0 USING (user_id, id))),
+"""
+
+
+def _synced_sql(after: str) -> str:
+    """Both replicas after the pull that follows a write."""
+    rows = "id, user_id, amt, version, is_deleted"
+    pulled = after + _SHARED[_SHARED.index("holder AS") :] + ", w AS (SELECT * FROM a WHERE action <> 'takeLocal')"
+    return f"{pulled} SELECT 'remote' AS replica, {rows} FROM r UNION ALL SELECT 'local', {rows} FROM w UNION ALL SELECT 'local', {rows} FROM l WHERE (user_id, id) NOT IN (SELECT (user_id, id) FROM w)"
+
+
+def _both_replicas(done: writesync.Synced) -> DataFrame:
+    one = lambda df, name: df.select(F.lit(name).alias("replica"), "id", "user_id", "amt", "version", "is_deleted")
+    return one(done.local, "local").unionByName(one(done.remote, "remote"))
+
+
+@_register("s_push_sync", _synced_sql(_AFTER_PUSH))
+def _(spark, d):
+    """Rows saved and synchronised at once, of users that share ids."""
+    local, remote = _view(spark, d, _SHARED_LOCAL), _view(spark, d, _SHARED_REMOTE)
+    return _both_replicas(writesync.push_and_sync(local, remote, _view(spark, d, _PUSHED), F.col("id"), F.lit(0)))
+
+
+@_register("s_delete_sync", _synced_sql(_AFTER_DELETE))
+def _(spark, d):
+    """Deletes synchronised at once: what was local goes on both sides, what only the remote side has stays there and is pulled."""
+    local, remote = _view(spark, d, _SHARED_LOCAL), _view(spark, d, _SHARED_REMOTE)
+    return _both_replicas(writesync.delete_and_sync(local, remote, _view(spark, d, _GONE), F.col("id"), F.lit(0)))
+
+
 @_register("s_diff", f"SELECT coalesce(l.id, r.id) AS id, CASE WHEN l.id IS NULL THEN 'create' WHEN r.id IS NULL THEN 'delete' WHEN l.user_id <> r.user_id OR l.version <> r.version OR l.is_deleted <> r.is_deleted THEN 'update' ELSE 'same' END AS change, CASE WHEN l.id IS NOT NULL AND r.id IS NOT NULL AND l.version <> r.version THEN CAST(r.version AS VARCHAR) END AS new_version FROM ({_LOCAL}) l FULL JOIN ({_REMOTE}) r ON l.id = r.id")
 def _(spark, d):
     local, remote = _replicas(spark, d)
@@ -420,6 +480,14 @@ def _(spark, d):
     return changes.outcomes(tries).select("event_id", "outcome", F.col("retry_count").cast("long").alias("retry_count"))
 
 
+@_register("s_retry_delays", "SELECT event_id, CASE WHEN event_type = 'view' OR event_id % 5 >= 4 THEN 'dead' ELSE 'retry' END AS outcome, CASE WHEN event_type <> 'view' AND event_id % 5 < 4 THEN (event_id % 5 + 1) * (event_id % 5 + 1) * 250 END AS delay_ms FROM events")
+def _(spark, d):
+    """Retries by a test and a backoff of the caller's own."""
+    tries = _t(spark, d, "events").select("event_id", F.col("event_type").alias("error"), (F.col("event_id") % 5).alias("retry_count"))
+    done = changes.outcomes(tries, 4, F.col("error") != "view", lambda n: n * n * 250)
+    return done.select("event_id", "outcome", "delay_ms")
+
+
 @_register("s_upsert", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 1.0 ELSE o_totalprice END AS amt FROM orders")
 def _(spark, d):
     base = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amt"))

@@ -157,3 +157,39 @@ class QueryBuilder:
 
     def build(self) -> Query:
         return Query(tuple(self._filters), tuple(self._sorting), self._limit, self._offset, self.logic)
+
+
+class FieldQuery(QueryBuilder):
+    """A builder over declared fields. Subclasses name them, fields = {name: type or types}, and add tests of their own in their terms;
+    a name that is not declared, or a value of another type, is an error when the query is built, not when it runs."""
+
+    fields: dict[str, type | tuple[type, ...]] = {}
+
+    def where(self, name: str, **tests: Any) -> FieldQuery:
+        kinds = self._declared(name)
+        for value in tests.values():
+            for x in value if isinstance(value, list | set | tuple) else (value,):
+                if x is not None and not isinstance(x, kinds):
+                    raise TypeError(f"{name} is not compared with {type(x).__name__}")
+        super().where(name, **tests)
+        return self
+
+    def where_raw(self, condition: Condition) -> FieldQuery:
+        todo = [condition]
+        while todo:
+            x = todo.pop()
+            todo += x.conditions if isinstance(x, Composite) else ()
+            if isinstance(x, Filter):
+                self._declared(x.field)
+        super().where_raw(condition)
+        return self
+
+    def order_by(self, name: str, descending: bool = False, nulls_first: bool = False) -> FieldQuery:
+        self._declared(name)
+        super().order_by(name, descending, nulls_first)
+        return self
+
+    def _declared(self, name: str) -> type | tuple[type, ...]:
+        if name not in self.fields:
+            raise AttributeError(f"{type(self).__name__} has no field {name}")
+        return self.fields[name]
