@@ -6,7 +6,8 @@ at most max_rows rows. The sample's vectors are broadcast (bounded by max_rows x
 are exact blocked products, and the k nearest vote by similarity.
 
 Defined results: null, empty and all-space texts score the training rows' share of label 1 (0.5 without any); repeated
-rows are separate rows; ties among neighbours go to any of the tied rows of the sample. Extra columns pass through
+rows are separate rows; ties among neighbours go to the earlier rows of the sample, which is in seeded order, and sample rows of equal features
+always tie. Extra columns pass through
 score_documents(), but for score, which is replaced.
 """
 
@@ -84,7 +85,9 @@ class Neighbours:
         for _ in range(6):  # subspace iteration for the leading right singular vectors
             q, _ = np.linalg.qr(x.T @ (x @ q)) if len(x) else (q, None)
         self.basis = q.astype(np.float32)
-        v = x @ self.basis
+        places: dict[bytes, int] = {}
+        self.place = np.fromiter((places.setdefault(row.tobytes(), len(places)) for row in x), np.int64, len(x))  # of equal rows, one vector
+        v = x[np.unique(self.place, return_index=True)[1]] @ self.basis
         norm = np.linalg.norm(v, axis=1, keepdims=True)
         self.vectors = v / np.maximum(norm, 1e-9)
         self.labels = np.array(labels, np.float32)
@@ -96,9 +99,11 @@ class Neighbours:
         out = np.full(len(x), self.prior)
         if not len(self.labels):
             return out
-        sims = (v / np.maximum(norm, 1e-9)[:, None]) @ self.vectors.T
+        sims = ((v / np.maximum(norm, 1e-9)[:, None]) @ self.vectors.T)[:, self.place]
         k = min(self.k, sims.shape[1])
         top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        tied = np.flatnonzero((sims >= np.take_along_axis(sims, top, 1).min(1, keepdims=True)).sum(1) > k)
+        top[tied] = np.argsort(-sims[tied], axis=1, kind="stable")[:, :k]
         w = np.maximum(np.take_along_axis(sims, top, 1), 0) ** 4
         votes = (w * self.labels[top]).sum(1) / np.maximum(w.sum(1), 1e-9)
         return np.where((norm > 1e-6) & (w.sum(1) > 1e-9), np.clip(votes, 0, 1), out)

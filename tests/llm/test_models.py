@@ -1,6 +1,7 @@
 """Katz, pieces, toxicity, quality neighbours and rules against brute force or held-out truth."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -154,6 +155,30 @@ def test_neighbours_edges(spark, docs):
     assert neighbours.Neighbours([], []).score(np.zeros((1, neighbours.N), np.float32))[0] == 0.5
 
 
+def test_neighbours_against_brute_force(spark):
+    """Every sample row is compared one by one; of equal ones the earlier count, whatever their labels."""
+    rng = random.Random(8)
+    word = lambda: rng.choice(["plain", "Words", "HERE", "junk!!", "42", "x%", "some", "text,", "of", "all"])
+    base = [" ".join(word() for _ in range(rng.randint(0, 30))) for _ in range(30)]
+    texts = [rng.choice(base) for _ in range(300)]  # each about ten times, with labels that differ
+    m = neighbours.Neighbours(texts, [rng.randint(0, 1) for _ in texts], k=15)
+    asked = [*base, *(" ".join(word() for _ in range(20)) for _ in range(60)), "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in neighbours.score_documents(df.repartition(3), m).collect()}
+    f = neighbours.Features()
+    for i, t in enumerate(asked):
+        v = (f.of(t).astype(float) * m.idf) @ m.basis.astype(float)
+        if not (t or "").split() or np.linalg.norm(v) <= 1e-6:
+            assert got[i] == m.prior
+            continue
+        sims = [float(v @ m.vectors[p].astype(float)) / np.linalg.norm(v) for p in m.place]
+        # sums of products differ in their last digits, so only neighbours that are equal in six may be told apart otherwise
+        ranked = sorted(range(len(texts)), key=lambda j: (-round(sims[j], 6), j))[:15]
+        w = [max(sims[j], 0) ** 4 for j in ranked]
+        assert got[i] == pytest.approx(sum(x * m.labels[j] for x, j in zip(w, ranked)) / sum(w), abs=1e-4), t
+    assert neighbours.score_documents(df.limit(0), m).count() == 0
+
+
 def _rules(text):
     words = (text or "").encode().split()
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
