@@ -1,4 +1,8 @@
-"""Connected components of a link table, by label propagation with pointer jumping over written tables."""
+"""Connected components of a link table, by label propagation with pointer jumping over written tables.
+
+Defined results: links may repeat, run either way or from a node to itself (then it is in the result, alone if nothing else
+links it); links with a null end must not be given; no links, no rows. Other columns of links are left out.
+"""
 
 from __future__ import annotations
 

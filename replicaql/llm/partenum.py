@@ -427,14 +427,18 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", width: int = 3, per
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component: that of the smallest id, and of texts with that id the one of smallest hash (of repeated rows, one)."""
+    """One document of each component: that of the smallest id, and of texts with that id the one of smallest hash; of rows that
+    share both, the one whose other columns (but maps) have the smallest hash, so that reruns agree."""
     sized, classes = _classes(docs, id_col, width, percent)
     several = classes.where(F.col("first") != F.col("last")).select("k_", "first")
     stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t") == F.col("first.t"))
     drop = sized.where("n > 0").join(several, F.col("k") == F.col("k_")).where(~stays)
     drop = written(drop.select(F.col("id").alias("_id"), F.col("t").alias("_t")).distinct(), "dropped")
     kept = docs.join(drop, docs[id_col].eqNullSafe(drop["_id"]) & (F.xxhash64(docs["text"]) == drop["_t"]), "left_anti")
-    return kept.dropDuplicates([id_col, "text"])
+    rest = [c for c in docs.columns if c not in (id_col, "text")]
+    order = F.xxhash64(*[F.col(f"`{c}`") for c in rest if "map<" not in docs.schema[c].dataType.simpleString()])
+    one = kept.groupBy(id_col, "text").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), order).alias("_rest")) if rest else kept.distinct()
+    return one.select(*[F.col(f"`{c}`") if c in (id_col, "text") else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def op6_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,16 @@ def test_one_row_of_each_component_stays(spark):
     assert len({(3, b), (3, b + " z")} & set(kept)) == 1 and len({(None, c), (None, c + " z")} & set(kept)) == 1
 
 
+def test_the_same_row_stays_in_every_run(spark):
+    """Of rows that share id and text one stays, the same whatever the order of rows."""
+    rows = [(i % 5, "one two three four five six seven" if i % 2 else None, f"s{i}", i, {"k": i}) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, tags map<string,int>")
+    keep = lambda df: sorted(map(str, partenum.keep_one(df).collect()))
+    first = keep(df.coalesce(1))
+    assert first == keep(df.orderBy("n_chars", ascending=False).repartition(7)) and len(first) == 6
+    assert keep(df.select("text", "doc_id")) and partenum.keep_one(df).columns == df.columns
+
+
 def test_signatures_are_shared():
     rng = np.random.default_rng(4)
     for n in (1, 5, 19, 20, 100, 700):
