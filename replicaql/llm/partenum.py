@@ -21,6 +21,8 @@ turned into all its pairs:
    buckets of the next round, without L, until every bucket has joined up.
 
 A pair meets at its leader: the leader's set goes there once for each GROUP members and each member's set once.
+A low threshold takes almost as many signatures as shingles. They can be made in passes, each for some of the bands, so that the disks
+hold a pass's signatures at a time; cells then go to their buckets in as many passes. Texts stay where they are, but those of rows that share id and text.
 Sets are told apart by sums of 64-bit hashes of their shingles (48 bits of each kept for intersections).
 Defined results: null, empty and all-space texts have no set and stand alone; repeated rows are copies; a null id stays
 null, and has no component_id unless a row of its component has an id; an empty table gives an empty result.
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,7 @@ MEMO = 300_000
 GROUP = 2_000  # members that one copy of their leader's set serves
 WIDE, TESTS = 20_000, 4_000_000  # classes of a bucket that meet in one task, and tests of their cells there
 PARTS = 3
+MARK_BYTES = 100  # of a marked row in a broadcast
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -100,13 +104,14 @@ def _prefix(s: np.ndarray, percent: int) -> np.ndarray:
     return s[: len(s) - -(-percent * len(s) // 100) + 1]
 
 
-def signatures(s: np.ndarray, percent: int, starts: list[int]) -> np.ndarray:
-    """64-bit signatures of a non-empty set, for the pair of bands it starts and the pair it ends."""
+def signatures(s: np.ndarray, percent: int, starts: list[int], passes: int = 1, turn: int = 0) -> np.ndarray:
+    """64-bit signatures of a non-empty set, for the pair of bands it starts and the pair it ends; of several passes those of one turn."""
     own = int(np.searchsorted(starts, len(s), "right")) - 1
-    found = []
+    here = [band for band in {own, max(own - 1, 0)} if band % passes == turn]
+    found = [np.zeros(0, np.uint64)]
     with np.errstate(over="ignore"):
-        deal = _mix(s + _M3)
-        for band in {own, max(own - 1, 0)}:
+        deal = _mix(s + _M3) if here else s
+        for band in here:
             end = starts[band + 2] - 1  # the largest size in this band and the next
             k = (100 - percent) * 2 * end // (100 + percent)
             groups = (k + 2) // 2
@@ -171,8 +176,8 @@ def sizes(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, t long, n long, k long, cells binary")
 
 
-def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """sig, k: each set's signatures; copies within a task sign once."""
+def signed(docs: DataFrame, width: int, percent: int, passes: int = 1, turn: int = 0) -> DataFrame:
+    """sig, k: each set's signatures, of several passes those of one turn; copies within a task sign once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh, cache, seen = Shingles(width), {}, set()
@@ -185,7 +190,7 @@ def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     k = _key(s)
                     if len(s) and k not in seen:
                         seen.add(k)
-                        sigs.append(signatures(s, percent, _starts(len(s), cache, percent)))
+                        sigs.append(signatures(s, percent, _starts(len(s), cache, percent), passes, turn))
                         keys.append(np.full(len(sigs[-1]), k, np.int64))
                 if sigs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(keys))], names=["sig", "k"])
@@ -314,8 +319,8 @@ def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return written(held.join(one.select("x.g", easy.alias("easy")), "g").select("g", "k", "easy"), "open")
 
 
-def _possible(buckets: DataFrame, labels: DataFrame, first: DataFrame, percent: int) -> DataFrame:
-    """Pairs (lead, k) of classes of different components that share a bucket and whose cells allow that they are similar."""
+def _possible(buckets: DataFrame, labels: DataFrame, first: DataFrame, percent: int, passes: int) -> DataFrame:
+    """Pairs (lead, k) of classes of different components that share a bucket and whose cells allow that they are similar; buckets are dealt to passes."""
 
     def pairs(held: list[tuple]) -> list[tuple[int, int]]:
         if not held:
@@ -345,8 +350,12 @@ def _possible(buckets: DataFrame, labels: DataFrame, first: DataFrame, percent:
         out += pairs(held)
         yield batch()
 
-    rows = buckets.select("g", "k").join(labels, "k").join(first.select("k", "n", "cells"), "k").select("g", "k", "comp", "n", "cells")
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "lead long, k long").distinct()
+    def found(held: DataFrame) -> DataFrame:
+        rows = held.select("g", "k").join(labels, "k").join(first.select("k", "n", "cells"), "k").select("g", "k", "comp", "n", "cells")
+        return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "lead long, k long").distinct()
+
+    turns = [written(found(buckets.where(F.pmod("g", F.lit(passes)) == turn)), "possible") for turn in range(passes)]
+    return written(reduce(DataFrame.union, turns).distinct(), "pairs") if passes > 1 else turns[0]
 
 
 def _likely(pairs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
@@ -365,7 +374,7 @@ def _likely(pairs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "lead long, k long")
 
 
-def _labels(slim: DataFrame, first: DataFrame, buckets: DataFrame, width: int, percent: int) -> DataFrame:
+def _labels(slim: DataFrame, first: DataFrame, buckets: DataFrame, width: int, percent: int, passes: int) -> DataFrame:
     """k, comp of the classes in buckets (g, k): comp is the least class that links reach."""
     labels = written(buckets.select("k").distinct().select("k", F.col("k").alias("comp")), "labels")
     best = _led(buckets).where("k <> lead").groupBy("k", "lead").agg(F.count("*").alias("n")).groupBy("k").agg(F.max(F.struct("n", "lead"))["lead"].alias("lead"))
@@ -374,7 +383,7 @@ def _labels(slim: DataFrame, first: DataFrame, buckets: DataFrame, width: int, p
     rounds = 0
     while True:
         buckets = _open(buckets, labels)
-        pairs = written(_possible(buckets.where("easy"), labels, first, percent), "pairs")
+        pairs = _possible(buckets.where("easy"), labels, first, percent, passes)
         if not pairs.isEmpty():
             labels = _joined(labels, _compared(slim, first, pairs, width, percent, False).where("linked"))
         large = buckets.where("not easy").select("g", "k")
@@ -385,7 +394,7 @@ def _labels(slim: DataFrame, first: DataFrame, buckets: DataFrame, width: int, p
             labels = _joined(labels, _compared(slim, first, led, width, percent, False).where("linked"))
             large = _open(large, labels)
             # what the leaders have joined up may be easy now
-            pairs = written(_possible(large.where("easy"), labels, first, percent), "pairs")
+            pairs = _possible(large.where("easy"), labels, first, percent, passes)
             if not pairs.isEmpty():
                 labels = _joined(labels, _compared(slim, first, pairs, width, percent, False).where("linked"))
             large = large.where("not easy").select("g", "k")
@@ -400,45 +409,56 @@ def _labels(slim: DataFrame, first: DataFrame, buckets: DataFrame, width: int, p
         rounds += 1
 
 
-def _classes(docs: DataFrame, id_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, id_col: str, width: int, percent: int, passes: int) -> tuple[DataFrame, DataFrame]:
     """The rows (id, t: hash of the text, n, k), and of each class k_: nameless, the component's least id and its first row, and the class's last row."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), "text", F.xxhash64("text").alias("t"))
     sized = written(sizes(slim, width), "sizes")
     row = F.struct(F.col("id").isNull().alias("no_id"), "id", "t")  # rows without an id come last
     classes = sized.where("n > 0").groupBy("k").agg(F.min("id").alias("rep"), F.max(F.col("id").isNull()).alias("nameless"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.min(row).alias("first"), F.max(row).alias("last"))
     bucket = W.partitionBy("sig")
-    shared = signed(slim, width, percent).withColumn("lo", F.min("k").over(bucket)).withColumn("hi", F.max("k").over(bucket))
-    shared = written(shared.where("lo < hi").select(F.col("sig").alias("g"), "k").distinct(), "shared")
+
+    def met(turn: int) -> DataFrame:
+        shared = signed(slim, width, percent, passes, turn).withColumn("lo", F.min("k").over(bucket)).withColumn("hi", F.max("k").over(bucket))
+        return written(shared.where("lo < hi").select(F.col("sig").alias("g"), "k").distinct(), "shared")
+
+    shared = reduce(DataFrame.union, [met(turn) for turn in range(passes)])  # a signature is made in one pass only
     first = written(shared.select("k").distinct().join(classes, "k").select("k", "n", "cells", "rep", "first"), "members")
-    labels = _labels(slim, first.select("k", "n", "cells", "first.id", "first.t"), shared, width, percent)
+    labels = _labels(slim, first.select("k", "n", "cells", "first.id", "first.t"), shared, width, percent, passes)
     named = first.join(labels, "k")
     least = named.groupBy("comp").agg(F.min("rep").alias("least"), F.min("first").alias("whole"))
     named = named.join(least, "comp").select("k", "least", "whole")
     return sized, classes.join(named, "k", "left").select(F.col("k").alias("k_"), F.coalesce("least", "rep").alias("least"), "nameless", F.coalesce("whole", "first").alias("first"), "last")
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", width: int = 3, percent: int = 90) -> DataFrame:
+def join_components(docs: DataFrame, id_col: str = "doc_id", width: int = 3, percent: int = 90, passes: int = 1) -> DataFrame:
     """id, k (class), n (set size) and component_id: the smallest id reachable by links of similar sets."""
-    sized, classes = _classes(docs, id_col, width, percent)
+    sized, classes = _classes(docs, id_col, width, percent, passes)
     # only classes that move an id: most rows are alone
     moved = classes.join(sized.where("n > 0").groupBy(F.col("k").alias("k_")).agg(F.max("id").alias("most")), "k_").where("most <> least or nameless and least is not null").select("k_", "least")
     out = sized.join(moved, sized["k"] == moved["k_"], "left")
     return out.select("id", "k", "n", F.coalesce("least", "id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", width: int = 5, percent: int = 80, passes: int = 2) -> DataFrame:
     """One document of each component: that of the smallest id, and of texts with that id the one of smallest hash; of rows that
     share both, the one whose other columns (but maps) have the smallest hash, so that reruns agree."""
-    sized, classes = _classes(docs, id_col, width, percent)
+    sized, classes = _classes(docs, id_col, width, percent, passes)
     several = classes.where(F.col("first") != F.col("last")).select("k_", "first")
     stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t") == F.col("first.t"))
     drop = sized.where("n > 0").join(several, F.col("k") == F.col("k_")).where(~stays)
-    drop = written(drop.select(F.col("id").alias("_id"), F.col("t").alias("_t")).distinct(), "dropped")
-    kept = docs.join(drop, docs[id_col].eqNullSafe(drop["_id"]) & (F.xxhash64(docs["text"]) == drop["_t"]), "left_anti")
+    several_rows = sized.groupBy("id", "t").agg(F.count("*").alias("rows")).where("rows > 1")  # other rows need not meet
+    marks = drop.select("id", "t", F.lit(True).alias("gone")).union(several_rows.select("id", "t", F.lit(False)))
+    marks = written(marks.groupBy(F.col("id").alias("_id"), F.col("t").alias("_t")).agg(F.max("gone").alias("_gone")), "marks")
+    kept = docs.join(small(marks, F.lit(MARK_BYTES)), docs[id_col].eqNullSafe(marks["_id"]) & (F.xxhash64(docs["text"]) == marks["_t"]), "left")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    alone = kept.where("_gone is null").select(*own)
+    if marks.where("not _gone").isEmpty():
+        return alone
+    kept = kept.where("not _gone").select(*own)
     rest = [c for c in docs.columns if c not in (id_col, "text")]
     order = F.xxhash64(*[F.col(f"`{c}`") for c in rest if "map<" not in docs.schema[c].dataType.simpleString()])
     one = kept.groupBy(id_col, "text").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), order).alias("_rest")) if rest else kept.distinct()
-    return one.select(*[F.col(f"`{c}`") if c in (id_col, "text") else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
+    return alone.union(one.select(*[F.col(f"`{c}`") if c in (id_col, "text") else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns]))
 
 
 def op6_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:

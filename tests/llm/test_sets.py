@@ -440,3 +440,26 @@ def test_repeated_notices_take_linear_time(spark):
     indexed = licenses.index(df)
     rows = {r.doc_id: r for r in licenses.scan(indexed, licenses.weights(indexed)).collect()}
     assert (rows[1].n_words, rows[1].n_base, rows[1].labels) == (200_000, 100_000, "mit") and rows[2].labels == "mit" and rows[2].score == pytest.approx(1.0)
+
+
+def test_passes_make_every_signature_once():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 19, 300, 2000):
+        s = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        whole = partenum.signatures(s, 80, partenum.bands(9000, 80))
+        turns = [partenum.signatures(s, 80, partenum.bands(9000, 80), 4, turn) for turn in range(4)]
+        assert sorted(np.concatenate(turns)) == sorted(whole)
+
+
+def test_texts_of_the_kept_rows_do_not_move(spark):
+    """Texts of different ids: none has to meet another; the repeated row's does."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"{rng.getrandbits(60):x}" for _ in range(3000)), "s") for i in range(40)]
+    df = spark.createDataFrame([*rows, rows[0], (40, rows[1][1], "s")], "doc_id long, text string, source string").repartition(4).localCheckpoint()
+    moved = lambda: sum(x.totalShuffleWrite() for x in (found.apply(i) for i in range(found.size())))
+    kept = partenum.keep_one(df)
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    before, ids = moved(), sorted(r.doc_id for r in kept.collect())
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    assert ids == list(range(40))
+    assert moved() - before < 4 * 3000 * 16  # two texts, and no more than that again
