@@ -1,12 +1,15 @@
 """Toxicity (10): noisy-channel deobfuscation, then a word model over the restored text.
 
-A character trigram model and the word model are fitted on at most max_rows labelled rows (a seeded sample). Words that
+A character trigram model and the word model are fitted on all labelled rows: Spark counts texts by word and stem, and words by
+trigram; what the driver gets are the words that vote (each in min_share of the toxic texts, so their number does not grow with the rows) and the
+trigrams of letters, which the alphabets bound. Words that
 hold look-alike digits or signs, marks between letters, or letters three or more times in a row, and runs of single
 letters, become character lattices (each sign: itself or the letters it stands for; each run: one or two; each gap
 of a spaced run: a word's end or not). Viterbi finds the likeliest reading under the character model; a reading counts
 beside the word as written. Words and word stems that mark toxic training texts vote by noisy-or.
 
-Defined results: null and empty texts score the floor; repeated rows are separate rows; without labelled rows
+Defined results: a text that several labelled rows share counts once, with the label of the row whose hash of id and seed is least (0 before 1
+for one id); null and empty texts score the floor; repeated rows are separate rows; without labelled rows
 every text scores the floor. Extra columns pass through score_documents(), but for score, which is replaced.
 """
 
@@ -22,9 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SAMPLE_BYTES, crc_mod, labelled, table
+from .common import crc_mod, table, written
 
-MAX_ROWS = 12_000
 FLOOR = 0.01
 MEMO = 300_000
 #: Letters that a sign may stand for.
@@ -37,17 +39,24 @@ LETTER, LOOK = re.compile("[a-zà-ÿ]"), re.compile(r"[0-9@$!|+€(*#]")
 SPACED = re.compile(r"(?:(?<=\s)|^)(?:[^\W_]|[@$!|])(?:[ .\-_](?:[^\W_]|[@$!|*])){2,}(?=\s|$|[.,!?])")
 
 
+def grams_of(word: str) -> Iterator[str]:
+    """One to three characters up to each place of a word and its end."""
+    s = f"^^{word}^"
+    for i in range(2, len(s)):
+        yield from (s[i], s[i - 1 : i + 1], s[i - 2 : i + 1])
+
+
 class CharModel:
     """Interpolated character trigrams over words, with ends."""
 
-    def __init__(self, words: Counter):
+    def __init__(self, words: Counter, grams: dict[str, int] | None = None):
+        """grams: counts of the grams of further words."""
         self.n: list[Counter] = [Counter(), Counter(), Counter()]
+        for g, c in (grams or {}).items():
+            self.n[len(g) - 1][g] += c
         for w, c in words.items():
-            s = f"^^{w}^"
-            for i in range(2, len(s)):
-                self.n[0][s[i]] += c
-                self.n[1][s[i - 1 : i + 1]] += c
-                self.n[2][s[i - 2 : i + 1]] += c
+            for g in grams_of(w):
+                self.n[len(g) - 1][g] += c
         self.h: list[Counter] = [Counter(), Counter(), Counter()]
         for k in range(3):
             for g, c in self.n[k].items():
@@ -123,9 +132,18 @@ def forms(word: str) -> tuple[str, ...]:
     return (word, *(f"{word[:k]}~" for k in (5, 6) if len(word) > k))
 
 
+def votes_at(toxic, clean, least):
+    """Whether a form votes that is in so many toxic and clean texts (numbers or Columns)."""
+    return (toxic >= least) & (toxic / (toxic + clean + 1) > 0.7) & (clean <= 0.03 * toxic)
+
+
+def words_of(text: str) -> set[str]:
+    return {w for w in (w.strip(EDGE) for w in text.lower().split()) if w.isalpha()}
+
+
 class Toxicity:
     def __init__(self, texts: list[str], toxic: list[int], min_share: float = 0.02):
-        self.words: Counter = Counter()
+        words: Counter = Counter()
         df: tuple[Counter, Counter] = (Counter(), Counter())
         seen = set()
         n_toxic = 0
@@ -134,21 +152,30 @@ class Toxicity:
                 continue
             seen.add(text)
             # one text's words at a time: those of all texts would take many times the texts' own memory
-            words = {w for w in (w.strip(EDGE) for w in text.lower().split()) if w.isalpha()}
-            self.words.update(words)
-            df[bool(y)].update({f for w in words for f in forms(w)})
-            n_toxic += y
+            found = words_of(text)
+            words.update(dict.fromkeys(found, 1))
+            df[bool(y)].update({f for w in found for f in forms(w)})
+            n_toxic += bool(y)
         least = max(3, min_share * n_toxic)
-        self.votes = {f: c / (c + df[0][f] + 1) for f, c in df[1].items() if c >= least and c / (c + df[0][f] + 1) > 0.7 and df[0][f] <= 0.03 * c}
+        self._fit({f: c / (c + df[0][f] + 1) for f, c in df[1].items() if votes_at(c, df[0][f], least)}, len(words), Counter({w: 1 for w in words}))
+
+    @classmethod
+    def counted(cls, votes: dict[str, float], n_words: int, grams: dict[str, int]) -> Toxicity:
+        """Of the words and stems that vote, the number of different words, and the counts of their grams."""
+        out = cls.__new__(cls)
+        out._fit(votes, n_words, Counter(), grams)
+        return out
+
+    def _fit(self, votes: dict[str, float], n_words: int, weigh: Counter, grams: dict[str, int] | None = None) -> None:
+        self.votes = votes
         # words that mark toxic texts are as likely to be hidden as all other words together
-        weigh = Counter({w: 1 for w in self.words})
-        extra = max(1, len(self.words) // max(1, 2 * len(self.votes)))
-        weigh.update({f: extra for f in self.votes if "~" not in f})
-        self.model = CharModel(weigh)
+        extra = max(1, n_words // max(1, 2 * len(votes)))
+        weigh.update({f: extra for f in votes if "~" not in f})
+        self.model = CharModel(weigh, grams)
         self.memo: dict[str, float] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"words": None, "memo": {}}
+        return self.__dict__ | {"memo": {}}
 
     def vote(self, word: str) -> float:
         return max((self.votes.get(f, 0.0) for f in forms(word)), default=0.0)
@@ -183,10 +210,68 @@ class Toxicity:
         return 1 - math.exp(doubt)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = SAMPLE_BYTES, seed: int = 7) -> Toxicity:
-    """Fits on a seeded sample of at most max_rows of the given labelled rows, and at most max_bytes of text."""
-    rows = labelled(docs, labels, "toxic", max_rows, max_bytes, seed)
-    return Toxicity([r["text"] for r in rows], [r["toxic"] for r in rows])
+def training(docs: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
+    """text, toxic: each text of labelled rows once. The label goes as the last bit of the hash that orders rows."""
+    y = (F.col("toxic") != 0).cast("long")
+    marks = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit(-2)).bitwiseOR(y).alias("mark"))
+    rows = docs.where("text is not null").select("doc_id", "text").join(marks, "doc_id")
+    return rows.groupBy("text").agg(F.min("mark").alias("mark")).select("text", F.col("mark").bitwiseAND(F.lit(1)).alias("toxic"))
+
+
+def counts_of_forms(texts: DataFrame) -> DataFrame:
+    """form, toxic and clean: texts of each label that hold the word or stem. The empty form counts the texts themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[Counter, Counter] = (Counter(), Counter())
+        memo: dict[str, tuple[str, ...]] = {}
+        for b in batches:
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = {""}
+                for token in set(text.lower().split()):
+                    got = memo.get(token)
+                    if got is None:
+                        if len(memo) >= MEMO:
+                            memo.clear()
+                        got = memo[token] = tuple(f for w in words_of(token) for f in forms(w))
+                    found.update(got)
+                held[y].update(found)
+                if len(held[0]) + len(held[1]) > MEMO:
+                    yield batch(held)
+                    held = (Counter(), Counter())
+        yield batch(held)
+
+    def batch(held: tuple[Counter, Counter]) -> pa.RecordBatch:
+        names = list(held[0].keys() | held[1].keys())
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([held[y][f] for f in names], pa.int64()) for y in (1, 0))], names=["form", "toxic", "clean"])
+
+    return texts.select("text", "toxic").mapInArrow(run, "form string, toxic long, clean long").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def counts_of_grams(words: DataFrame) -> DataFrame:
+    """gram and n over the given words (form)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        for b in batches:
+            for w in b.column(0).to_pylist():
+                held.update(grams_of(w))
+            if len(held) > MEMO:
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(held.keys(), pa.string()), "n": pa.array(held.values(), pa.int64())})
+                held = Counter()
+        yield pa.RecordBatch.from_pydict({"gram": pa.array(held.keys(), pa.string()), "n": pa.array(held.values(), pa.int64())})
+
+    return words.select("form").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, seed: int = 7, min_share: float = 0.02) -> Toxicity:
+    """Fits on all of the given labelled rows: Toxicity over their texts, counted by Spark."""
+    counts = written(counts_of_forms(training(docs, labels, seed)), "forms")
+    texts = counts.where("form = ''").first()
+    least = max(3, min_share * texts["toxic"]) if texts else 3
+    marking = counts.where("form <> ''").where(votes_at(F.col("toxic"), F.col("clean"), F.lit(least))).collect()  # at most 1 / min_share of a text's forms
+    words = counts.where("form <> '' and form not like '%~'")
+    grams = {r["gram"]: r["n"] for r in counts_of_grams(words).collect()}
+    return Toxicity.counted({r["form"]: r["toxic"] / (r["toxic"] + r["clean"] + 1) for r in marking}, words.count(), grams)
 
 
 def score_documents(docs: DataFrame, model: Toxicity) -> DataFrame:

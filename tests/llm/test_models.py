@@ -285,3 +285,18 @@ def test_a_text_beyond_the_bound_is_passed_over(spark, seed):
     assert sorted(len(r["text"]) for r in common.labelled(docs, labels, "quality", 100, 4900, seed)) == [100] * 49
     assert len(common.labelled(docs, labels, "quality", 100, 1000, seed)) == 10 and len(common.labelled(docs, labels, "quality", 7, 10**6, seed)) == 7
     assert common.fitting([5, 1, 9, 2], 8) == [0, 1, 3] and common.fitting([], 1) == []
+
+
+def test_toxicity_counts_all_labelled_rows(spark):
+    """More labelled rows than the 12,000 of the earlier sample; repeated texts count once, by the first row in seeded order."""
+    n = 13_000
+    rows = [(i, f"{'vile fellow' if i % 10 == 0 else 'calm fellow'} number{i} Été{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}") for i in range(n)] + [(n + i, "said twice") for i in range(20)] + [(n + 20, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(n + 21)] + [(None, 1), (n + 3, None)], "doc_id long, toxic int")
+    first = {r.doc_id: r.h for r in docs.where("text = 'said twice'").selectExpr("doc_id", "shiftright(xxhash64(doc_id, 7), 1) h").collect()}
+    ordered = sorted(rows[:-1], key=lambda r: first.get(r[0], 0))
+    want = toxicity.Toxicity([t for _, t in ordered], [int(i % 10 == 0) for i, _ in ordered])
+    got = toxicity.fit(docs, labels)
+    assert "vile" in got.votes and got.votes == want.votes and got.model.n == want.model.n and got.model.h == want.model.h
+    assert got.votes["vile"] == n // 10 / (n // 10 + 1)  # every toxic text counts
+    assert toxicity.fit(docs.limit(0), labels).score("vile") < 0.1
