@@ -2,7 +2,8 @@
 
 A key's place is its token, the SHA-256 of its text in hex; a range is a prefix of tokens, so both replicas cut alike whatever rows
 they hold, and ranges are about equally full whatever the keys. The leaves, prefixes of depth digits, hash their rows in key
-order; each level above hashes its (at most 16) children, up to the root of a group (a user). Only digests of rows move, once, and
+order; each level above hashes its (at most 16) children, up to the root of a group (a user). Only digests of rows move, once and as their 32
+bytes (texts that are hashed hold them in hex, and roots come in hex), and
 a group that holds most of the table is spread over its leaves: choose depth so that a leaf's digests fit in a task (leaf_depth).
 """
 
@@ -25,38 +26,47 @@ def leaf_depth(rows: int, leaf_rows: int = 4096) -> int:
     return max(0, math.ceil(math.log(max(rows, 1) / leaf_rows, FANOUT)))
 
 
+def _sha(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _hex(digest: Column) -> Column:
+    return F.lower(F.hex(digest))
+
+
 def token(key: str, depth: int) -> Column:
     return F.substring(F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")), 256), 1, depth)
 
 
 def leaves(df: DataFrame, columns: Sequence[str], key: str, by: Sequence[str] = (), depth: int = 2) -> DataFrame:
-    """by, prefix, n, hash: SHA-256 of the row digests of each range, in key order (rows of a repeated key by digest)."""
-    digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    """by, prefix, n, hash (binary): SHA-256 of the row digests of each range, in key order (rows of a repeated key by digest)."""
+    digest = _sha(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
     rows = df.select(*by, token(key, depth).alias("prefix"), F.struct(F.col(key).alias("key"), digest.alias("digest")).alias("row"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda x: x["digest"]), "")
-    return rows.groupBy(*by, "prefix").agg(F.count("*").alias("n"), F.sha2(text, 256).alias("hash"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda x: _hex(x["digest"])), "")
+    return rows.groupBy(*by, "prefix").agg(F.count("*").alias("n"), _sha(text).alias("hash"))
 
 
 def folded(level: DataFrame, by: Sequence[str], digits: int) -> DataFrame:
     """The next level: ranges of so many digits from those of one more."""
     child = F.struct("prefix", "hash")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda x: F.concat(x["prefix"], F.lit(":"), x["hash"])), ",")
-    return level.groupBy(*by, F.substring("prefix", 1, digits).alias("up_")).agg(F.sum("n").alias("n"), F.sha2(text, 256).alias("hash")).withColumnRenamed("up_", "prefix")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda x: F.concat(x["prefix"], F.lit(":"), _hex(x["hash"]))), ",")
+    return level.groupBy(*by, F.substring("prefix", 1, digits).alias("up_")).agg(F.sum("n").alias("n"), _sha(text).alias("hash")).withColumnRenamed("up_", "prefix")
 
 
 def roots(df: DataFrame, columns: Sequence[str], key: str, by: Sequence[str] = (), depth: int = 2) -> DataFrame:
-    """by, n, hash: the root of each group."""
-    return reduce(lambda level, digits: folded(level, by, digits), range(depth - 1, -1, -1), leaves(df, columns, key, by, depth)).drop("prefix")
+    """by, n, hash: the root of each group, in hex."""
+    found = reduce(lambda level, digits: folded(level, by, digits), range(depth - 1, -1, -1), leaves(df, columns, key, by, depth)).drop("prefix")
+    return found.withColumn("hash", _hex(F.col("hash")))
 
 
 def tree(df: DataFrame, columns: Sequence[str], key: str, by: Sequence[str] = (), depth: int = 2) -> DataFrame:
-    """by, level (digits), prefix, n, hash of all levels, written by level, so that a descent reads the levels it needs."""
+    """level (digits), by, prefix, n, hash (binary) of all levels, each written once by itself: a descent reads the levels it needs."""
     level = written(leaves(df, columns, key, by, depth), "leaves")
     levels = [level.withColumn("level", F.lit(depth))]
     for digits in range(depth - 1, -1, -1):
-        level = folded(level, by, digits)
+        level = written(folded(level, by, digits), "level")
         levels.append(level.withColumn("level", F.lit(digits)))
-    return written(reduce(DataFrame.unionByName, levels), "tree", "level")
+    return reduce(DataFrame.unionByName, levels)
 
 
 def _same(a: DataFrame, b: DataFrame, by: Sequence[str]) -> Column:

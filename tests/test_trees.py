@@ -122,3 +122,13 @@ def test_shared_folder(spark):
     assert scratch.fresh(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/"))
     with pytest.raises(SourceError, match="spark.checkpoint.dir"):
         scratch.folder(Session(**{"spark.master": "yarn"}))
+
+
+def test_digests_move_as_bytes(spark):
+    """32 bytes a range in the written levels, which hold the roots that roots() gives in hex."""
+    rows = _table(spark, [("u" if i % 3 else None, i, str(i % 7)) for i in range(300)])
+    args = (["id", "v"], "id", ["user_id"], 2)
+    tree = hashtree.tree(rows, *args)
+    assert {r.n for r in tree.selectExpr("octet_length(hash) n").distinct().collect()} == {32}
+    assert tree.where("level = 2").count() == rows.selectExpr("user_id", "substr(sha2(string(id), 256), 1, 2) p").distinct().count()
+    assert {r.user_id: bytes(r.hash).hex() for r in tree.where("level = 0").collect()} == {r.user_id: r.hash for r in hashtree.roots(rows, *args).collect()}
