@@ -70,5 +70,6 @@ def pairs(parents: DataFrame, relation, related: DataFrame, pivot: DataFrame | N
     keys = _keys(parents, relation.this_local)
     # only links of the parents; a pivot may repeat one: once is enough
     links = pivot.select(F.col(relation.this_key).alias("this_"), F.col(relation.other_key).alias("other_")).where("other_ is not null")
-    links = links.join(keys, F.col("this_") == F.col("parent_key"), "left_semi").distinct()
+    # the keys of a partition are hashed: a sorted link takes many times the bytes that it is moved in
+    links = links.join(keys.hint("shuffle_hash"), F.col("this_") == F.col("parent_key"), "left_semi").distinct()
     return links.withColumnRenamed("this_", "parent_key").join(related, F.col("other_") == related[relation.other_local]).drop("other_")

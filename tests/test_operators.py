@@ -143,6 +143,22 @@ def test_entities_pages_relations(spark):
     assert relations.pairs(users, relations.HasMany("user_id"), posts).count() == 2
 
 
+def test_links_meet_hashed_keys_unsorted(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(40), rng.choice([None, *range(30)])) for _ in range(2_000)]
+    parents = spark.createDataFrame([(i,) for i in [*range(0, 60, 2), 4, 4]] + [(None,)], "id long")
+    tags = spark.createDataFrame([(i, f"tag {i}") for i in range(0, 50, 3)], "id long, name string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on tables of any size
+    try:
+        got = relations.pairs(parents, relations.ManyToMany("post", "tag"), tags, spark.createDataFrame(links, "post long, tag long"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(got.select("parent_key", "name").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [x for x in plan.split("\n") if "LeftSemi" in x and "ShuffledHashJoin" in x] and not [x for x in plan.split("\n") if "LeftSemi" in x and "SortMergeJoin" in x]
+    assert rows == sorted({(p, f"tag {t}") for p, t in links if p % 2 == 0 and t is not None and t % 3 == 0})
+
+
 def test_hash_and_metrics(spark):
     df = spark.createDataFrame([(2, "b"), (1, None)], "id int, v string")
     one, two = (integrity.content_hash(x, ["id", "v"], "id").first().hash for x in (df, df.orderBy("id")))
