@@ -30,6 +30,7 @@ BLOCK_WORDS = 64
 SHARD_WORDS = 100_000
 SEED = 42
 WAYS, ROUNDS = 24, 16  # divisors tried at once, and how often
+FEW = 1_000  # quotients of a group that are ranked instead of divided further
 COPIES = 10_000  # rows with more copies are dealt in parts of so many
 
 
@@ -61,8 +62,8 @@ def targets(sources: DataFrame, max_repeats: float = 3.0) -> DataFrame:
 def sainte_lague(rows: DataFrame, by: list[str], votes: str, seats: str, order: str) -> DataFrame:
     """Adds quota: of each group's seats the ones that a row of so many votes gets by the quotients votes / (2 q + 1).
 
-    A divisor d gives round(votes / d) seats. Several divisors are tried at once until one gives a group its seats;
-    if none does, rows tie at the divisor between, and the earlier get one more."""
+    A divisor d gives round(votes / d) seats. Several divisors are tried at once until one gives a group its seats, or FEW quotients at most,
+    no two of a row, lie between two divisors: the highest of them get one more each. Of rows that tie the earlier do."""
     q = lambda d: F.floor(F.col(votes) / d + 0.5)
     rows = rows.withColumn(votes, F.col(votes).cast("double"))
     s = F.col(seats)
@@ -75,13 +76,22 @@ def sainte_lague(rows: DataFrame, by: list[str], votes: str, seats: str, order:
     for _ in range(ROUNDS):
         if range_.where("not _found").isEmpty():
             break
-        at = [F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (i / (WAYS - 1)) for i in range(WAYS)]
         todo = range_.where("not _found")
-        tried = rows.drop(seats).join(todo, same(rows, todo)).groupBy(*[todo[c] for c in by]).agg(*[F.first(c).alias(c) for c in (seats, "_lo", "_hi")], *[F.sum(q(d)).alias(f"_{i}") for i, d in enumerate(at)])
-        exact = F.coalesce(*[F.when(F.col(f"_{i}") == s, d) for i, d in enumerate(at)])
-        lo = F.greatest(F.col("_lo"), *[F.when(F.col(f"_{i}") > s, d) for i, d in enumerate(at)])
-        hi = F.least(F.col("_hi"), *[F.when(F.col(f"_{i}") < s, d) for i, d in enumerate(at)])
-        tried = tried.select(*by, seats, F.coalesce(exact, lo).alias("_lo"), F.coalesce(exact, hi).alias("_hi"), exact.isNotNull().alias("_found"))
+        at = lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (i / F.lit(WAYS - 1))
+        ways = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(WAYS - 1)), lambda i: F.struct(at(i).alias("d"), at(i + 1).alias("next"))))
+        tried = rows.drop(seats).join(todo, same(rows, todo)).select(*[todo[c] for c in by], votes, seats, "_lo", "_hi", ways.alias("_i", "_way"))
+        now, after = q(F.col("_way.d")), q(F.col("_way.next"))
+        tried = tried.groupBy(*by, "_i").agg(*[F.first(c).alias(c) for c in (seats, "_lo", "_hi")], F.first("_way.d").alias("_d"), F.sum(now).alias("_sum"), F.max(now - after).alias("_step"))
+        given = F.col("_sum")
+        tried = tried.groupBy(*by).agg(
+            *[F.first(c).alias(c) for c in (seats, "_lo", "_hi")], F.min(F.when(given == s, F.col("_d"))).alias("_exact"),
+            F.max(F.when(given > s, F.col("_d"))).alias("_above"), F.min(F.when(given < s, F.col("_d"))).alias("_below"),
+            (F.min(F.when(given > s, given)) - F.max(F.when(given < s, given))).alias("_open"), F.max_by("_step", F.when(given > s, F.col("_d"))).alias("_step"),
+        )
+        # between two divisors a few rows have one quotient each: these are ranked below
+        ranked = F.coalesce((F.col("_step") <= 1) & (F.col("_open") <= FEW), F.lit(False))
+        lo, hi = F.greatest("_lo", "_above"), F.least("_hi", "_below")
+        tried = tried.select(*by, seats, F.coalesce("_exact", lo).alias("_lo"), F.coalesce("_exact", hi).alias("_hi"), (F.col("_exact").isNotNull() | ranked).alias("_found"))
         range_ = written(range_.where("_found").unionByName(tried), "divisors")
     bounds = range_.drop(seats).withColumnsRenamed({c: f"_by_{c}" for c in by})
     placed = rows.join(bounds, [rows[c].eqNullSafe(bounds[f"_by_{c}"]) for c in by], "left").drop(*[f"_by_{c}" for c in by])

@@ -216,6 +216,17 @@ def test_apportionment(spark):
         assert [found[g, i] for i in range(len(votes))] == _quotients(votes, s), (votes, s)
 
 
+def test_tied_quotients_end_the_search(spark, monkeypatch):
+    tables = []
+    keep = mixing.written
+    monkeypatch.setattr(mixing, "written", lambda df, name: tables.append(name) or keep(df, name))
+    votes = [70_001.0] * 7 + [3_000.0, 5.0]  # seven tie for the last seats
+    rows = spark.createDataFrame([(0, i, v, 5_003) for i, v in enumerate(votes)], "g long, i long, v double, s long")
+    got = {r.i: r.quota for r in mixing.sainte_lague(rows, ["g"], "v", "s", "i").collect()}
+    assert [got[i] for i in range(len(votes))] == _quotients(votes, 5_003)
+    assert len({got[i] for i in range(7)}) == 2 and len(tables) <= 7, tables
+
+
 def test_targets(spark):
     goal = lambda sizes, w: [r.target for r in mixing.targets(spark.createDataFrame([(i, s, float(x)) for i, (s, x) in enumerate(zip(sizes, w))], "i long, size long, weight double"), 3).orderBy("i").collect()]
     # 30 and then 360 are above three times their sizes, so both stop there
