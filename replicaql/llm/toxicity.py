@@ -211,11 +211,16 @@ class Toxicity:
 
 
 def training(docs: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
-    """text, toxic: each text of labelled rows once. The label goes as the last bit of the hash that orders rows."""
+    """text, toxic: each text of labelled rows once. The label goes as the last bit of the hash that orders rows.
+
+    Which row stands for a text is settled by hashes of texts, so that texts move once, to the rows' labels."""
     y = (F.col("toxic") != 0).cast("long")
     marks = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit(-2)).bitwiseOR(y).alias("mark"))
-    rows = docs.where("text is not null").select("doc_id", "text").join(marks, "doc_id")
-    return rows.groupBy("text").agg(F.min("mark").alias("mark")).select("text", F.col("mark").bitwiseAND(F.lit(1)).alias("toxic"))
+    rows = docs.where("text is not null").select("doc_id", F.unhex(F.sha2("text", 256)).alias("t"), "text")
+    # joins of one kind at any size: what is moved then grows with the rows
+    first = rows.select("doc_id", "t").join(marks.hint("merge"), "doc_id").groupBy("t").agg(F.min(F.struct("mark", "doc_id")).alias("x"))
+    chosen = first.select(F.col("x.doc_id").alias("doc_id"), "t", F.col("x.mark").bitwiseAND(F.lit(1)).alias("toxic"))
+    return rows.join(chosen.hint("merge"), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select("text", "toxic")
 
 
 def counts_of_forms(texts: DataFrame) -> DataFrame:

@@ -300,3 +300,13 @@ def test_toxicity_counts_all_labelled_rows(spark):
     assert "vile" in got.votes and got.votes == want.votes and got.model.n == want.model.n and got.model.h == want.model.h
     assert got.votes["vile"] == n // 10 / (n // 10 + 1)  # every toxic text counts
     assert toxicity.fit(docs.limit(0), labels).score("vile") < 0.1
+
+
+def test_labelled_texts_move_once_by_row(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (3, "c"), (4, None), (None, "d"), (5, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (3, 1), (4, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    found = toxicity.training(docs, labels, 7)
+    assert sorted(map(tuple, found.collect())) == [("a", 1), ("b", 1), ("c", 0)]
+    # of one kind at any size: neither are labels broadcast while they are few, nor are texts grouped by themselves
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "hashpartitioning(text" not in plan
